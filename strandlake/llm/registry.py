@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, rules, secrets
 
 QUERIES = {
+    "op4_secrets": secrets.op4_secrets,
     "op5_mixing": mixing.op5_mixing,
+    "op8_rules": rules.op8_rules,
 }
 ORACLES = {
+    "op4_secrets": secrets.ORACLE,
     "op5_mixing": mixing.ORACLE,
 }
