@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, rules, secrets
+from . import counting, mixing, rules, secrets
 
 QUERIES = {
+    "op3_counting": counting.op3_counting,
     "op4_secrets": secrets.op4_secrets,
     "op5_mixing": mixing.op5_mixing,
     "op8_rules": rules.op8_rules,

@@ -5,7 +5,7 @@ bounded sample of labelled rows (SAMPLE rows at most, the first by a seeded hash
 each rule is grown literal by literal for information gain on two thirds of the rows not yet covered, pruned on the other
 third, kept while it stays precise, and its rows are removed. The list becomes one ordered CASE expression.
 
-Repeats of 3-word windows are found by sorting (hash, position) inside the row: n log n, no row leaves its task.
+Repeats of 3-word windows are found by sorting (window, position) inside the row: n log n, no row leaves its task.
 
 Defined results: null text has no words (base_failed, not kept); repeated rows are separate; without labels the list is empty and
 only the base decides; ties between thresholds go to the first feature and the lower threshold; an empty table gives an empty
@@ -19,55 +19,48 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import WORD, table, written
 
 #: Labelled rows used for learning, at most.
 SAMPLE = 20_000
 SYMBOLS = "#*$%&|<>"
-_BLANK = " \t\n\x0b\f\r"
 THRESHOLDS, MAX_LITERALS, MAX_RULES = 24, 4, 16
 #: A rule stays in the list if at least this share of what it rejects is labelled low, on either part of the sample.
 MIN_PRECISION, MIN_COVER = 0.9, 3
 
-FEATURES = ("n_words", "word_len", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "bang_ratio", "digit_ratio", "words_per_line")
+FEATURES = ("n_words", "word_len", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "bang_ratio", "words_per_line")
 
 
 def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper, n_bang, n_digit."""
+    """doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper, n_bang.
+
+    A lookahead lists the 3-word windows of the words joined by one space, as exact strings. If they are all distinct nothing
+    repeats; otherwise (window, position) pairs are sorted, neighbours compared, and the words of equal ones counted once.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    without = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
-    bare = F.translate(text, "".join(_BLANK), "")
     d = docs.select(
         F.col(id_col).alias("doc_id"),
-        F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != "").alias("w"),
-        F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, _BLANK, "")) > 0).alias("lines"),
-        F.length(bare).cast("long").alias("word_chars"),
-        without(SYMBOLS).cast("long").alias("n_symbols"),
-        without("ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_upper"),
-        without("!").cast("long").alias("n_bang"),
-        without("0123456789").cast("long").alias("n_digit"),
-    )
-    n = F.size("w")
-    windows = F.expr("transform(sequence(0, size(w) - 3), i -> named_struct('h', xxhash64(w[i], w[i + 1], w[i + 2]), 'i', i))")
-    d = d.withColumn("s", F.when(n >= 4, F.sort_array(windows)))
-    # positions whose neighbour in hash order has the same hash; the words they cover, once each
-    repeated = F.expr(
-        "filter(transform(sequence(0, size(s) - 1), j -> if((j > 0 and s[j].h = s[greatest(j - 1, 0)].h)"
-        " or (j < size(s) - 1 and s[j].h = s[least(j + 1, size(s) - 1)].h), s[j].i, -1)), p -> p >= 0)"
+        F.array_remove(F.split(text, r"[\x20\x09-\x0D]+", -1), "").alias("w"),
+        F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)).alias("lines"),
+        F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
+        F.regexp_count(text, F.lit("[A-Z]")).cast("long").alias("n_upper"),
+        F.regexp_count(text, F.lit("!")).cast("long").alias("n_bang"),
     )
-    covered = F.size(F.array_distinct(F.flatten(F.transform("r", lambda p: F.array(p, p + 1, p + 2)))))
-    d = d.withColumn("r", F.when(n >= 4, repeated)).drop("s")
+    d = d.withColumn("t", F.regexp_extract_all(F.array_join("w", " "), F.lit("(?<![^ ])(?=([^ ]++ [^ ]++ [^ ]++))"), F.lit(1)))
+    repeats = F.size(F.array_distinct("t")) < F.size("t")
+    d = d.withColumn("s", F.when(repeats, F.sort_array(F.arrays_zip("t", F.expr("sequence(0, size(t) - 1)").alias("i")))))
+    d = d.withColumn("j", F.expr("filter(sequence(0, size(s) - 2), j -> s[j].t = s[j + 1].t)"))
+    covered = F.expr("size(array_distinct(flatten(transform(j, x -> array(s[x].i, s[x].i + 1, s[x].i + 2, s[x + 1].i, s[x + 1].i + 1, s[x + 1].i + 2)))))")
     return d.select(
         "doc_id",
-        n.cast("long").alias("n_words"),
-        "word_chars",
+        F.size("w").cast("long").alias("n_words"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         "n_symbols",
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(n >= 4, covered).otherwise(0).cast("long").alias("n_repeat_words"),
+        F.when(F.col("s").isNotNull(), covered).otherwise(0).cast("long").alias("n_repeat_words"),
         "n_upper",
         "n_bang",
-        "n_digit",
     )
 
 
@@ -80,7 +73,6 @@ def with_features(stats: DataFrame) -> DataFrame:
         .withColumn("repeat_ratio", per("n_repeat_words", "n_words"))
         .withColumn("upper_ratio", per("n_upper", "word_chars"))
         .withColumn("bang_ratio", per("n_bang", "n_words"))
-        .withColumn("digit_ratio", per("n_digit", "word_chars"))
         .withColumn("words_per_line", per("n_words", "n_lines"))
     )
 
@@ -109,44 +101,55 @@ def learn_rules(rows: list[tuple[tuple[float, ...], int]]) -> list[list[Literal]
         p, m = counts(mask)
         return (p + 1) / (p + m + 2)
 
-    rules: list[list[Literal]] = []
-    left = (1 << n) - 1
-    while len(rules) < MAX_RULES:
-        grow, prune = left & ~hold, left & hold
-        rule, masks, at = [], [], grow
+    def covered(masks: list[int], at: int) -> int:
+        for m in masks:
+            at &= m
+        return at
+
+    def precise(masks: list[int], grow: int, prune: int) -> bool:
+        p, m = counts(covered(masks, grow))
+        hp, hm = counts(covered(masks, prune))
+        return p >= MIN_COVER and p >= MIN_PRECISION * (p + m) and hp >= MIN_PRECISION * (hp + hm)
+
+    def grown(at: int, banned: set[int]) -> list[tuple[Literal, int]]:
+        rule: list[tuple[Literal, int]] = []
         while len(rule) < MAX_LITERALS:
             p0, n0 = counts(at)
             if not p0 or not n0:
                 break
             best, gain = None, 0.0
             for lit, mask in literals:
+                if lit[0] in banned:
+                    continue
                 p, m = counts(at & mask)
                 if p and (g := p * (math.log2(p / (p + m)) - math.log2(p0 / (p0 + n0)))) > gain + 1e-12:
                     best, gain = (lit, mask), g
             if best is None:
                 break
-            rule.append(best[0])
-            masks.append(best[1])
+            rule.append(best)
             at &= best[1]
-        if not rule:
-            break
-
-        def covered(k: int, start: int) -> int:
-            for m in masks[:k]:
-                start &= m
-            return start
-
-        k = max(range(1, len(rule) + 1), key=lambda k: (precision(covered(k, prune)), -k))
-        p, m = counts(covered(k, grow))
-        hp, hm = counts(covered(k, prune))
-        if p < MIN_COVER or p < MIN_PRECISION * (p + m) or (hp + hm and hp < MIN_PRECISION * (hp + hm)):
-            k = len(rule)  # the whole conjunction is the more precise one
-            p, m = counts(covered(k, grow))
-            hp, hm = counts(covered(k, prune))
-            if p < MIN_COVER or p < MIN_PRECISION * (p + m) or (hp + hm and hp < MIN_PRECISION * (hp + hm)):
-                break
-        rules.append(rule[:k])
-        left &= ~covered(k, left)
+        return rule
+
+    def next_rule(left: int) -> list[tuple[Literal, int]]:
+        """Grown and pruned; where the first feature leads to no precise rule, the search starts again without it."""
+        grow, prune, banned = left & ~hold, left & hold, set()
+        while len(banned) < len(FEATURES):
+            rule = grown(grow, banned)
+            if not rule:
+                return []
+            masks = [m for _, m in rule]
+            lengths = sorted(range(1, len(rule) + 1), key=lambda k: (-precision(covered(masks[:k], prune)), k))
+            for k in lengths:
+                if precise(masks[:k], grow, prune):
+                    return rule[:k]
+            banned.add(rule[0][0][0])
+        return []
+
+    rules: list[list[Literal]] = []
+    left = (1 << n) - 1
+    while len(rules) < MAX_RULES and (rule := next_rule(left)):
+        rules.append([lit for lit, _ in rule])
+        left &= ~covered([m for _, m in rule], left)
     return rules
 
 
