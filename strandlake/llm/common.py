@@ -70,11 +70,11 @@ def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_of(raw: np.ndarray, offsets: np.ndarray, blanks: np.ndarray = _BLANKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words in bytes, and the first word of each row (one more than rows)."""
     if len(raw) == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    solid = ~_BLANKS[raw]
+    solid = ~blanks[raw]
     first = np.empty(len(raw), dtype=bool)
     first[0], first[1:] = True, ~solid[:-1]
     heads = offsets[:-1]
