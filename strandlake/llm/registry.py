@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, counting, mixing, rules, secrets
+from . import byte_bpe, counting, mixing, rules, secrets, toxicity
 
 QUERIES = {
     "op3_counting": counting.op3_counting,
     "op4_secrets": secrets.op4_secrets,
     "op5_mixing": mixing.op5_mixing,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_rules": rules.op8_rules,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
