@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, counting, mixing, rules, secrets, toxicity
+from . import audio, byte_bpe, counting, mixing, rules, secrets, toxicity
 
 QUERIES = {
+    "op2_audio": audio.op2_audio,
     "op3_counting": counting.op3_counting,
     "op4_secrets": secrets.op4_secrets,
     "op5_mixing": mixing.op5_mixing,
