@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import audio, byte_bpe, counting, mixing, rules, secrets, toxicity
+from . import audio, byte_bpe, counting, mixing, rules, secrets, toxicity, warc
 
 QUERIES = {
     "op2_audio": audio.op2_audio,
     "op3_counting": counting.op3_counting,
     "op4_secrets": secrets.op4_secrets,
     "op5_mixing": mixing.op5_mixing,
+    "op6_warc": warc.op6_warc,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_rules": rules.op8_rules,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
@@ -16,4 +17,5 @@ QUERIES = {
 ORACLES = {
     "op4_secrets": secrets.ORACLE,
     "op5_mixing": mixing.ORACLE,
+    "op6_warc": warc.ORACLE,
 }
