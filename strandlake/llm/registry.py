@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import audio, byte_bpe, counting, mixing, rules, secrets, toxicity, warc
+from . import audio, byte_bpe, counting, mixing, ngram_join, rules, secrets, toxicity, warc
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_audio": audio.op2_audio,
     "op3_counting": counting.op3_counting,
     "op4_secrets": secrets.op4_secrets,
