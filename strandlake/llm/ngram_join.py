@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_codes, mix, slices, span_hashes, table, text_bytes, words_of, written
 from .graph import components
-from .packed import SCHEMA, cuts, exchange, from_planes, n_reducers, pack_sorted, planes, runs, unpack_sorted
+from .packed import SCHEMA, by_block, cuts, exchange, from_planes, home, n_reducers, pack_sorted, planes, runs, to_batch, unpack_sorted
 
 WORDS = 5
 SLICE = 1 << 20
@@ -101,7 +101,7 @@ class _Block:
         starts, lengths = runs(h)
         hot_run = lengths >= FREQUENT
         hot = np.repeat(hot_run, lengths)
-        own = block % reducers
+        own = home(block, reducers)
         yield own, _DOCS, block, np.array(self.ids, np.int64).tobytes() + np.array(self.null, np.uint8).tobytes(), np.array(self.sizes, np.uint32).tobytes(), np.array(self.of, np.uint32).tobytes()
         if hot.any():
             yield own, _KNOWN, block, h[hot].tobytes(), row[hot].tobytes(), np.full(int(hot.sum()), _COMMON, np.uint16).tobytes()
@@ -116,11 +116,6 @@ class _Block:
             yield p, _TOKENS, block, pack_sorted(h[a:b]), planes(row[a:b]), b""
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["to", "kind", "block", "a", "b", "c"])
-
-
 def _send(reducers: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, part, made = _Block(), TaskContext.get().partitionId(), 0
@@ -131,10 +126,10 @@ def _send(reducers: int):
                     b = min(j, a + BLOCK_DOCS // 4)
                     block.add(batch.column(0).slice(a, b - a), raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                     if block.tokens >= BLOCK_TOKENS or len(block.ids) >= BLOCK_DOCS // 2:
-                        yield _batch(list(block.sent((part << 24) | made, reducers)))
+                        yield to_batch(list(block.sent((part << 24) | made, reducers)))
                         block, made = _Block(), made + 1
         if block.ids:
-            yield _batch(list(block.sent((part << 24) | made, reducers)))
+            yield to_batch(list(block.sent((part << 24) | made, reducers)))
 
     return run
 
@@ -154,7 +149,7 @@ def _count(reducers: int):
                     source.append(np.full(len(names[-1]), len(blocks), np.uint32))
                     blocks.append(block)
                 else:
-                    yield _batch([(block % reducers, kind, block, a, b, c)])
+                    yield to_batch([(home(block, reducers), kind, block, a, b, c)])
         if not names:
             return
         h, row, src = np.concatenate(names), np.concatenate(rows), np.concatenate(source)
@@ -174,7 +169,7 @@ def _count(reducers: int):
         for k, block in enumerate(blocks):
             s = slice(at[k], at[k + 1])
             if at[k] < at[k + 1]:
-                yield _batch([(block % reducers, _KNOWN, block, h[s].tobytes(), row[s].tobytes(), code[s].tobytes())])
+                yield to_batch([(home(block, reducers), _KNOWN, block, h[s].tobytes(), row[s].tobytes(), code[s].tobytes())])
 
     return run
 
@@ -210,12 +205,7 @@ def signatures(names: np.ndarray, code: np.ndarray, n: int) -> list[int]:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document: id, n, node (equal for equal sets); per own set with signatures: the tokens it may share, and they."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for _, kind, block, a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            held.setdefault(block, []).append((kind, a, b, c))
-    for block in sorted(held):
-        rows = held.pop(block)
+    for block, rows in by_block(batches):
         ((_, a, b, c),) = [r for r in rows if r[0] == _DOCS]
         sizes, of = np.frombuffer(b, np.uint32), np.frombuffer(c, np.uint32).tolist()
         count = len(sizes)

@@ -6,7 +6,10 @@ reducers find goes back by block. Sorted names travel as byte planes of their di
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +55,32 @@ def exchange(df: DataFrame, reducers: int) -> DataFrame:
     return df.repartitionById(reducers, F.col("to")).sortWithinPartitions("to", "block", "kind")
 
 
+def home(block: int, reducers: int) -> int:
+    """The task to which what belongs to a block returns."""
+    return ((block * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 32) % reducers
+
+
 def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the runs of a sorted array."""
     starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
     return starts, np.diff(np.append(starts, len(x)))
+
+
+def to_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["to", "kind", "block", "a", "b", "c"])
+
+
+def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """The (kind, a, b, c) rows of each block; rows come in order of block."""
+    block, held = None, []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            _, kind, of, a, b, c = (x[i].as_py() for x in batch.columns)
+            if of != block:
+                if held:
+                    yield block, held
+                block, held = of, []
+            held.append((kind, a, b, c))
+    if held:
+        yield block, held

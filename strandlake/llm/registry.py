@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, byte_bpe, counting, mixing, ngram_join, rules, secrets, toxicity, warc
+from . import audio, byte_bpe, counting, mixing, ngram_join, rules, secrets, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_warc": warc.op6_warc,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_rules": rules.op8_rules,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
 ORACLES = {
