@@ -1,13 +1,65 @@
-"""Corpus pipeline (stages are added as their operators land)."""
+"""Corpus pipeline: toxicity, near-duplicate join, secrets, source mix, token ids.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes what each returns to the shared folder and reads it
+again for the next. All but the last return the columns of documents. Rows that share a doc_id count as the same document.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from strandlake.llm import byte_bpe, mixing, ngram_join, secrets, toxicity
+from strandlake.llm.common import table, written
+
+
+def drop_toxic(spark, docs, sf_dir):
+    """Documents scored 0.5 or more go; null and empty texts stay, and so does everything where no labels are."""
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, score_col="_score").where("_score < 0.5").select(*docs.columns)
+
+
+def keep_one_of_each_group(spark, docs, sf_dir):
+    """Of each component of near copies the document of the smallest doc_id stays; documents without an id stay."""
+    joined = ngram_join.near_components(docs)
+    others = joined.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mask_secrets(spark, docs, sf_dir):
+    """Live-looking secrets are masked in the text; all documents stay."""
+    return secrets.redact(docs)
+
+
+def mix(spark, docs, sf_dir):
+    """Each document comes as many times as the mix takes it, which may be never."""
+    times = mixing.mix_sources(docs).groupBy("doc_id").agg(F.max("passes").cast("int").alias("_times")).where("_times > 0")
+    repeated = docs.join(times, docs["doc_id"].eqNullSafe(times["doc_id"])).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_pass"))
+    return repeated.select(*docs.columns)
+
+
+def token_ids(spark, docs, sf_dir):
+    """doc_id, lang, source, n_tokens, ids."""
+    encoded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_join", keep_one_of_each_group),
+    ("secrets", mask_secrets),
+    ("mixing", mix),
+    ("byte_bpe", token_ids),
+]
+
+#: The learned score and the identifiers of byte pairs have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs)
     return docs

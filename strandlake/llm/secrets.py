@@ -108,24 +108,34 @@ def op4_secrets(spark, sf_dir: str) -> DataFrame:
 def redact(docs: DataFrame, mask: str = "<secret>") -> DataFrame:
     """The same documents with live-looking spans replaced by a mask; n_chars follows. Overlapping spans are merged first.
 
-    Only documents with live spans are rebuilt from pieces; all rows and columns stay.
+    Documents in which no pattern occurs pass straight through; the others are rebuilt piece by piece. All rows and columns stay.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
+    hit = F.lit(False)
+    for _, pattern in KINDS:
+        hit = hit | text.rlike(pattern)
     keep = tuple(docs.columns)
-    scanned = scan(docs, "text", "source", ("source", "lang"), "doc_id", tuple(c for c in keep if c != "doc_id"))
+    scanned = scan(docs.where(hit), "text", "source", ("source", "lang"), "doc_id", tuple(c for c in keep if c != "doc_id"))
     live = spans_of(scanned).where("live").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("live_spans"))
     joined = scanned.join(live, "rid", "left")
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    # pieces are joined once at the end: a text of many spans costs no more than its length
+    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array(F.struct(F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("z"))).alias("gaps"))
 
     def step(acc, s):
-        gap = F.substring(text, (acc.at + 1).cast("int"), F.greatest(s.start - acc.at, F.lit(0)).cast("int"))
-        fresh = s.start >= acc.at
-        return F.struct(F.greatest(acc.at, s.end).alias("at"), F.when(fresh, F.concat(acc.out, gap, F.lit(mask))).otherwise(acc.out).alias("out"))
-
-    clean = F.aggregate("live_spans", state, step, lambda acc: F.concat(acc.out, F.substring(text, (acc.at + 1).cast("int"), F.length(text))))
-    joined = joined.withColumn("clean", F.when(F.col("live_spans").isNull(), F.col("text")).otherwise(clean))
-    chars = F.when(F.col("live_spans").isNull(), F.col("n_chars")).otherwise(F.length("clean").cast("long")) if "n_chars" in keep else None
-    return joined.select(*[F.col("clean").alias(c) if c == "text" else chars.alias(c) if c == "n_chars" else F.col(c) for c in keep])
+        gap = F.array(F.struct(acc.at.alias("a"), s.start.alias("z")))
+        return F.struct(F.greatest(acc.at, s.end).alias("at"), F.when(s.start >= acc.at, F.concat(acc.gaps, gap)).otherwise(acc.gaps).alias("gaps"))
+
+    def finish(acc):
+        cut = lambda a, z: F.substring(text, (a + 1).cast("int"), (z - a).cast("int"))
+        gaps = F.transform(F.slice(acc.gaps, F.lit(2), F.greatest(F.size(acc.gaps) - 1, F.lit(0))), lambda g: cut(g.a, g.z))
+        return F.array_join(F.concat(gaps, F.array(cut(acc.at, F.length(text).cast("bigint")))), mask)
+
+    joined = joined.withColumn("clean", F.when(F.col("live_spans").isNull(), F.col("text")).otherwise(F.aggregate("live_spans", state, step, finish)))
+    out = {"text": F.col("clean")}
+    if "n_chars" in keep:
+        out["n_chars"] = F.when(F.col("live_spans").isNull(), F.col("n_chars")).otherwise(F.length("clean").cast("long"))
+    rebuilt = joined.select(*[out.get(c, F.col(c)).alias(c) for c in keep])
+    return docs.where(~hit).unionByName(rebuilt)
 
 
 _SQL_ASSIGN, _SQL_ACCESS, _SQL_HEX, _SQL_GENERIC = (p.replace("'", "''") for _, p in KINDS)
