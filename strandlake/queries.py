@@ -1,10 +1,13 @@
-"""Query registry of the engine (grows with the modules under plans/)."""
+"""Query registry of the engine."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import catalog
+from .plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "catalog", "flagship"]
 
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Filtered, live genomes of the catalogue."""
+    return QUERIES["tombstone_anti"](spark, sf_dir)
