@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import catalog
+from .plans import catalog, taxonomy
 from .plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "catalog", "flagship"]
+__all__ = ["ORACLES", "QUERIES", "catalog", "flagship", "taxonomy"]
 
 
 def flagship(spark, sf_dir):
