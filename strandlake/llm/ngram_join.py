@@ -7,9 +7,9 @@ the classes' worth passes d: a rare token is worth 1 and is indexed alone; frequ
 tokens in the prefix is worth c - 1, and its pairs are indexed. Of two linked texts at least one signature is then shared.
 Cells depend on the larger text's size, so a text is indexed for the one or two size classes its partners can set.
 
-Verification is exact. Each signature's texts are compared with one hub first; where components then leave a signature with more
-than one, texts of different components are compared too, unless sizes, counts of single-text tokens, or distances to the hub
-(a metric) rule a link out. Pairs inside a component need no test, so groups of near copies stay linear.
+Verification is exact. Each signature's texts are compared with one hub first. Where components then leave a signature with more
+than one, the nodes of its hub outside the largest component are compared with all nodes of that hub, in tiles, unless sizes or
+counts of single-text tokens rule a link out; pairs inside a component need no test and never meet.
 
 Defined results: null, empty or blank texts have no shingle and are linked with nothing; fewer than 5 words are one shingle;
 repeated rows and equal sets share a component; rows that share a doc_id are separate texts; a null doc_id is never the smallest;
@@ -37,6 +37,8 @@ SLICE = 1 << 20
 BLOCK_TOKENS, BLOCK_DOCS = 2_000_000, 60_000
 #: A token of so many texts is frequent. Of so many texts of one block, its rows need not meet in a reducer.
 FREQUENT = 64
+#: Tiles in which nodes of different components meet.
+QUERIES, OTHERS = 512, 4096
 _COMMON = 65535
 _TOKENS, _HOT, _KNOWN, _DOCS = range(4)
 _CODES = byte_codes(15, lower=True)
@@ -254,6 +256,84 @@ def _possible(na, nb, ua, ub):
     return (5 * F.least(na, nb) >= 4 * F.greatest(na, nb)) & (9 * F.least(na - ua, nb - ub) >= 4 * (na + nb))
 
 
+def _cross_links(loose: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components among the nodes of one hub: (u, v), at least one for each node and component that it links to.
+
+    Nodes outside a hub's largest component are the queries, in tiles of QUERIES; they meet all nodes of the hub in tiles of OTHERS.
+    The members of the largest component, which may be a third of all rows, never meet each other.
+    """
+    by_root = loose.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("k"))
+    shape = by_root.groupBy("hub").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("all")).where("all > most")
+    shape = shape.select("hub", "main", F.ceil((F.col("all") - F.col("most")) / QUERIES).cast("int").alias("query_tiles"), F.ceil(F.col("all") / OTHERS).cast("int").alias("other_tiles"))
+    n = loose.join(shape, "hub").withColumn("h", F.xxhash64("node", "hub"))
+    tile = lambda tiles: F.pmod("h", F.col(tiles)).cast("int")
+    along = lambda tiles: F.explode(F.sequence(F.lit(0), F.col(tiles) - 1))
+    columns = ["hub", "node", "root", "n", "single", "i", "j", "kind"]
+    queries = n.where("root <> main").withColumn("i", tile("query_tiles")).withColumn("j", along("other_tiles")).withColumn("kind", F.lit(0))
+    others = n.withColumn("j", tile("other_tiles")).withColumn("i", along("query_tiles")).withColumn("kind", F.lit(1))
+    units = queries.select(columns).unionByName(others.select(columns)).join(sets.select("node", "shared"), "node")
+    dealt = units.select("hub", "i", "j", "kind", "node", "root", "n", "single", "shared").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "kind", "node")
+    return written(dealt.mapInArrow(_tiles, "u binary, v binary"))
+
+
+class _Tile:
+    """Query sets with an inverted index, and the best links found for them."""
+
+    def __init__(self):
+        self.nodes, self.roots, self.n, self.single, self.sets, self.index = [], [], [], [], [], None
+
+    def close(self) -> None:
+        tokens = np.concatenate(self.sets)
+        rows = np.repeat(np.arange(len(self.sets)), list(map(len, self.sets)))
+        order = np.argsort(tokens, kind="stable")
+        self.known, at = np.unique(tokens[order], return_index=True)
+        self.bounds, self.index = np.append(at, len(tokens)), rows[order]
+        self.of = np.array(self.roots, object)
+        self.size, self.alone = np.array(self.n), np.array(self.single)
+
+    def links(self, node, root, n, single, shared) -> list[tuple[bytes, bytes]]:
+        if self.index is None:
+            self.close()
+        # bounds by size and by tokens of a single text, before any set is looked at
+        low = np.minimum(self.size - self.alone, n - single)
+        able = (5 * np.minimum(self.size, n) >= 4 * np.maximum(self.size, n)) & (9 * low >= 4 * (self.size + n)) & (self.of != root)
+        if not able.any():
+            return []
+        at = np.searchsorted(self.known, shared)
+        at[at == len(self.known)] = 0
+        at = at[self.known[at] == shared]
+        first, size = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
+        total = int(size.sum())
+        flat = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(total) if total else np.zeros(0, np.int64)
+        both = np.bincount(self.index[flat], minlength=len(self.nodes))
+        found: dict[bytes, int] = {}
+        for k in np.flatnonzero(able & (9 * both >= 4 * (self.size + n))).tolist():
+            found.setdefault(self.roots[k], k)  # one link to each component is enough
+        return [(self.nodes[k], node) for k in found.values()]
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unit, tile = None, _Tile()
+    for batch in batches:
+        out = []
+        columns = [batch.column(i).to_pylist() for i in range(8)]
+        values, offsets = np.asarray(batch.column(8).flatten()), np.asarray(batch.column(8).offsets)
+        offsets = offsets - offsets[0]
+        for k, (hub, i, j, kind, node, root, n, single) in enumerate(zip(*columns, strict=True)):
+            if (hub, i, j) != unit:
+                unit, tile = (hub, i, j), _Tile()
+            shared = values[offsets[k] : offsets[k + 1]]
+            if kind == 0:
+                tile.nodes.append(node)
+                tile.roots.append(root)
+                tile.n.append(n)
+                tile.single.append(single)
+                tile.sets.append(shared.copy())
+            elif tile.nodes:
+                out += tile.links(node, root, n, single, shared)
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["u", "v"])
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -276,15 +356,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     placed = near.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-    # distance to the hub, where it was tested
-    distance = tested.select(F.col("a").alias("hub"), F.col("b").alias("node"), (F.col("total") - 2 * F.col("both")).alias("far"))
-    open_ = written(placed.join(split, "sig", "left_semi").where("hub <> node").join(distance, ["hub", "node"], "left").select("sig", "node", "n", "single", "root", "far"))
-    x, y = open_.alias("x"), open_.alias("y")
-    c = F.col
-    room = F.coalesce(9 * F.abs(c("x.far") - c("y.far")) <= c("x.n") + c("y.n"), F.lit(True))
-    cond = (c("x.sig") == c("y.sig")) & (c("x.node") < c("y.node")) & (c("x.root") != c("y.root")) & _possible(c("x.n"), c("y.n"), c("x.single"), c("y.single")) & room
-    second = x.join(y, cond).select(c("x.node").alias("a"), c("y.node").alias("b"), (c("x.n") + c("y.n")).alias("total")).distinct()
-    roots = components(links.unionByName(linked(_verified(second, sets))))
+    loose = placed.join(split, "sig", "left_semi").where("hub <> node").select("hub", "node", "root", "n", "single").distinct()
+    roots = components(links.unionByName(_cross_links(written(loose), sets)))
 
     member = described.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     member = written(member.select("doc_id", "n", "root"))
