@@ -111,6 +111,19 @@ def learn_rules(rows: list[tuple[tuple[float, ...], int]]) -> list[list[Literal]
         hp, hm = counts(covered(masks, prune))
         return p >= MIN_COVER and p >= MIN_PRECISION * (p + m) and hp >= MIN_PRECISION * (hp + hm)
 
+    def refined(lit: Literal, at: int, p0: int, n0: int) -> tuple[Literal, int]:
+        """The best of all values as threshold, for the feature and side that the grid has chosen."""
+        f, above, c = lit
+        inside = sorted(((x[f], y == 0) for i, (x, y) in enumerate(rows) if at >> i & 1), reverse=above)
+        base, best, gain, p = math.log2(p0 / (p0 + n0)), c, -1.0, 0
+        for k, (value, is_bad) in enumerate(inside):
+            p += is_bad
+            last = k + 1 == len(inside)
+            if p and (last or inside[k + 1][0] != value) and (g := p * (math.log2(p / (k + 1)) - base)) > gain + 1e-12:
+                best, gain = value if above or last else inside[k + 1][0], g
+        mask = sum(1 << i for i, (x, _) in enumerate(rows) if (x[f] >= best if above else x[f] < best))
+        return (f, above, best), mask
+
     def grown(at: int, banned: set[int]) -> list[tuple[Literal, int]]:
         rule: list[tuple[Literal, int]] = []
         while len(rule) < MAX_LITERALS:
@@ -126,6 +139,7 @@ def learn_rules(rows: list[tuple[tuple[float, ...], int]]) -> list[list[Literal]
                     best, gain = (lit, mask), g
             if best is None:
                 break
+            best = refined(best[0], at, p0, n0)
             rule.append(best)
             at &= best[1]
         return rule

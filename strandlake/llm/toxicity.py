@@ -144,10 +144,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col
                 hit = known[at] == f
                 pairs = np.unique((row[hit].astype(np.int64) << 32) | at[hit])  # each feature once a text
                 np.add.at(total, i + (pairs >> 32), weights[pairs & 0xFFFFFFFF])
-            yield pa.RecordBatch.from_arrays([*batch.columns[extra:], pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -700, 700))))], names)
+            with np.errstate(over="ignore"):
+                p = 1.0 / (1.0 + np.exp(-total))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p)], names)
 
     rest = [c for c in docs.columns if c != score_col]
-    extra, names = 1, [*rest, score_col]
+    names = [*rest, score_col]
     given = docs.select(F.col(text_col), *rest)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[1:])
     return given.mapInArrow(run, f"{schema}, `{score_col}` double")
