@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import catalog, models, taxonomy
+from .plans import catalog, groups, models, taxonomy
 from .plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "catalog", "flagship", "models", "taxonomy"]
+__all__ = ["ORACLES", "QUERIES", "catalog", "flagship", "groups", "models", "taxonomy"]
 
 
 def flagship(spark, sf_dir):
