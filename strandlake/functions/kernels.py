@@ -246,3 +246,58 @@ def longs(df: DataFrame, column: str, kernel: Callable[[bytes], np.ndarray], nam
 
 def doubles(df: DataFrame, column: str, kernel: Callable[[bytes], np.ndarray | None], name: str) -> DataFrame:
     return with_kernel(df, column, lambda s: None if (v := kernel(s)) is None else v.tolist(), name, "array<double>", pa.list_(pa.float64()))
+
+
+# Seeds of the published nucleotide hash, in the order A, C, G, T; the complement's seeds are these in reverse.
+NT_SEEDS = np.array([0x3C8BFBB395C60474, 0x3193C18562A02B4C, 0x20323ED082572324, 0x295549F54BE24456], np.uint64)
+
+
+def _rotated(x: np.ndarray, by: int) -> np.ndarray:
+    by %= 64
+    return x if by == 0 else (x << U(by)) | (x >> U(64 - by))
+
+
+def nt_hashes(seq: bytes, k: int) -> np.ndarray:
+    """Canonical nucleotide hashes of all k-mers without a foreign character: the xor of rotated seeds, the lesser of both strands."""
+    c = codes(seq)
+    n = len(c) - k + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    ok = np.lib.stride_tricks.sliding_window_view(c, k).max(axis=1) < 4
+    own, other = NT_SEEDS[c & 3], NT_SEEDS[::-1][c & 3]
+    forward, reverse = np.zeros(n, U), np.zeros(n, U)
+    for i in range(k):
+        forward ^= _rotated(own[i : i + n], k - 1 - i)
+        reverse ^= _rotated(other[i : i + n], i)
+    return np.minimum(forward, reverse)[ok]
+
+
+def fracminhash(seq: bytes, k: int = 21, c: int = 125) -> np.ndarray:
+    """Distinct hashes that c divides."""
+    h = np.unique(nt_hashes(seq, k))
+    return h[h % U(c) == 0]
+
+
+def randstrobes(residues: bytes, s: int = 4, nearest: int = 5, farthest: int = 20) -> np.ndarray:
+    """Order-2 strobes of residue s-mers: the second one minimises the xor with the first between both distances past it."""
+    table, bits, _ = ALPHABETS["aa20"]
+    c = table[np.frombuffer(residues, np.uint8)]
+    n = len(c) - s + 1
+    if n <= s + nearest:
+        return np.zeros(0, U)
+    small = np.zeros(n, U)
+    for i in range(s):
+        small |= c[i : i + n].astype(U) << U(bits * i)
+    small = splitmix(small)
+    firsts = n - s - nearest
+    best = np.full(firsts, np.iinfo(np.uint64).max, U)
+    chosen = np.zeros(firsts, U)
+    for gap in range(s + nearest, s + farthest + 1):
+        m = min(firsts, n - gap)
+        if m <= 0:
+            break
+        link = small[:m] ^ small[gap : gap + m]
+        better = link < best[:m]
+        best[:m] = np.where(better, link, best[:m])
+        chosen[:m] = np.where(better, small[gap : gap + m], chosen[:m])
+    return splitmix(small[:firsts] ^ (chosen * U(0x9E3779B97F4A7C15)))

@@ -149,3 +149,32 @@ def greedy_clusters(vectors: np.ndarray, threshold: float = 0.97) -> np.ndarray:
             reps.append(i)
             out[i] = i
     return out
+
+
+def log_likelihoods(profiles: DataFrame, models: DataFrame, host: str, candidates: str) -> DataFrame:
+    """id, host, other, own_ll, best_ll, flagged: whether any candidate taxon explains a profile better than its host.
+
+    profiles: id, host, candidates (array of taxa: a family's, so a short list), x. Models, one row a taxon, come as they are needed
+    through a join on the taxon; no profile meets a model outside its list.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            out = []
+            for x, m, w, v, rest in zip(p["x"], p["mean"], p["eigenvalues"], p["eigenvectors"], p["residual"], strict=True):
+                d = np.asarray(x, float) - np.asarray(m, float)
+                w = np.maximum(np.asarray(w, float), 1e-12)
+                y = np.stack(v) @ d
+                noise = max(float(rest), 1e-12)
+                spe = max(0.0, float(d @ d - y @ y))
+                log_det = float(np.log(w).sum() + (len(d) - len(w)) * np.log(noise))
+                out.append(-0.5 * (float((y**2 / w).sum()) + spe / noise + log_det))
+            yield p[["id", "host", "taxon"]].assign(ll=out)
+
+    each = profiles.select("id", F.col(host).alias("host"), F.explode(F.array_union(F.array(F.col(host)), F.col(candidates))).alias("taxon"), F.col("x").cast("array<double>").alias("x"))
+    m = models.select(F.col(models.columns[0]).alias("taxon"), "mean", "eigenvalues", "eigenvectors", "residual")
+    scored = each.join(m, "taxon").select("id", "host", "taxon", "x", "mean", "eigenvalues", "eigenvectors", "residual").mapInPandas(run, "id long, host string, taxon string, ll double")
+    own = F.max(F.when(F.col("taxon") == F.col("host"), F.col("ll"))).alias("own_ll")
+    other = F.when(F.col("taxon") != F.col("host"), F.struct("ll", "taxon"))
+    g = scored.groupBy("id", "host").agg(own, F.max(other).alias("o"))
+    return g.select("id", "host", F.col("o.taxon").alias("other"), "own_ll", F.col("o.ll").alias("best_ll"), (F.col("o.ll") > F.col("own_ll")).alias("flagged"))

@@ -97,3 +97,33 @@ def sim_fragments(spark, d):
     c = v.contigs(spark, d).withColumn("bp", F.length("seq").cast("long"))
     c = c.withColumn("before", F.coalesce(F.sum("bp").over(order), F.lit(0))).withColumn("total", F.sum("bp").over(Window.partitionBy("genome_id")))
     return c.where(F.col("before") < 0.7 * F.col("total")).select("genome_id", "contig_index", "bp")
+
+
+@query()
+def cross_genus(spark, d):
+    """Genomes whose profile some sibling genus of the family explains better than their own genus."""
+    g = kx.doubles(v.genomes(spark, d).select(F.col("genome_id").alias("id"), "family", "genus", "seq"), "seq", kx.tnf, "x").where("x is not null")
+    models = ops.covariance_model(g, "genus", "x", least=5)
+    siblings = g.groupBy("family").agg(F.sort_array(F.collect_set("genus")).alias("siblings"))
+    return ops.log_likelihoods(g.join(siblings, "family"), models, "genus", "siblings")
+
+
+@query()
+def fracminhash_set(spark, d):
+    """Sizes of the subsampled hash sets of each genome over k and c."""
+    out = v.genomes(spark, d).select("genome_id", "seq")
+    for k in (21, 31):
+        for c in (5, 30):
+            out = kx.longs(out.withColumn("_s", F.col("seq")), "_s", lambda s, k=k, c=c: kx.fracminhash(s, k, c), "h").withColumn(f"n_{k}_{c}", F.size("h")).drop("h", "_s")
+    return out.drop("seq")
+
+
+@query(W + ", gs AS (SELECT DISTINCT family, genus FROM g), n AS (SELECT family, genus, coalesce(lead(genus) OVER (PARTITION BY family ORDER BY genus), min(genus) OVER (PARTITION BY family)) AS donor FROM gs), s AS (SELECT genus, sum(length(seq))::BIGINT AS bp FROM g GROUP BY genus) SELECT n.genus AS host, donor, level, round(s.bp * level / (1 - level), 4) AS donor_bp FROM n JOIN s USING (genus), (SELECT unnest([0.05, 0.1, 0.2, 0.3]::DOUBLE[]) AS level) x WHERE donor <> n.genus")
+def bench_grid(spark, d):
+    """Contamination grid: each genus with the next of its family as donor, at four levels; donor letters for each level."""
+    g = v.genomes(spark, d).select("family", "genus", F.length("seq").cast("long").alias("bp")).groupBy("family", "genus").agg(F.sum("bp").alias("bp"))
+    w = Window.partitionBy("family")
+    donor = F.coalesce(F.lead("genus").over(w.orderBy("genus")), F.min("genus").over(w))
+    levels = F.explode(F.array(*map(F.lit, (0.05, 0.1, 0.2, 0.3)))).alias("level")
+    grid = g.withColumn("donor", donor).where("donor <> genus").select(F.col("genus").alias("host"), "donor", "bp", levels)
+    return grid.select("host", "donor", "level", F.round(F.col("bp") * F.col("level") / (1 - F.col("level")), 4).alias("donor_bp"))

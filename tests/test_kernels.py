@@ -88,3 +88,38 @@ def test_prevalence_strata(spark):
     core = ops.prevalence(df, "key").where("run = 'core'")
     q = spark.createDataFrame([(1, 20, 1), (1, 20, 2), (1, 20, 9), (1, 21, 1), (1, 21, 9)], "key int, genome_id int, hash long")
     assert {r.genome_id: r.coverage for r in ops.coverage(q, core, "key").collect()} == {20: 1.0, 21: 0.5}
+
+
+def test_nt_hashes_match_scalar():
+    rng = random.Random(7)
+    seq = "".join(rng.choice("ACGTN" if i % 40 == 0 else "ACGT") for i in range(200))
+    seeds = [int(x) for x in k.NT_SEEDS]
+    rotate = lambda x, by: ((x << by % 64) | (x >> (64 - by % 64))) & M if by % 64 else x
+    for size in (4, 21):
+        expected = []
+        for i in range(len(seq) - size + 1):
+            w = seq[i : i + size]
+            if "N" not in w:
+                c = ["ACGT".index(b) for b in w]
+                f = r = 0
+                for j, b in enumerate(c):
+                    f ^= rotate(seeds[b], size - 1 - j)
+                    r ^= rotate(seeds[3 - b], j)
+                expected.append(min(f, r))
+        assert k.nt_hashes(seq.encode(), size).tolist() == expected
+    back = seq.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    assert sorted(k.nt_hashes(seq.encode(), 21).tolist()) == sorted(k.nt_hashes(back.encode(), 21).tolist())
+    assert all(h % 5 == 0 for h in k.fracminhash(seq.encode(), 21, 5).tolist())
+
+
+def test_randstrobes_match_scalar():
+    rng = random.Random(3)
+    aa = "".join(rng.choice(k.AMINO) for _ in range(60))
+    small = [int(k.splitmix(np.array([sum(k.AMINO.index(aa[i + j]) << (5 * j) for j in range(4))], k.U))[0]) for i in range(len(aa) - 3)]
+    expected = []
+    for i in range(len(small)):
+        lo, hi = i + 9, min(i + 24, len(small) - 1)
+        if lo <= hi:
+            j = min(range(lo, hi + 1), key=lambda j: (small[i] ^ small[j], j))
+            expected.append(int(k.splitmix(np.array([small[i] ^ (small[j] * 0x9E3779B97F4A7C15 & M)], k.U))[0]))
+    assert k.randstrobes(aa.encode()).tolist() == expected
