@@ -42,6 +42,16 @@ def n_words(col) -> F.Column:
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def bounded_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """The first `limit` rows by a hash of the key, written. Far larger tables are thinned by that hash first, so the task that
+    sorts the rest holds about one and a half times the limit."""
+    n = df.count()
+    order = F.xxhash64(key)
+    if n > 2 * limit:
+        df = df.where(F.pmod(order, F.lit(1 << 30)) < int((1 << 30) * 1.5 * limit / n))
+    return written(df.withColumn("order", F.pmod(order, F.lit(1 << 30))).orderBy("order", key).limit(limit))
+
+
 # ---- Arrow text as bytes -------------------------------------------------------------------------------------------
 
 

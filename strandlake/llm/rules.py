@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, table, written
+from .common import WORD, bounded_sample, table, written
 
 #: Labelled rows used for learning, at most.
 SAMPLE = 20_000
@@ -180,8 +180,13 @@ def as_expression(rules: list[list[Literal]]) -> F.Column:
 
 def sample_rows(features: DataFrame, labels: DataFrame, label_col: str = "quality", limit: int = SAMPLE) -> list[tuple[tuple[float, ...], int]]:
     """At most `limit` labelled rows, the first by a hash of the id; the bound keeps what reaches the driver small."""
-    y = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label_col).alias("y"))
-    got = features.join(y, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(limit).select(*[F.col(f).cast("double") for f in FEATURES], F.col("y").cast("int")).collect()
+    y = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label_col).cast("int").alias("y"))
+    chosen = bounded_sample(y, "doc_id", limit)
+    # `limit` rows at most, so broadcast and result are bounded; of rows that share an id the least counts
+    x = F.min(F.struct(*[F.col(f).cast("double").alias(f) for f in FEATURES]))
+    rows = features.join(F.broadcast(chosen), "doc_id").groupBy("order", "doc_id").agg(x.alias("x"), F.min("y").alias("y"))
+    got = sorted(rows.select("order", "doc_id", *[f"x.{f}" for f in FEATURES], "y").collect())
+    got = [r[2:] for r in got]
     return [(tuple(r[:-1]), r[-1]) for r in got]
 
 
