@@ -27,7 +27,7 @@ from .common import table, written
 
 MIN_REVISIT = 100
 ARCHIVE = 4 << 20
-LEVEL = 2
+LEVEL = 6
 _WINDOW = 31  # zlib with a gzip header
 
 
