@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_codes, mix, slices, span_hashes, table, text_bytes, words_of, written
+from .common import bounded_sample, byte_codes, mix, slices, span_hashes, table, text_bytes, words_of
 
 SAMPLE = 16_000
 MAX_WEIGHTS = 1 << 20
@@ -115,7 +115,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The model; what comes to the driver are its weights, MAX_WEIGHTS at most."""
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max(label_col).cast("double").alias("y"))
     # `sample` rows at most, so the broadcast is bounded
-    chosen = written(known.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(sample))
+    chosen = bounded_sample(known, "doc_id", sample)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("order", "y", "text")
     featured = rows.mapInArrow(_featured, "order bigint, y double, features binary")
     model = featured.repartition(1).mapInArrow(_fitted, "feature bigint, weight double, intercept boolean").collect()
