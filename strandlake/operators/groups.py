@@ -77,7 +77,8 @@ def distances(profiles: DataFrame, models: DataFrame, key: str, vector: str) ->
 
 
 def mixture_minor(x: np.ndarray, bp: np.ndarray, least_gap: float = 1.6, least_minor: float = 0.03) -> float | None:
-    """Share of bp in the smaller of two one-dimensional Gaussians, if they are apart; None for fewer than two contigs."""
+    """Share of bp in the smaller of two one-dimensional Gaussians, if they are apart and it spans two contigs or more (one alone may be
+    a plasmid or an island); None for fewer than two contigs."""
     if len(x) < 2:
         return None
     mu = np.quantile(x, [0.1, 0.9])
@@ -89,10 +90,12 @@ def mixture_minor(x: np.ndarray, bp: np.ndarray, least_gap: float = 1.6, least_m
         n = r.sum(axis=0) + 1e-12
         mu, weight = (r * x[:, None]).sum(axis=0) / n, n / n.sum()
         var = np.maximum((r * (x[:, None] - mu) ** 2).sum(axis=0) / n, 1e-9)
-    share = float(bp[r.argmax(axis=1) == 0].sum() / bp.sum())
+    first = r.argmax(axis=1) == 0
+    share = float(bp[first].sum() / bp.sum())
     minor = min(share, 1 - share)
+    spans = int((first if share <= 0.5 else ~first).sum())
     apart = abs(mu[0] - mu[1]) / np.sqrt((var * weight).sum()) >= least_gap
-    return minor if apart and minor >= least_minor else 0.0
+    return minor if apart and minor >= least_minor and spans >= 2 else 0.0
 
 
 def fiedler_minor(similarity: np.ndarray, bp: np.ndarray) -> float | None:

@@ -43,9 +43,11 @@ def tnf_excess(spark, d):
     return ops.distances(g, ops.covariance_model(g, "genus", "tnf"), "genus", "tnf")
 
 
-def _per_genome(kernel, name):
+def _per_genome(kernel, name, most: int | None = None):
+    """Applies the kernel to all contigs of a genome, or to its `most` longest where the operator has such a limit."""
+
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["bp", "contig_index"], ascending=[False, True]).head(32)  # the operator's own limit
+        g = g.sort_values(["bp", "contig_index"], ascending=[False, True]).head(len(g) if most is None else most)
         x = np.stack(g["tnf"].to_numpy())
         return pd.DataFrame([(int(g["genome_id"].iloc[0]), len(g), kernel(x, g["bp"].to_numpy(float)))], columns=["genome_id", "n_contigs", name])
 
@@ -54,7 +56,7 @@ def _per_genome(kernel, name):
 
 @query()
 def gmm_minor(spark, d):
-    """Minor component of a two-Gaussian mixture along the first principal axis of each genome's contig profiles."""
+    """Minor component of a two-Gaussian mixture along the first principal axis of all contig profiles of each genome."""
 
     def kernel(x, bp):
         c = x - x.mean(axis=0)
@@ -67,7 +69,7 @@ def gmm_minor(spark, d):
 @query()
 def fiedler(spark, d):
     """Smaller side of the Fiedler cut over the 32 longest contigs of each genome."""
-    return contig_profiles(spark, d).groupBy("genome_id").applyInPandas(_per_genome(lambda x, bp: ops.fiedler_minor(np.maximum(x @ x.T, 0), bp), "minor"), "genome_id long, n_contigs long, minor double")
+    return contig_profiles(spark, d).groupBy("genome_id").applyInPandas(_per_genome(lambda x, bp: ops.fiedler_minor(np.maximum(x @ x.T, 0), bp), "minor", 32), "genome_id long, n_contigs long, minor double")
 
 
 @query()
