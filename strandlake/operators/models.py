@@ -28,6 +28,25 @@ def coverage(members: DataFrame, model: DataFrame, key: str) -> DataFrame:
     return members.select("genome_id", key).distinct().join(size, key).join(hits, ["genome_id", key], "left").select("genome_id", key, F.coalesce("hits", F.lit(0)).alias("hits"), "core_size", (F.coalesce("hits", F.lit(0)) / F.col("core_size")).alias("coverage"))
 
 
+def single_copy(copies: DataFrame, key: str, theta: float = 0.9, multi_share: float = 0.1, least: int = 10) -> DataFrame:
+    """(key, genome_id, hash, copies) -> key, hash, is_core: in ceil(theta * n) of a key's n genomes or more, and multi-copy in
+    floor(multi_share * present) of those at most; keys of fewer than `least` genomes have no core."""
+    n = copies.groupBy(key).agg(F.countDistinct("genome_id").alias("n"))
+    p = copies.groupBy(key, "hash").agg(F.count(F.lit(1)).alias("present"), F.count_if(F.col("copies") > 1).alias("multi")).join(n, key)
+    core = (F.col("n") >= least) & (F.col("present") >= F.ceil(theta * F.col("n"))) & (F.col("multi") <= F.floor(multi_share * F.col("present")))
+    return p.select(key, "hash", core.alias("is_core"))
+
+
+def duplication_ceiling(copies: DataFrame, core: DataFrame, key: str, times: float = 20.0) -> DataFrame:
+    """key, median, mad, ceiling (median + times * MAD) of core_dup: the share of the core hashes a genome has that it has more than
+    once, 0 where it has none."""
+    marked = copies.join(core.select(key, "hash", F.lit(True).alias("_core")), [key, "hash"], "left")
+    has, twice = F.count_if(F.col("_core")), F.count_if(F.col("_core") & (F.col("copies") > 1))
+    dup = marked.groupBy(key, "genome_id").agg(F.when(has > 0, twice / has).otherwise(0.0).alias("core_dup"))
+    ceiling = F.col("upper_median") + times * F.col("mad")
+    return group_statistics(dup, key, "core_dup").select(key, F.col("upper_median").alias("median"), "mad", ceiling.alias("ceiling"))
+
+
 def multiplicity(members: DataFrame, key: str, cap: int = 255) -> DataFrame:
     """hash -> in how many keys it occurs."""
     return members.select(key, "hash").distinct().groupBy("hash").agg(F.least(F.count(F.lit(1)), F.lit(cap)).alias("n_keys"))

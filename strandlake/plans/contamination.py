@@ -32,25 +32,33 @@ COPIES = f", kc AS (SELECT genome_id, family, least(m, reverse(translate(m, 'ACG
 def kmer_copies(spark, d):
     """genome_id, family, hash, copies: counted in the kernel, so repeats inside a genome are one row."""
     import numpy as np
-    import pyarrow as pa
 
     def counted(s):
-        h, n = np.unique(kx.kmers(kx.codes(s), K, canonical=True), return_counts=True)
-        return [{"hash": a, "copies": b} for a, b in zip(kx.as_long(h), n.tolist(), strict=True)]
+        return np.concatenate(np.unique(kx.kmers(kx.codes(s), K, canonical=True), return_counts=True)).astype(np.uint64)
 
-    g = v.genomes(spark, d).select("genome_id", "family", "seq")
-    c = kx.with_kernel(g, "seq", counted, "x", "array<struct<hash:bigint,copies:bigint>>", pa.list_(pa.struct([("hash", pa.int64()), ("copies", pa.int64())])))
+    c = kx.longs(v.genomes(spark, d).select("genome_id", "family", "seq"), "seq", counted, "both").withColumn("half", F.floor(F.size("both") / 2).cast("int"))
+    pairs = F.arrays_zip(F.slice("both", F.lit(1), F.col("half")).alias("hash"), F.slice("both", F.col("half") + 1, F.col("half")).alias("copies"))
+    c = c.where("half > 0").select("genome_id", "family", pairs.alias("x"))
     return c.select("genome_id", "family", F.explode("x").alias("x")).select("genome_id", "family", "x.hash", "x.copies")
 
 
 @query(W + COPIES + ", nm AS (SELECT family, count(DISTINCT genome_id) AS n FROM kc GROUP BY family), pc AS (SELECT family, hash, count(*) AS present, count(*) FILTER (copies > 1) AS multi, any_value(n) AS n FROM kc JOIN nm USING (family) GROUP BY family, hash) SELECT family, count(*) AS n_hashes, count(*) FILTER (n >= 10 AND present >= ceil(0.1 * n) AND multi <= floor(0.1 * present)) AS n_single_copy FROM pc GROUP BY family")
 def single_copy_core(spark, d):
-    """Hashes in a tenth of a family's genomes or more (the share is a parameter) that are multi-copy in a tenth of those at most."""
+    """Hashes in a tenth of a family's genomes or more, the share of this query's SQL, that are multi-copy in a tenth of those at most;
+    single_copy_ceiling has the core at the operator's own share of nine tenths."""
+    p = ops.single_copy(kmer_copies(spark, d), "family", theta=0.1)
+    return p.groupBy("family").agg(F.count(F.lit(1)).alias("n_hashes"), F.count_if("is_core").alias("n_single_copy"))
+
+
+@query(W + COPIES + ", nm AS (SELECT family, count(DISTINCT genome_id) AS n FROM kc GROUP BY family), pc AS (SELECT family, hash, count(*) AS present, count(*) FILTER (copies > 1) AS multi, any_value(n) AS n FROM kc JOIN nm USING (family) GROUP BY family, hash), sc AS (SELECT family, hash FROM pc WHERE n >= 10 AND present >= ceil(0.9 * n) AND multi <= floor(0.1 * present)), ns AS (SELECT family, count(*) AS n_core FROM sc GROUP BY family), cd AS (SELECT family, genome_id, coalesce(count(sc.hash) FILTER (copies > 1)::DOUBLE / nullif(count(sc.hash), 0), 0) AS dup FROM kc LEFT JOIN sc USING (family, hash) GROUP BY family, genome_id), a AS (SELECT family, list_sort(list(dup)) AS v, count(*) AS n FROM cd GROUP BY family), b AS (SELECT family, n, v, v[floor(n / 2)::INT + 1] AS med FROM a), c AS (SELECT family, med, list_sort(list_transform(v, lambda x: abs(x - med)))[floor(n / 2)::INT + 1] AS mad FROM b) SELECT family, coalesce(n_core, 0) AS n_single_copy, CASE WHEN n_core > 0 THEN round(med, 6) END AS median, CASE WHEN n_core > 0 THEN round(mad, 6) END AS mad, CASE WHEN n_core > 0 THEN round(med + 20 * mad, 6) END AS ceiling FROM c LEFT JOIN ns USING (family)")
+def single_copy_ceiling(spark, d, theta: float = 0.9):
+    """Single-copy core of each family (hashes in ceil(theta * n) of its n genomes or more) and the ceiling of its duplication."""
     c = kmer_copies(spark, d)
-    n = c.groupBy("family").agg(F.countDistinct("genome_id").alias("n"))
-    p = c.groupBy("family", "hash").agg(F.count(F.lit(1)).alias("present"), F.count_if(F.col("copies") > 1).alias("multi")).join(n, "family")
-    keep = (F.col("n") >= 10) & (F.col("present") >= F.ceil(0.1 * F.col("n"))) & (F.col("multi") <= F.floor(0.1 * F.col("present")))
-    return p.groupBy("family").agg(F.count(F.lit(1)).alias("n_hashes"), F.count_if(keep).alias("n_single_copy"))
+    p = ops.single_copy(c, "family", theta)
+    n = p.groupBy("family").agg(F.count_if("is_core").alias("n_single_copy"))
+    ceiling = n.join(ops.duplication_ceiling(c, p.where("is_core"), "family"), "family")
+    given = F.col("n_single_copy") > 0
+    return ceiling.select("family", "n_single_copy", *[F.when(given, F.round(x, 6)).alias(x) for x in ("median", "mad", "ceiling")])
 
 
 @query(W + COPIES + " SELECT genome_id, round(sum(copies - 1) / sum(copies), 6) AS dup_mass, count(*) FILTER (copies > 1) AS n_multi FROM kc GROUP BY genome_id")

@@ -4,9 +4,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from strandlake.operators import groups
-from strandlake.queries import QUERIES
+from strandlake.operators import groups, models
+from strandlake.queries import ORACLES, QUERIES
+
+from .oracle import same
 
 
 def documents(spark, path, rows):
@@ -28,3 +31,28 @@ def test_mixture_minority_spans_two_contigs():
     x = np.array([0.0, 0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 10.0])
     assert groups.mixture_minor(x, np.ones(8)) == 0.0
     assert groups.mixture_minor(np.append(x, 10.01), np.ones(9)) == pytest.approx(2 / 9)
+
+
+def test_single_copy_core_is_nine_tenths(spark):
+    rows = [("f", g, 1, 1) for g in range(10)] + [("f", g, 2, 1 + (g == 3)) for g in range(9)] + [("f", 0, 3, 1)]
+    rows += [("f", g, 4, 1 + (g < 2)) for g in range(10)] + [("few", g, 1, 1) for g in range(9)]
+    copies = spark.createDataFrame(rows, "family string, genome_id int, hash long, copies int")
+    core = models.single_copy(copies, "family").where("is_core")
+    assert sorted((r.family, r.hash) for r in core.select("family", "hash").collect()) == [("f", 1)]  # floor(0.1 * 9) = 0 genomes may repeat hash 2
+    twice = copies.withColumn("copies", F.when((F.col("hash") == 1) & (F.col("genome_id") == 5), 2).otherwise(F.col("copies")))
+    core = models.single_copy(twice, "family").where("is_core")
+    assert [tuple(r) for r in models.duplication_ceiling(twice, core, "family").where("family = 'f'").collect()] == [("f", 0.0, 0.0, 0.0)]
+    half = twice.withColumn("copies", F.when(F.col("genome_id") >= 4, 2).otherwise(1))
+    assert [tuple(r) for r in models.duplication_ceiling(half, core, "family").where("family = 'f'").collect()] == [("f", 1.0, 0.0, 1.0)]
+
+
+def test_single_copy_ceiling_equals_sql(spark, tmp_path):
+    rng = random.Random(6)
+    piece = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    shared, rare = piece(60), piece(40)
+    rows = [(i, shared + piece(20) + (shared[:14] if i == 3 else "") + (rare if i < 3 else ""), "en", "a", 0) for i in range(12)]
+    d = documents(spark, tmp_path, rows)
+    same(spark, d, QUERIES["single_copy_ceiling"], ORACLES["single_copy_ceiling"])
+    got = QUERIES["single_copy_ceiling"](spark, d).first()
+    assert 0 < got.n_single_copy <= 49 + 11 and got.ceiling is not None  # the rare piece, in a quarter of the genomes, is not core
+    assert QUERIES["single_copy_core"](spark, d).first().n_single_copy > got.n_single_copy
