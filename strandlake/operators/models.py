@@ -21,11 +21,12 @@ def prevalence(members: DataFrame, key: str, theta: float = 0.9) -> DataFrame:
     return c.select(key, "hash", "n_present", "n_members", (F.col("n_present") / F.col("n_members")).alias("prevalence"), run.alias("run"))
 
 
-def coverage(members: DataFrame, model: DataFrame, key: str) -> DataFrame:
-    """Share of a key's model hashes that each of its genomes has."""
+def coverage(members: DataFrame, model: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Share of a key's model hashes that each of its genomes has; with how = "left", null in keys whose model is empty."""
     size = model.groupBy(key).agg(F.count(F.lit(1)).alias("core_size"))
     hits = members.join(model.select(key, "hash"), [key, "hash"]).groupBy("genome_id", key).agg(F.count(F.lit(1)).alias("hits"))
-    return members.select("genome_id", key).distinct().join(size, key).join(hits, ["genome_id", key], "left").select("genome_id", key, F.coalesce("hits", F.lit(0)).alias("hits"), "core_size", (F.coalesce("hits", F.lit(0)) / F.col("core_size")).alias("coverage"))
+    each = members.select("genome_id", key).distinct().join(size, key, how).join(hits, ["genome_id", key], "left").select("genome_id", key, F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("core_size", F.lit(0)).alias("core_size"))
+    return each.withColumn("coverage", F.when(F.col("core_size") > 0, F.col("hits") / F.col("core_size")))
 
 
 def single_copy(copies: DataFrame, key: str, theta: float = 0.9, multi_share: float = 0.1, least: int = 10) -> DataFrame:

@@ -127,12 +127,21 @@ def prevalence_core(spark, d):
 
 @query(W + PREV + ", sh AS (SELECT genus, hash FROM runs WHERE n_present >= 2), cs AS (SELECT genus, count(*) AS core_size FROM sh GROUP BY genus), h AS (SELECT genome_id, genus, count(*) AS hits FROM km JOIN sh USING (genus, hash) GROUP BY genome_id, genus) SELECT k.genome_id, k.genus, coalesce(hits, 0) AS hits, core_size, round(coalesce(hits, 0) / core_size, 6) AS coverage FROM (SELECT DISTINCT genome_id, genus FROM km) k JOIN cs USING (genus) LEFT JOIN h USING (genome_id, genus)")
 def core_coverage(spark, d):
-    """Coverage of the hashes that two members or more of the genus share."""
+    """Coverage of the hashes that two members or more of the genus share, the rule of this query's SQL; core_run_coverage has the
+    prevalence core."""
     m = kmer_sets(spark, d)
     model = ops.prevalence(m, "genus").where("n_present >= 2")
     return ops.coverage(m, model, "genus").withColumn("coverage", F.round("coverage", 6))
 
 
+@query(W + PREV + ", core AS (SELECT genus, hash FROM runs WHERE run = 'core'), cs AS (SELECT genus, count(*) AS core_size FROM core GROUP BY genus), h AS (SELECT genome_id, genus, count(*) AS hits FROM km JOIN core USING (genus, hash) GROUP BY genome_id, genus) SELECT k.genome_id, k.genus, coalesce(hits, 0) AS hits, coalesce(core_size, 0) AS core_size, CASE WHEN core_size > 0 THEN round(coalesce(hits, 0) / core_size, 6) END AS coverage FROM (SELECT DISTINCT genome_id, genus FROM km) k LEFT JOIN cs USING (genus) LEFT JOIN h USING (genome_id, genus)")
+def core_run_coverage(spark, d, theta: float = 0.9):
+    """Coverage of the genus's prevalence core (hashes in ceil(theta * n) of its n members or more); null where that core is empty."""
+    m = kmer_sets(spark, d)
+    model = ops.prevalence(m, "genus", theta).where("run = 'core'")
+    return ops.coverage(m, model, "genus", "left").withColumn("coverage", F.round("coverage", 6))
+
+
 @query(W + MERS + ", n AS (SELECT hash, count(DISTINCT genus) AS k FROM km GROUP BY hash) SELECT least(k, 255)::BIGINT AS n_keys, count(*) AS n_hashes FROM n GROUP BY 1")
 def global_multiplicity(spark, d):
     return ops.multiplicity(kmer_sets(spark, d), "genus").groupBy("n_keys").agg(F.count(F.lit(1)).alias("n_hashes"))
