@@ -108,35 +108,70 @@ def fiedler_minor(similarity: np.ndarray, bp: np.ndarray) -> float | None:
     return min(share, 1 - share)
 
 
+def pooled(blocks) -> list[list[float]]:
+    """Pool adjacent violators over blocks (lo, hi, sum of y, n) in order of lo. Blocks of a stretch may be pooled before those of the whole."""
+    out: list[list[float]] = []
+    for b in blocks:
+        out.append(list(b))
+        while len(out) > 1 and out[-2][2] * out[-1][3] >= out[-1][2] * out[-2][3]:
+            _, hi, s, n = out.pop()
+            out[-1] = [out[-1][0], hi, out[-1][2] + s, out[-1][3] + n]
+    return out
+
+
+def knots(blocks: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ends and fitted values of pooled blocks; a block of one x is one knot."""
+    at = [(x, s / n) for lo, hi, s, n in blocks for x in ((lo,) if lo == hi else (lo, hi))]
+    return np.array([x for x, _ in at]), np.array([y for _, y in at])
+
+
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: knots and fitted values; interpolation clamps at the ends."""
-    order = np.argsort(x, kind="stable")
-    blocks: list[list[float]] = []
-    for a, b in zip(x[order], y[order], strict=True):
-        blocks.append([a, a, b, 1.0])
-        while len(blocks) > 1 and blocks[-2][2] >= blocks[-1][2]:
-            lo, hi = blocks[-2], blocks.pop()
-            blocks[-1] = [lo[0], hi[1], (lo[2] * lo[3] + hi[2] * hi[3]) / (lo[3] + hi[3]), lo[3] + hi[3]]
-    return np.array([v for b in blocks for v in (b[0], b[1])]), np.array([b[2] for b in blocks for _ in (0, 1)])
-
-
-def calibrate(df: DataFrame, x: str, y: str, features: list[str], sample: int = 100_000, ridge: float = 1e-4) -> tuple[DataFrame, dict]:
-    """Isotonic fit of y on x plus a ridge fit of its residual on features, from `sample` rows at most; estimate column and report."""
-    got = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).orderBy(F.xxhash64(x, y, *features)).limit(sample).select(x, y, *features).toPandas()
-    if got.empty:
+    """Pool adjacent violators: knots and fitted values; interpolation clamps at the ends. Rows of one x count as their mean."""
+    at, which, n = np.unique(x, return_inverse=True, return_counts=True)
+    return knots(pooled(zip(at, at, np.bincount(which, weights=y), n, strict=True)))
+
+
+def calibrate(df: DataFrame, x: str, y: str, features: list[str], ridge: float = 1e-4) -> tuple[DataFrame, dict]:
+    """Isotonic fit of y on x plus a ridge fit of its residual on features, over all rows with both; estimate column and report.
+
+    Sums per distinct x are pooled within ranges of x, then those blocks on the driver; the ridge fit needs sums of products alone.
+    """
+    real = lambda c: F.col(c).cast("double")
+    rows = df.select(real(x).alias("x"), real(y).alias("y"), F.array(*[F.coalesce(F.nanvl(real(f), F.lit(None)), F.lit(0.0)) for f in features], F.lit(1.0)).alias("f")).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+
+    def stretch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        given = (b for p in parts for b in zip(p["x"], p["x"], p["s"], p["n"], strict=True))
+        yield pd.DataFrame(pooled(given), columns=["lo", "hi", "s", "n"]).astype({"n": "int64"})
+
+    each = rows.groupBy("x").agg(F.sum("y").alias("s"), F.count(F.lit(1)).alias("n"))
+    blocks = each.repartitionByRange("x").sortWithinPartitions("x").mapInPandas(stretch, "lo double, hi double, s double, n long").orderBy("lo").collect()
+    if not blocks:
         return df.withColumn("estimate", F.lit(None).cast("double")), {"n": 0}
-    kx, ky = isotonic(got[x].to_numpy(float), got[y].to_numpy(float))
-    base = np.interp(got[x].to_numpy(float), kx, ky)
-    a = np.column_stack([got[f].fillna(0).to_numpy(float) for f in features] + [np.ones(len(got))])
-    w = np.linalg.solve(a.T @ a + ridge * np.eye(a.shape[1]), a.T @ (got[y].to_numpy(float) - base))
-    rmse = float(np.sqrt(np.mean((np.clip(base + a @ w, 0, 1) - got[y].to_numpy(float)) ** 2)))
+    kx, ky = knots(pooled(blocks))
+    wide = len(features) + 1
+
+    def products(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        aa, ay = np.zeros((wide, wide)), np.zeros(wide)
+        for p in parts:
+            if len(p):
+                a = np.stack(p["f"].to_numpy())
+                aa += a.T @ a
+                ay += a.T @ (p["y"].to_numpy() - np.interp(p["x"].to_numpy(), kx, ky))
+        yield pd.DataFrame({"i": np.arange(wide * wide + wide), "v": np.concatenate([aa.ravel(), ay])})
+
+    # summed by place, so the driver gets as many rows as the sums have numbers
+    sums = np.array([r["v"] for r in rows.mapInPandas(products, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()])
+    w = np.linalg.solve(sums[: wide * wide].reshape(wide, wide) + ridge * np.eye(wide), sums[wide * wide :])
 
     def run(s: pd.Series) -> pd.Series:
         return pd.Series(np.interp(s.to_numpy(float), kx, ky)).where(s.notna())
 
     iso = F.pandas_udf(run, "double")(F.col(x).cast("double"))
-    linear = sum((F.coalesce(F.col(f).cast("double"), F.lit(0.0)) * float(c) for f, c in zip(features, w, strict=False)), F.lit(float(w[-1])))
-    return df.withColumn("estimate", F.least(F.greatest(iso + linear, F.lit(0.0)), F.lit(1.0))), {"n": len(got), "rmse": rmse, "weights": w.tolist()}
+    linear = sum((F.coalesce(F.nanvl(real(f), F.lit(None)), F.lit(0.0)) * float(c) for f, c in zip(features, w, strict=False)), F.lit(float(w[-1])))
+    out = df.withColumn("estimate", F.least(F.greatest(iso + linear, F.lit(0.0)), F.lit(1.0)))
+    off = F.col("estimate") - real(y)
+    report = out.where(real(x).isNotNull() & real(y).isNotNull() & ~F.isnan(real(x)) & ~F.isnan(real(y))).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(off * off)).alias("rmse")).first()
+    return out, {"n": report["n"], "rmse": report["rmse"], "weights": w.tolist()}
 
 
 def greedy_clusters(vectors: np.ndarray, threshold: float = 0.97) -> np.ndarray:

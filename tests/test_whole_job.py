@@ -70,3 +70,32 @@ def test_coverage_of_the_prevalence_core(spark, tmp_path):
     assert got[20].core_size == 0 and got[20].coverage is None
     old = {r.genome_id: r.coverage for r in QUERIES["core_coverage"](spark, d).collect()}
     assert old[5] < 1.0 and 20 not in old
+
+
+def test_calibrate_fits_all_rows(spark):
+    # 150 000 copies of one row and 50 000 others of the same x: one hash, all in or all out of a sample of 100 000
+    n = 200_000
+    df = spark.range(n).select(F.lit(1.0).alias("x"), F.when(F.col("id") < 150_000, 1.0).otherwise(0.0).alias("y"), F.lit(0.0).alias("f"))
+    out, report = groups.calibrate(df, "x", "y", ["f"])
+    assert report["n"] == n and report["rmse"] == pytest.approx(np.sqrt(0.75 * 0.25))
+    assert out.agg(F.min("estimate"), F.max("estimate")).first() == pytest.approx((0.75, 0.75), abs=1e-6)
+
+
+def test_calibrate_equals_one_pass(spark):
+    rng = np.random.default_rng(3)
+    x, f = rng.integers(0, 400, 3000).astype(float), rng.normal(size=3000)
+    y = np.clip(x / 400 + 0.05 * f + 0.2 * rng.normal(size=3000), 0, 1)
+    df = spark.createDataFrame([*zip(x.tolist(), y.tolist(), f.tolist())], "x double, y double, f double").repartition(7)
+    base = np.interp(x, *groups.isotonic(x, y))
+    values = sorted({*x})
+    means = np.array([y[x == v].mean() for v in values])
+    sizes = np.array([(x == v).sum() for v in values])
+    tail = lambda i, j: (means[i : j + 1] * sizes[i : j + 1]).sum() / sizes[i : j + 1].sum()
+    at = 200  # max-min formula of the isotonic fit at one value
+    expected = max(min(tail(i, j) for j in range(at, len(values))) for i in range(at + 1))
+    assert base[x == values[at]] == pytest.approx(expected)
+    a = np.column_stack([f, np.ones(len(f))])
+    w = np.linalg.solve(a.T @ a + 1e-4 * np.eye(2), a.T @ (y - base))
+    _, report = groups.calibrate(df, "x", "y", ["f"])
+    assert report["weights"] == pytest.approx(w.tolist())
+    assert report["rmse"] == pytest.approx(np.sqrt(np.mean((np.clip(base + a @ w, 0, 1) - y) ** 2)))
