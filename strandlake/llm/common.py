@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,21 +24,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master (driver and executors are
+    one process, as in tests) gets a new temporary folder; any other master raises, since its executors would write to their own disks."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir is unset: with master {master} it must name a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='strandlake-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again: lineage ends there, and lost executors cost no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/strandlake-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables that written() made in this process, from the `since`-th on; for callers that are done with all results."""
+    gone = _WRITTEN[since:]
+    del _WRITTEN[since:]
+    for path in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    return len(gone)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """A column name that none of `columns` has, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keyed(docs: DataFrame, key: str = "row") -> DataFrame:
+    """A written table of (key, doc): a number for each row, and the row as a struct, so no column of it can clash with others.
+
+    Numbers are fixed once they are written, so rows that are equal in every column can be told apart by any later job.
+    """
+    return written(docs.select(F.monotonically_increasing_id().alias(key), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")))
+
+
+def lean(run: Callable) -> Callable:
+    """An Arrow function whose worker, kept for later tasks, gives back what it allocated when a partition ends."""
+
+    @functools.wraps(run)
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            libc = ctypes.CDLL(None)
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return kept
+
+
 def n_words(col) -> F.Column:
     """Number of words of a text; null counts as empty."""
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
