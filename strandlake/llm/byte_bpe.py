@@ -1,10 +1,13 @@
 """Byte-level BPE encoding and decoding with vectorised pre-tokenisation.
 
 Texts of a batch become one code-point array. Each code point gets a symbol (its class, with the one character of lookahead that
-the pattern needs); each symbol is a transition function on nine states; prefix compositions of those functions are found by an
+the pattern needs); each symbol is a transition function on eight states; prefix compositions of those functions are found by an
 associative scan (blocks in parallel, then the blocks' totals, again by the same scan), so the state before every character
 is known without any regular expression. State and symbol say where a piece starts. Pieces feed pair merging by rank, cached
-by piece in each worker. Byte offsets of pieces are kept, ids are decoded from the rank table.
+by piece in each worker.
+
+Byte offsets of the pieces are retained: with the lengths of the merged symbols they give each id the byte at which its symbol
+starts. Decoding puts each symbol at its offset, checks that symbols meet exactly, and can decode any stretch of bytes alone.
 
 Defined results: null and empty texts have no ids; repeated rows are separate; an empty table gives an empty result; other
 columns are not read. Text batches are cut to SLICE bytes (or one longer text), whole texts always.
@@ -14,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table, text_bytes
+from .common import lean, slices, table, text_bytes
+from .merging import merged
 
 SLICE = 1 << 20
 #: Pieces in a worker's cache at most, and the longest piece that is cached.
@@ -170,31 +173,9 @@ class Merger(dict):
 
     def merge(self, piece: bytes) -> list[int]:
         """Lowest-rank adjacent pair first, the leftmost on ties, until no pair has a rank."""
-        rank = self.ranks.get
-        if (whole := rank(piece)) is not None:
+        if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        n = len(piece)
-        part: list = [piece[i : i + 1] for i in range(n)]
-        heap = [(r, i) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        pop, push = heapq.heappop, heapq.heappush
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        while heap:
-            r, i = pop(heap)
-            left = part[i]
-            if left is None or (j := after[i]) >= n or rank(left + part[j]) != r:
-                continue
-            part[i] = joined = left + part[j]
-            part[j] = None
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (r := rank(joined + part[k])) is not None:
-                    push(heap, (r, i))
-            h = before[i]
-            if h >= 0 and (r := rank(part[h] + joined)) is not None:
-                push(heap, (r, h))
-        return [self.ranks[p] for p in part if p is not None]
+        return [self.ranks[p] for p in merged([piece[i : i + 1] for i in range(len(piece))], lambda pair: self.ranks.get(pair[0] + pair[1]))]
 
 
 class Codec:
@@ -205,101 +186,135 @@ class Codec:
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for piece, r in ranks.items():
             self.bytes_of[r] = piece
+        self.length_of = np.array([len(x) for x in self.bytes_of], np.int64)
         self.decimal = [str(i) for i in range(len(self.bytes_of))]
 
-    def pieces(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[list[bytes]]:
-        """The pieces of each text, as slices of its UTF-8."""
+    def pieces(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[list[bytes], np.ndarray]]:
+        """The pieces of each text, as slices of its UTF-8, and the byte offset of each in its text."""
         rows = len(offsets) - 1
         marked = np.zeros(len(raw) + rows, np.uint8)  # an end mark after each text
         solid = np.ones(len(marked), bool)
-        solid[offsets[1:] + np.arange(rows)] = False
+        marks = offsets[1:] + np.arange(rows)
+        solid[marks] = False
         marked[solid] = raw
         points = np.frombuffer(marked.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         lead = (marked & 0xC0) != 0x80  # first bytes of characters
         ends = np.cumsum(lead)[~solid] - 1
-        begins = np.flatnonzero(lead)[piece_starts(points, ends)]
-        # 0xFF, which UTF-8 never has, goes before each piece; end marks are pieces of their own
-        flags = np.zeros(len(marked), np.int64)
-        flags[begins] = 1
-        moved = np.arange(len(marked)) + np.cumsum(flags)
-        out = np.full(len(marked) + len(begins), 0xFF, np.uint8)
-        out[moved] = marked
-        stops = moved[~solid]  # of end marks, each preceded by its own 0xFF
-        data, at = out.tobytes(), 0
-        for stop in stops.tolist():
-            text = data[at + 1 : stop - 1]
-            yield text.split(b"\xff") if text else []
-            at = stop + 1
-
-    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-        merged = self.merged.__getitem__
-        for pieces in self.pieces(raw, offsets):
-            yield np.frombuffer(b"".join(map(merged, pieces)), "<i4")
-
-    def decode(self, ids: np.ndarray) -> bytes:
+        begins = np.flatnonzero(lead)[piece_starts(points, ends)]  # end marks are pieces of their own
+        heads = np.concatenate([[0], marks[:-1] + 1])
+        first, last = np.searchsorted(begins, heads), np.searchsorted(begins, marks)
+        data, at = marked.tobytes(), begins.tolist()
+        for head, a, z in zip(heads.tolist(), first.tolist(), last.tolist(), strict=True):
+            yield [data[x:y] for x, y in zip(at[a:z], at[a + 1 : z + 1], strict=True)], begins[a:z] - head
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of each text and the byte offset at which each id's symbol starts."""
+        of = self.merged.__getitem__
+        for pieces, begins in self.pieces(raw, offsets):
+            each = list(map(of, pieces))
+            ids = np.frombuffer(b"".join(each), "<i4")
+            count = np.fromiter(map(len, each), np.int64, len(each)) >> 2
+            ahead = np.cumsum(self.length_of[ids]) - self.length_of[ids]  # bytes of the symbols before
+            first = np.cumsum(count) - count
+            yield ids, ahead + np.repeat(begins - ahead[first], count)  # counted from the piece's own offset
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray | None = None) -> bytes:
+        """The bytes of the ids. Retained offsets must be where the symbols before each end, or the ids are not of that text."""
+        if offsets is not None:
+            length = self.length_of[ids]
+            if len(offsets) != len(ids) or (np.cumsum(length) - length != offsets).any():
+                raise ValueError("ids and their retained offsets do not belong together")
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
 
+    def decode_span(self, ids: np.ndarray, offsets: np.ndarray, start: int, end: int) -> bytes:
+        """Bytes [start, end) of the text, from the ids whose symbols touch them alone."""
+        a = max(0, int(np.searchsorted(offsets, start, side="right")) - 1)
+        z = int(np.searchsorted(offsets, end))
+        if end <= start or a >= z:
+            return b""
+        at = int(offsets[a])
+        return self.decode(ids[a:z])[max(0, start - at) : end - at]
+
 
 @lru_cache(2)
 def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _encoded(column: pa.Array, path: str) -> Iterator[np.ndarray]:
+def _encoded(column: pa.Array, path: str) -> Iterator[tuple[int, int, list[tuple[np.ndarray, np.ndarray]]]]:
+    """Row ranges of a column and the (ids, offsets) of their texts: what is held at a time is bounded by SLICE, or one text."""
     raw, offsets = text_bytes(column)
     for i, j in slices(offsets, SLICE):
-        yield from codec(path).encode(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        yield i, j, list(codec(path).encode(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    values = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+
 
+def _schema(fields, *more: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *more])
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """All columns but the text (and any of the new column's name), and the text's ids as array<int>."""
 
+def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", offsets_col: str | None = "offsets") -> DataFrame:
+    """All columns but the text (and any of the new columns' names), the text's ids as array<int>, and the byte offset of each id's
+    symbol as array<int> (left out where offsets_col is None)."""
+    made = [ids_col, *([offsets_col] if offsets_col else [])]
+    rest = [c for c in docs.columns if c not in (text_col, *made)]
+    names = [*rest, *made]
+
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = list(_encoded(batch.column(0), path))
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], column], names)
-
-    rest = [c for c in docs.columns if c not in (text_col, ids_col)]
-    names = [*rest, ids_col]
+            for i, j, got in _encoded(batch.column(0), path):
+                columns = [_lists([x[k] for x in got]) for k in range(len(made))]
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[1:]), *columns], names)
+
     given = docs.select(F.col(text_col), *rest)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[1:])
-    return given.mapInArrow(run, f"{schema}{', ' if rest else ''}`{ids_col}` array<int>")
+    return given.mapInArrow(run, _schema(given.schema.fields[1:], *(f"`{c}` array<int>" for c in made)))
 
 
-def decode(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """All columns but the ids, and their text; bytes that are no UTF-8 become U+FFFD. Null ids give a null text."""
+def decode(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text", offsets_col: str | None = "offsets") -> DataFrame:
+    """All columns but the ids and their offsets, and the text; bytes that are no UTF-8 become U+FFFD. Null ids give a null text.
+    Offsets, where the column is there and not null, are checked against the symbols: a mismatch raises."""
+    placed = offsets_col is not None and offsets_col in encoded.columns
+    used = [ids_col, *([offsets_col] if placed else [])]
+    rest = [c for c in encoded.columns if c not in (text_col, *used)]
+    names = [*rest, text_col]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            texts = [None if x is None else c.decode(np.array(x, np.int32)).decode("utf-8", "replace") for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], names)
+            texts = []
+            for k in range(batch.num_rows):
+                ids, at = batch.column(0)[k].values, batch.column(1)[k].values if placed else None
+                texts.append(None if ids is None else c.decode(np.asarray(ids, np.int32), None if at is None else np.asarray(at, np.int64)).decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([*batch.columns[len(used) :], pa.array(texts, pa.string())], names)
 
-    rest = [c for c in encoded.columns if c not in (text_col, ids_col)]
-    names = [*rest, text_col]
-    given = encoded.select(F.col(ids_col), *rest)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[1:])
-    return given.mapInArrow(run, f"{schema}{', ' if rest else ''}`{text_col}` string")
+    given = encoded.select(*used, *rest)
+    return given.mapInArrow(run, _schema(given.schema.fields[len(used) :], f"`{text_col}` string"))
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encoded, then decoded from the ids."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encoded, then decoded from the ids with their retained offsets."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            n, of_ids, of_text = [], [], []
-            for ids in _encoded(batch.column(1), path):
-                n.append(len(ids))
-                of_ids.append(hashlib.sha256(" ".join(map(c.decimal.__getitem__, ids.tolist())).encode()).hexdigest())
-                of_text.append(hashlib.sha256(c.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for i, j, got in _encoded(batch.column(1), path):
+                n, of_ids, of_text = [], [], []
+                for ids, at in got:
+                    n.append(len(ids))
+                    of_ids.append(hashlib.sha256(" ".join(map(c.decimal.__getitem__, ids.tolist())).encode()).hexdigest())
+                    of_text.append(hashlib.sha256(c.decode(ids, at)).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return given.mapInArrow(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return given.mapInArrow(run, _schema(given.schema.fields[:1], "n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"))
 
 
 def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,6 @@ columns are not read.
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 import unicodedata
@@ -24,7 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
+from .merging import merged
 
 LIMIT = 2048
 #: str.split() takes these for white space, the vocabulary's patterns may not.
@@ -59,37 +59,9 @@ class MergeCounter(dict):
         return n
 
     def count(self, word: str) -> int:
-        symbols = self.symbols
-        s: list = [symbols[b] for b in word.encode()]
-        n = len(s)
+        s = [self.symbols[b] for b in word.encode()]
         s[-1] += self.suffix
-        if n == 1:
-            return 1
-        rank = self.ranks.get
-        heap = [(r, i) for i in range(n - 1) if (r := rank((s[i], s[i + 1]))) is not None]
-        if not heap:
-            return n
-        heapq.heapify(heap)
-        pop, push = heapq.heappop, heapq.heappush
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        merges = 0
-        while heap:
-            r, i = pop(heap)
-            left = s[i]
-            if left is None or (j := after[i]) >= n or rank((left, s[j])) != r:
-                continue  # one of the two has been merged since
-            s[i] = joined = left + s[j]
-            s[j] = None
-            merges += 1
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (r := rank((joined, s[k]))) is not None:
-                    push(heap, (r, i))
-            h = before[i]
-            if h >= 0 and (r := rank((s[h], joined))) is not None:
-                push(heap, (r, h))
-        return n - merges
+        return len(merged(s, self.ranks.get))  # initial symbols minus merges
 
 
 class ChunkCounter(dict):
@@ -154,6 +126,7 @@ def counter(path: str) -> TokenCounter:
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document."""
 
+    @lean
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = [counter(path)(t.as_py()) for t in batch.column(1)]

@@ -302,6 +302,16 @@ def test_byte_bpe(spark, folder, rows):
     sha = lambda b: hashlib.sha256(b).hexdigest()
     ids = [t.encode_ordinary(r[1] or "") for r in rows]
     assert got == sorted(((r[0], len(i), sha(" ".join(map(str, i)).encode()), sha((r[1] or "").encode())) for r, i in zip(rows, ids, strict=True)), key=key)
+    given = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    c = byte_bpe.codec(path)
+    for r in byte_bpe.encode(given.withColumn("again", F.col("text")), path).collect():  # each id's symbol is where its offset says
+        data, k, at = (r.again or "").encode(), np.array(r.ids, np.int32), np.array(r.offsets, np.int64)
+        assert all(data[a : a + len(c.bytes_of[i])] == c.bytes_of[i] for i, a in zip(r.ids, r.offsets, strict=True))
+        for start, end in ((0, 0), (0, 5), (3, 17), (len(data) // 2, len(data)), (len(data), len(data) + 4)):
+            assert c.decode_span(k, at, start, end) == data[start:end]
+        if len(k) > 1:
+            with pytest.raises(ValueError):
+                c.decode(k[::-1], at + 1)
     back = byte_bpe.decode(byte_bpe.encode(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang"), path), path)
     assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter((r[0], r[1] or "") for r in rows)
 
@@ -316,5 +326,7 @@ def test_byte_bpe_random_pieces():
     raw, offsets = byte_bpe.text_bytes(pa.array(texts))
     codec = byte_bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     pattern = regex.compile(public_tokenizers.PATTERN)
-    assert [b"".join(p).decode() for p in codec.pieces(raw, offsets)] == texts
-    assert [[x.decode() for x in p] for p in codec.pieces(raw, offsets)] == [pattern.findall(t) for t in texts]
+    got = list(codec.pieces(raw, offsets))
+    assert [b"".join(p).decode() for p, _ in got] == texts
+    assert [[x.decode() for x in p] for p, _ in got] == [pattern.findall(t) for t in texts]
+    assert [at.tolist() for _, at in got] == [[len(t[: m.start()].encode()) for m in pattern.finditer(t)] for t in texts]
