@@ -1,7 +1,10 @@
 """Media columns for telephony audio: mu-law, A-law and IMA ADPCM in WAV containers, decoded to resampled 16-bit PCM.
 
 Companded samples are expanded by lookup tables; ADPCM blocks of a whole slice of rows are decoded together, one step of numpy
-for each nibble position; PCM is resampled by Catmull-Rom interpolation to the target rate.
+for each nibble position; PCM is resampled by Catmull-Rom interpolation to the target rate and stored as a column.
+
+The stored form of PCM is lossless (`pack_pcm`, `unpack_pcm`): samples that interpolation gives back exactly are left out, and where
+256 values or fewer occur, as after companding, samples are bytes that point into a list of them.
 
 Defined results: null or empty payloads are stored padded like any other; bytes that are no such WAV give null PCM and a feature
 that starts with "error"; repeated rows are separate; an empty table gives an empty result; other columns pass through unless
@@ -13,19 +16,22 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table, text_bytes, written
+from .common import lean, slices, table, text_bytes, written
 
 RATE, TARGET_RATE = 8000, 16000
 #: Payloads are padded with PAD to a positive multiple of UNIT bytes: whole samples, and whole ADPCM blocks of BLOCK bytes.
 UNIT, PAD, BLOCK = 576, 255, 72
 SLICE = 1 << 20
+#: zstd level of the tables of media and PCM, which are bytes and little else.
+LEVEL = 9
 MULAW, ALAW, ADPCM = 7, 6, 0x11  # WAV format tags
 FORMATS = (MULAW, ALAW, ADPCM)
 
@@ -162,6 +168,7 @@ def padded(payload: bytes) -> bytes:
 def store_payloads(docs: DataFrame, text_col: str = "text", media_col: str = "media") -> DataFrame:
     """All columns but the text, n_bytes, and the text's padded UTF-8 as a WAV file; its format follows from its CRC."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_bytes(batch.column(0))
@@ -179,6 +186,32 @@ def store_payloads(docs: DataFrame, text_col: str = "text", media_col: str = "me
     return given.mapInArrow(run, f"{schema}n_bytes bigint, `{media_col}` binary")
 
 
+def pack_pcm(pcm: np.ndarray) -> bytes:
+    """16-bit samples without loss: flags (1: every second sample is left out; 2: values are listed), number of values, values, samples."""
+    flags, kept = 0, pcm
+    if len(pcm) >= 2 and len(pcm) % 2 == 0 and np.array_equal(resample(pcm[0::2], 1, 2), pcm):
+        flags, kept = 1, pcm[0::2]
+    seen = np.zeros(1 << 16, bool)
+    seen[kept.view(np.uint16) if kept.flags.c_contiguous else kept.astype(np.uint16)] = True
+    values = np.flatnonzero(seen).astype("<u2")
+    if len(values) > 256:
+        return struct.pack("<BH", flags, 0) + kept.astype("<i2").tobytes()
+    place = np.zeros(1 << 16, np.uint8)
+    place[values] = np.arange(len(values))
+    return struct.pack("<BH", flags | 2, len(values)) + values.tobytes() + place[kept.astype(np.uint16)].tobytes()
+
+
+def unpack_pcm(stored: bytes) -> np.ndarray:
+    flags, n = struct.unpack_from("<BH", stored)
+    if flags & 2:
+        values = np.frombuffer(stored, "<u2", n, 3).astype(np.uint16).view(np.int16)
+        at = np.frombuffer(stored, np.uint8, offset=3 + 2 * n)
+        kept = values[at] if len(at) else np.zeros(0, np.int16)
+    else:
+        kept = np.frombuffer(stored, "<i2", offset=3).astype(np.int16)
+    return resample(kept, 1, 2) if flags & 1 else kept
+
+
 def feature(tag: int, pcm: np.ndarray) -> str:
     """Format, samples, peak, energy, zero crossings and CRC of the PCM, in whole numbers."""
     x = pcm.astype(np.int64)
@@ -186,38 +219,62 @@ def feature(tag: int, pcm: np.ndarray) -> str:
     return f"tag={tag};n={len(x)};peak={int(np.abs(x).max(initial=0))};energy={int(np.dot(x, x))};zc={crossings};pcm={zlib.crc32(pcm.astype('<i2').tobytes()):08x}"
 
 
-def read_media(stored: DataFrame, media_col: str = "media", target: int = TARGET_RATE, with_pcm: bool = True) -> DataFrame:
-    """All columns but the media, with what the stored bytes give: pcm (16-bit little-endian at the target rate, or left out),
-    payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
+def _over(df: DataFrame, column: str, made: dict[str, tuple[str, pa.DataType]], given: Callable[[list], list[list]]) -> DataFrame:
+    """All columns but `column`, replaced by those that `given` makes of its values, in slices of SLICE bytes or one longer value."""
+    rest = [c for c in df.columns if c not in (column, *made)]
+    names = [*rest, *made]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.concatenate([[0], np.cumsum([len(m) if m is not None else 0 for m in batch.column(0).to_pylist()])])
-            for i, j in slices(sizes, SLICE):
-                media = batch.column(0).slice(i, j - i).to_pylist()
-                parsed = [parse_wav(m) for m in media]
-                sound = decoded(parsed, target)
-                data = [p[3] if p else None for p in parsed]
-                columns = [
-                    pa.array([None if x is None else len(x) for x in data], pa.int64()),
-                    pa.array([None if x is None else hashlib.sha256(x).hexdigest() for x in data], pa.string()),
-                    pa.array([None if x is None else zlib.crc32(x[-32:]) for x in data], pa.int64()),
-                    pa.array([None if m is None else len(m) for m in media], pa.int64()),
-                    pa.array([None if m is None else hashlib.sha256(m).hexdigest() for m in media], pa.string()),
-                    pa.array(["error: not a telephony WAV file" if p is None else feature(p[0], x) for p, x in zip(parsed, sound, strict=True)], pa.string()),
-                ]
-                if with_pcm:
-                    columns.insert(0, pa.array([None if x is None else x.astype("<i2").tobytes() for x in sound], pa.binary()))
-                yield pa.RecordBatch.from_arrays([*[c.slice(i, j - i) for c in batch.columns[1:]], *columns], names)
-
-    made = [*(["pcm"] if with_pcm else []), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    rest = [c for c in stored.columns if c not in (media_col, *made)]
-    names = [*rest, *made]
-    given = stored.select(F.col(media_col), *rest)
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in given.schema.fields[1:])
-    return given.mapInArrow(run, f"{schema}{'pcm binary, ' if with_pcm else ''}payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+            lengths = np.array(pc.fill_null(pc.binary_length(batch.column(0)), 0), np.int64)
+            for i, j in slices(np.concatenate([[0], np.cumsum(lengths)]), SLICE):
+                values = given(batch.column(0).slice(i, j - i).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[1:]), *(pa.array(v, kind) for v, (_, kind) in zip(values, made.values(), strict=True))], names)
+
+    source = df.select(F.col(column), *rest)
+    schema = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:]), *(f"`{k}` {sql}" for k, (sql, _) in made.items())]
+    return source.mapInArrow(run, ", ".join(schema))
+
+
+def read_media(stored: DataFrame, media_col: str = "media", target: int = TARGET_RATE, pcm_col: str = "pcm") -> DataFrame:
+    """All columns but the media, with what the stored bytes give: format (WAV tag), pcm (packed 16-bit samples at the target rate),
+    payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256."""
+
+    def given(media: list) -> list[list]:
+        parsed = [parse_wav(m) for m in media]
+        data = [p[3] if p else None for p in parsed]
+        return [
+            [p[0] if p else None for p in parsed],
+            [None if x is None else pack_pcm(x) for x in decoded(parsed, target)],
+            [None if x is None else len(x) for x in data],
+            [None if x is None else hashlib.sha256(x).hexdigest() for x in data],
+            [None if x is None else zlib.crc32(x[-32:]) for x in data],
+            [None if m is None else len(m) for m in media],
+            [None if m is None else hashlib.sha256(m).hexdigest() for m in media],
+        ]
+
+    long, text = ("bigint", pa.int64()), ("string", pa.string())
+    made = {"format": ("int", pa.int32()), pcm_col: ("binary", pa.binary()), "payload_bytes": long, "payload_sha256": text, "tail_crc32": long, "media_bytes": long, "media_sha256": text}
+    return _over(stored, media_col, made, given)
+
+
+def pcm_features(sounds: DataFrame, pcm_col: str = "pcm") -> DataFrame:
+    """All columns but the PCM, and the feature that the stored samples give; null PCM gives an error."""
+    tagged = sounds.withColumn(pcm_col, F.concat(F.encode(F.lpad(F.col("format").cast("string"), 4, "0"), "utf-8"), F.col(pcm_col)))
+
+    def given(rows: list) -> list[list]:
+        return [["error: not a telephony WAV file" if x is None else feature(int(x[:4]), unpack_pcm(x[4:])) for x in rows]]
+
+    return _over(tagged, pcm_col, {"feature": ("string", pa.string())}, given)
+
+
+def samples(sounds: DataFrame, pcm_col: str = "pcm") -> DataFrame:
+    """All columns, the packed PCM replaced by plain 16-bit little-endian samples."""
+    return _over(sounds, pcm_col, {pcm_col: ("binary", pa.binary())}, lambda rows: [[None if x is None else unpack_pcm(x).astype("<i2").tobytes() for x in rows]])
 
 
 def op2_audio(spark, sf_dir: str) -> DataFrame:
-    stored = written(store_payloads(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return read_media(stored, with_pcm=False).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    stored = written(store_payloads(table(spark, sf_dir, "documents").select("doc_id", "text")), LEVEL)
+    sounds = written(read_media(stored), LEVEL)
+    return pcm_features(sounds).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

@@ -39,10 +39,11 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it again: lineage ends there, and lost executors cost no recomputation."""
+def written(df: DataFrame, level: int = 3) -> DataFrame:
+    """Write a table to the shared folder and read it again: lineage ends there, and lost executors cost no recomputation.
+    level: of zstd, for tables that are mostly large binary values."""
     path = f"{shared_dir(df.sparkSession)}/strandlake-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

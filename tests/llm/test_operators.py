@@ -104,16 +104,63 @@ def test_signatures_share_one():
             assert set(ngram_join.signatures(names[x], code[x], a)) & set(ngram_join.signatures(names[y], code[y], b))
 
 
+def scalar_pcm(payload):
+    """16 kHz samples of a payload by plain loops: expansion by the published formulas, then the point halfway on a cubic."""
+    tag = audio.FORMATS[zlib.crc32(payload) % 3]
+    if tag == audio.ADPCM:
+        x = [v for i in range(0, len(payload), 72) for v in scalar_adpcm(payload[i : i + 72])]
+    elif tag == audio.MULAW:
+        x = []
+        for b in payload:
+            b ^= 0xFF
+            size = (((b & 15) * 8 + 132) << (b >> 4 & 7)) - 132
+            x.append(-size if b & 128 else size)
+    else:
+        x = []
+        for b in payload:
+            b ^= 0x55
+            e, m = b >> 4 & 7, b & 15
+            size = (2 * m + 1) * 8 if e == 0 else ((2 * m + 33) * 8) << (e - 1)
+            x.append(size if b & 128 else -size)
+    out = []
+    for i, v in enumerate(x):
+        a, c, d = x[max(i - 1, 0)], x[min(i + 1, len(x) - 1)], x[min(i + 2, len(x) - 1)]
+        out += [v, max(-32768, min(32767, (9 * (v + c) - a - d + 8) // 16))]
+    return tag, out
+
+
 def test_audio(spark, folder, rows):
-    got = table(audio.op2_audio, spark, folder, "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
+    got = table(audio.op2_audio, spark, folder, "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
     expected = []
     for d, t, *_ in rows:
         b = (t or "").encode()
         p = b + b"\xff" * (-len(b) % 576 or (0 if b else 576))
-        expected.append((d, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])))
+        tag, x = scalar_pcm(p)
+        media = audio.wav(p, tag)
+        assert media[-len(p) :] == p
+        zc = sum((v >= 0) != (w >= 0) for v, w in zip(x, x[1:], strict=False))
+        feature = f"tag={tag};n={len(x)};peak={max(map(abs, x))};energy={sum(v * v for v in x)};zc={zc};pcm={zlib.crc32(np.array(x, '<i2').tobytes()):08x}"
+        expected.append((d, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
     assert got == sorted(expected, key=key)
 
 
+def test_audio_stored_pcm(spark, folder, rows):
+    """The PCM column that is stored holds every sample of every row."""
+    sounds = audio.read_media(audio.store_payloads(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "node")))
+    assert {"format", "pcm", "node"} <= set(sounds.columns)
+    by_sha = {hashlib.sha256(p).hexdigest(): scalar_pcm(p) for p in (audio.padded((r[1] or "").encode()) for r in rows)}
+    for r in audio.samples(sounds).collect():
+        assert (r.format, np.frombuffer(r.pcm, "<i2").tolist()) == by_sha[r.payload_sha256]
+
+
+def test_pack_pcm():
+    rng = np.random.default_rng(2)
+    for x in ([], [5], [1, 2], [-32768, 32767] * 300, range(-700, 700), rng.integers(-32768, 32768, 999)):
+        x = np.array(x, np.int16)
+        for y in (x, audio.resample(x, 8000, 16000)):
+            assert audio.unpack_pcm(audio.pack_pcm(y)).tolist() == y.tolist()
+
+
 def scalar_adpcm(block):
     value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
     out = [value]
@@ -139,7 +186,8 @@ def test_audio_codecs(spark):
     for tag in audio.FORMATS:
         assert audio.parse_wav(audio.wav(b"\x01" * 144, tag)) == (tag, 8000, audio.BLOCK if tag == audio.ADPCM else 1, b"\x01" * 144)
     df = spark.createDataFrame([(1, bytearray(b"junk")), (2, None)], "doc_id long, media binary")
-    assert [(r.pcm, r.feature[:5]) for r in audio.read_media(df).orderBy("doc_id").collect()] == [(None, "error")] * 2
+    assert [(r.format, r.pcm) for r in audio.read_media(df).collect()] == [(None, None)] * 2
+    assert [r.feature[:5] for r in audio.pcm_features(audio.read_media(df)).collect()] == ["error"] * 2
 
 
 def test_counting(spark, folder, rows):
