@@ -12,7 +12,8 @@ than one, the nodes of its hub outside the largest component are compared with a
 counts of single-text tokens rule a link out; pairs inside a component need no test and never meet.
 
 Defined results: null, empty or blank texts have no shingle and are linked with nothing; fewer than 5 words are one shingle;
-repeated rows and equal sets share a component; rows that share a doc_id are separate texts; a null doc_id is never the smallest;
+repeated rows and equal sets share a component; rows that share a doc_id are separate texts; a null doc_id is never the smallest
+where another row has one;
 an empty table gives an empty result; other columns are ignored. Ids are integers.
 """
 
@@ -27,14 +28,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_codes, mix, slices, span_hashes, table, text_bytes, words_of, written
+from .common import byte_codes, lean, mix, slices, span_hashes, table, text_bytes, words_of, written
 from .graph import components
-from .packed import SCHEMA, by_block, cuts, exchange, from_planes, home, n_reducers, pack_sorted, planes, runs, to_batch, unpack_sorted
+from .packed import SCHEMA, by_block, cuts, exchange, from_planes, home, in_batches, n_reducers, pack_sorted, planes, runs, to_batch, unpack_sorted
 
 WORDS = 5
 SLICE = 1 << 20
 #: A block ends at so many tokens or documents.
-BLOCK_TOKENS, BLOCK_DOCS = 2_000_000, 60_000
+BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 60_000
+#: Names that a reducer sorts at a time.
+SORTED = 1 << 20
 #: A token of so many texts is frequent. Of so many texts of one block, its rows need not meet in a reducer.
 FREQUENT = 64
 #: Tiles in which nodes of different components meet.
@@ -67,10 +70,10 @@ def shingles(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 class _Block:
     def __init__(self):
-        self.names, self.rows, self.ids, self.null, self.sizes, self.of, self.seen = [], [], [], [], [], [], {}
+        self.names, self.rows, self.ids, self.null, self.keys, self.sizes, self.of, self.seen = [], [], [], [], [], [], [], {}
         self.tokens = 0
 
-    def add(self, ids: pa.Array, raw: np.ndarray, offsets: np.ndarray) -> None:
+    def add(self, ids: pa.Array, keys: pa.Array, raw: np.ndarray, offsets: np.ndarray) -> None:
         h, row = shingles(raw, offsets)
         order = np.argsort(h, kind="stable")
         h, row = h[order], row[order]
@@ -93,6 +96,7 @@ class _Block:
         self.tokens += int(keep.sum())
         self.ids += ids.fill_null(0).to_pylist()
         self.null += ids.is_null().to_pylist()
+        self.keys += keys.to_pylist()
         self.sizes += n.tolist()
         self.of += first.tolist()
 
@@ -104,7 +108,7 @@ class _Block:
         hot_run = lengths >= FREQUENT
         hot = np.repeat(hot_run, lengths)
         own = home(block, reducers)
-        yield own, _DOCS, block, np.array(self.ids, np.int64).tobytes() + np.array(self.null, np.uint8).tobytes(), np.array(self.sizes, np.uint32).tobytes(), np.array(self.of, np.uint32).tobytes()
+        yield own, _DOCS, block, np.array(self.ids + self.keys, np.int64).tobytes() + np.array(self.null, np.uint8).tobytes(), np.array(self.sizes, np.uint32).tobytes(), np.array(self.of, np.uint32).tobytes()
         if hot.any():
             yield own, _KNOWN, block, h[hot].tobytes(), row[hot].tobytes(), np.full(int(hot.sum()), _COMMON, np.uint16).tobytes()
             names = h[starts[hot_run]]
@@ -119,6 +123,7 @@ class _Block:
 
 
 def _send(reducers: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, part, made = _Block(), TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -126,21 +131,23 @@ def _send(reducers: int):
             for i, j in slices(offsets, SLICE):
                 for a in range(i, j, BLOCK_DOCS // 4):
                     b = min(j, a + BLOCK_DOCS // 4)
-                    block.add(batch.column(0).slice(a, b - a), raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                    block.add(batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                     if block.tokens >= BLOCK_TOKENS or len(block.ids) >= BLOCK_DOCS // 2:
-                        yield to_batch(list(block.sent((part << 24) | made, reducers)))
+                        yield from in_batches(block.sent((part << 24) | made, reducers))
                         block, made = _Block(), made + 1
         if block.ids:
-            yield to_batch(list(block.sent((part << 24) | made, reducers)))
+            yield from in_batches(block.sent((part << 24) | made, reducers))
 
     return run
 
 
 def _count(reducers: int):
-    """Texts of each token; the tokens of more than one text go back to their blocks with that count."""
+    """Texts of each token; the tokens of more than one text go back to their blocks with that count. A reducer sorts its names by
+    ranges of about SORTED, so what it holds is little more than what it was sent."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, rows, source, blocks, hot = [], [], [], [], [np.zeros(0, np.uint64)]
+        names, rows, blocks, hot = [], [], [], [np.zeros(0, np.uint64)]
         for batch in batches:
             for _, kind, block, a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if kind == _HOT:
@@ -148,30 +155,34 @@ def _count(reducers: int):
                 elif kind == _TOKENS:
                     names.append(unpack_sorted(a))
                     rows.append(from_planes(b, np.uint16))
-                    source.append(np.full(len(names[-1]), len(blocks), np.uint32))
                     blocks.append(block)
                 else:
                     yield to_batch([(home(block, reducers), kind, block, a, b, c)])
         if not names:
             return
-        h, row, src = np.concatenate(names), np.concatenate(rows), np.concatenate(source)
-        del names, rows, source
+        everywhere = np.unique(np.concatenate(hot))
+        low, high = min(int(x[0]) for x in names), max(int(x[-1]) for x in names)
+        parts = -(-sum(map(len, names)) // SORTED)
+        edges = np.array([low + (high - low) * k // parts for k in range(1, parts)], np.uint64)
+        at = [np.concatenate([[0], np.searchsorted(x, edges), [len(x)]]) for x in names]
+        for k in range(parts):
+            yield from in_batches(counted(names, rows, blocks, [(x[k], x[k + 1]) for x in at], everywhere))
+
+    def counted(names, rows, blocks, spans, everywhere) -> Iterator[tuple]:
+        h = np.concatenate([x[a:b] for x, (a, b) in zip(names, spans, strict=True)])
         order = np.argsort(h, kind="stable")
-        h = h[order]
-        starts, lengths = runs(h)
-        known = h[starts]
+        starts, lengths = runs(h[order])
         code = np.minimum(lengths, _COMMON - 1).astype(np.uint16)
-        code[np.isin(known, np.concatenate(hot))] = _COMMON
-        code = np.repeat(code, lengths)
-        many = code > 1
-        h, code, row, src = h[many], code[many], row[order[many]], src[order[many]]
-        order = np.argsort(src, kind="stable")
-        h, code, row = h[order], code[order], row[order]
-        at = np.searchsorted(src[order], np.arange(len(blocks) + 1))
-        for k, block in enumerate(blocks):
-            s = slice(at[k], at[k + 1])
-            if at[k] < at[k + 1]:
-                yield to_batch([(home(block, reducers), _KNOWN, block, h[s].tobytes(), row[s].tobytes(), code[s].tobytes())])
+        code[np.isin(h[order][starts], everywhere)] = _COMMON
+        of = np.empty(len(h), np.uint16)
+        of[order] = np.repeat(code, lengths)
+        begin = 0
+        for x, r, block, (a, b) in zip(names, rows, blocks, spans, strict=True):
+            code = of[begin : begin + b - a]
+            begin += b - a
+            many = code > 1
+            if many.any():
+                yield home(block, reducers), _KNOWN, block, x[a:b][many].tobytes(), r[a:b][many].tobytes(), code[many].tobytes()
 
     return run
 
@@ -205,13 +216,14 @@ def signatures(names: np.ndarray, code: np.ndarray, n: int) -> list[int]:
     return np.unique(np.concatenate(out)).view(np.int64).tolist()
 
 
+@lean
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document: id, n, node (equal for equal sets); per own set with signatures: the tokens it may share, and they."""
+    """Per document: id, row, n, node (equal for equal sets); per own set with signatures: the tokens it may share, and they."""
     for block, rows in by_block(batches):
         ((_, a, b, c),) = [r for r in rows if r[0] == _DOCS]
         sizes, of = np.frombuffer(b, np.uint32), np.frombuffer(c, np.uint32).tolist()
         count = len(sizes)
-        ids, null = np.frombuffer(a[: 8 * count], np.int64), np.frombuffer(a[8 * count :], np.uint8).astype(bool)
+        ids, keys, null = np.frombuffer(a[: 8 * count], np.int64), np.frombuffer(a[8 * count : 16 * count], np.int64), np.frombuffer(a[16 * count :], np.uint8).astype(bool)
         tokens = [r for r in rows if r[0] == _KNOWN]
         h = np.concatenate([np.frombuffer(r[1], np.uint64) for r in tokens] or [np.zeros(0, np.uint64)])
         row = np.concatenate([np.frombuffer(r[2], np.uint16) for r in tokens] or [np.zeros(0, np.uint16)])
@@ -237,10 +249,10 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sigs.append(found or None)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(ids, pa.int64(), mask=null), pa.array(sizes.astype(np.int64)), pa.array(nodes, pa.binary()), pa.array(single, pa.int64()),
+                pa.array(ids, pa.int64(), mask=null), pa.array(keys, pa.int64()), pa.array(sizes.astype(np.int64)), pa.array(nodes, pa.binary()), pa.array(single, pa.int64()),
                 pa.array(shared, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64())),
             ],
-            ["doc_id", "n", "node", "single", "shared", "sigs"],
+            ["doc_id", "row", "n", "node", "single", "shared", "sigs"],
         )
 
 
@@ -312,6 +324,7 @@ class _Tile:
         return [(self.nodes[k], node) for k in found.values()]
 
 
+@lean
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unit, tile = None, _Tile()
     for batch in batches:
@@ -334,20 +347,26 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["u", "v"])
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document, and is_first: whether it is the row that stands for its component, the one
+    of the smallest id (null last), then of the smallest row number. Texts without words stand for themselves.
+
+    row_col: a column of distinct whole numbers, returned with the result, for callers that decide per row; else rows are numbered here.
+    """
+    number = F.monotonically_increasing_id() if row_col is None else F.col(row_col).cast("long")
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), number.alias("row"))
     reducers = n_reducers(given)
     sent = given.mapInArrow(_send(reducers), SCHEMA)
     counted = exchange(sent, reducers).mapInArrow(_count(reducers), SCHEMA)
-    described = exchange(counted, reducers).mapInArrow(_describe, "doc_id bigint, n bigint, node binary, single bigint, shared array<bigint>, sigs array<bigint>")
+    described = exchange(counted, reducers).mapInArrow(_describe, "doc_id bigint, row bigint, n bigint, node binary, single bigint, shared array<bigint>, sigs array<bigint>")
     described = written(described)
     sets = written(described.where("sigs is not null").dropDuplicates(["node"]))
     marks = written(sets.select(F.explode("sigs").alias("sig"), "node", "n", "single"))
 
     best = F.min_by(F.struct("node", "n", "single"), F.struct(F.col("single") / F.col("n"), F.col("node")))
     hubs = marks.groupBy("sig").agg(best.alias("hub"), F.count(F.lit(1)).alias("texts")).where("texts > 1").select("sig", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.single").alias("hub_single"))
-    near = written(marks.join(hubs, "sig"))
+    # sort-merge joins, so that AQE splits a signature that many texts have
+    near = written(marks.join(hubs.hint("merge"), "sig"))
     first = near.where("hub <> node").where(_possible(F.col("n"), F.col("hub_n"), F.col("single"), F.col("hub_single"))).select(F.col("hub").alias("a"), F.col("node").alias("b"), (F.col("n") + F.col("hub_n")).alias("total")).distinct()
     tested = _verified(first, sets)
     linked = lambda t: t.where("9 * both >= 4 * total").select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -356,15 +375,17 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     placed = near.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-    loose = placed.join(split, "sig", "left_semi").where("hub <> node").select("hub", "node", "root", "n", "single").distinct()
+    loose = placed.join(split.hint("merge"), "sig", "left_semi").where("hub <> node").select("hub", "node", "root", "n", "single").distinct()
     roots = components(links.unionByName(_cross_links(written(loose), sets)))
 
-    member = described.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    member = written(member.select("doc_id", "n", "root"))
-    least = member.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    joined = member.where("n > 0").join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
-    return joined.unionByName(member.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    member = described.select("doc_id", "row", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    member = written(member.select("doc_id", "row", "n", "root"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
+    least = member.where("n > 0").groupBy("root").agg(F.min(rank).alias("least"))
+    number = [F.col("row").alias(row_col)] if row_col is not None else []
+    joined = member.where("n > 0").join(least, "root").select(*number, "doc_id", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("is_first"))
+    return joined.unionByName(member.where("n = 0").select(*number, "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("is_first")))
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return near_components(table(spark, sf_dir, "documents"))
+    return near_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

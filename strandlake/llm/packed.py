@@ -71,6 +71,19 @@ def to_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["to", "kind", "block", "a", "b", "c"])
 
 
+def in_batches(rows: Iterator[tuple], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows as record batches of about `most` bytes, so neither side of the worker's pipe holds a whole block at once."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(map(len, row[3:]))
+        if size >= most:
+            yield to_batch(held)
+            held, size = [], 0
+    if held:
+        yield to_batch(held)
+
+
 def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
     """The (kind, a, b, c) rows of each block; rows come in order of block."""
     block, held = None, []
