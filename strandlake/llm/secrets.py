@@ -1,9 +1,9 @@
 """Secret scans with corpus-wide ownership frequency (DataFrame operations only).
 
 Patterns give candidates; each candidate value's hash is aggregated over the corpus by distinct repositories and owners.
-A value that MAX_LIVE_OWNERS + 1 owners or more hold is a widely copied example, one of fewer owners looks live. Assign,
-access and hex matches are always spans; a generic token (a digit and 15 or more token characters) that overlaps none of them
-is a span only when it looks live.
+A value that more than MAX_LIVE_OWNERS owners or more than MAX_LIVE_REPOS repositories hold is a widely copied example, any other
+looks live. Assign, access and hex matches are always spans; a generic token (a digit and 15 or more token characters) that overlaps
+none of them is a span only when it looks live.
 
 Offsets come from the pieces between matches (split) and the matches (regexp_extract_all), summed in a window by
 (document, kind): linear in the number of matches, whatever the text's length. Texts are read once; what is shuffled are
@@ -31,11 +31,13 @@ GENERIC = r"[0-9][A-Za-z0-9_+/-]{15,}"
 #: In the order in which spans with one start are listed.
 KINDS = (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("generic", GENERIC))
 MIN_ASSIGNED = 8
-MAX_LIVE_OWNERS = 2
+#: Owners, and repositories over all owners, that a live value has at most.
+MAX_LIVE_OWNERS, MAX_LIVE_REPOS = 2, 4
 
 
-def scan(docs: DataFrame, text_col: str, owner_col: str, repo_cols: tuple[str, ...], id_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document with rid and, for each kind that occurs, lengths of the gaps and the matches; written once."""
+def scan(docs: DataFrame, text_col: str, owner_col: str, repo_cols: tuple[str, ...], keep: tuple[str, ...]) -> DataFrame:
+    """One row per document with rid, doc (a struct of the columns `keep`), owner, repo and, for each kind that occurs, lengths of
+    the gaps and the matches; written once. No column of the documents stands beside those of the scan, so names cannot clash."""
     text = F.coalesce(F.col(text_col), F.lit(""))
 
     def found(rank: int, pattern: str) -> F.Column:
@@ -46,11 +48,10 @@ def scan(docs: DataFrame, text_col: str, owner_col: str, repo_cols: tuple[str, .
     return written(
         docs.select(
             F.monotonically_increasing_id().alias("rid"),
-            F.col(id_col).alias("doc_id"),
+            F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"),
             F.col(owner_col).cast("string").alias("owner"),
             F.to_json(F.array(*[F.col(c).cast("string") for c in repo_cols])).alias("repo"),
             kinds.alias("kinds"),
-            *[F.col(c) for c in keep],
         )
     )
 
@@ -74,14 +75,14 @@ def spans_of(scanned: DataFrame) -> DataFrame:
     # one row per (value, owner, repository) before distinct owners are counted, so a hot value is summed map-side first
     held = each.groupBy("value_md5", "owner", "repo").agg(F.lit(1).alias("one"))
     held = held.groupBy("value_md5", "owner").agg(F.count(F.lit(1)).alias("repos")).groupBy("value_md5").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"))
-    seen = each.drop("owner", "repo").join(held, "value_md5").withColumn("live", F.col("n_owners") <= MAX_LIVE_OWNERS)
+    seen = each.drop("owner", "repo").join(held, "value_md5").withColumn("live", (F.col("n_owners") <= MAX_LIVE_OWNERS) & (F.col("n_repos") <= MAX_LIVE_REPOS))
     name = F.element_at(F.array(*[F.lit(k) for k, _ in KINDS]), F.col("rank") + 1)
     return seen.where((F.col("rank") < 3) | F.col("live")).select("rid", "rank", name.alias("kind"), "start", "end", (F.col("rank") < 3).alias("base"), "live", "value_md5", "n_owners", "n_repos")
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang")) -> DataFrame:
     """Per document: doc_id, spans array<struct<start, rank, kind, end, base, live>> in order of start, then kind."""
-    scanned = scan(docs, text_col, owner_col, repo_cols, id_col)
+    scanned = scan(docs, text_col, owner_col, repo_cols, (id_col,)).withColumn("doc_id", F.col(f"doc.`{id_col}`"))
     by_doc = spans_of(scanned).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "end", "base", "live"))).alias("spans"))
     none = F.expr("cast(array() as array<struct<start:bigint,rank:int,kind:string,end:bigint,base:boolean,live:boolean>>)")
     return scanned.select("rid", "doc_id").join(by_doc, "rid", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
@@ -105,19 +106,18 @@ def op4_secrets(spark, sf_dir: str) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, mask: str = "<secret>") -> DataFrame:
-    """The same documents with live-looking spans replaced by a mask; n_chars follows. Overlapping spans are merged first.
+def redact(docs: DataFrame, mask: str = "<secret>", text_col: str = "text", size_col: str = "n_chars", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang")) -> DataFrame:
+    """The same documents with live-looking spans replaced by a mask; the column size_col, where there is one, follows. Overlapping
+    spans are merged first. All rows and columns stay, whatever the columns are called.
 
-    Documents in which no pattern occurs pass straight through; the others are rebuilt piece by piece. All rows and columns stay.
+    The patterns run once over every text, when whole rows are written with what was found. Rows without a match pass straight
+    through; the others are rebuilt piece by piece.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    hit = F.lit(False)
-    for _, pattern in KINDS:
-        hit = hit | text.rlike(pattern)
-    keep = tuple(docs.columns)
-    scanned = scan(docs.where(hit), "text", "source", ("source", "lang"), "doc_id", tuple(c for c in keep if c != "doc_id"))
-    live = spans_of(scanned).where("live").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("live_spans"))
-    joined = scanned.join(live, "rid", "left")
+    scanned = scan(docs, text_col, owner_col, repo_cols, tuple(docs.columns))
+    some = F.size("kinds") > 0
+    live = spans_of(scanned).where("live").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("live"))
+    joined = scanned.where(some).select("rid", "doc").join(live, "rid", "left")
+    text = F.col(f"doc.`{text_col}`")
     # pieces are joined once at the end: a text of many spans costs no more than its length
     state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array(F.struct(F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("z"))).alias("gaps"))
 
@@ -130,17 +130,18 @@ def redact(docs: DataFrame, mask: str = "<secret>") -> DataFrame:
         gaps = F.transform(F.slice(acc.gaps, F.lit(2), F.greatest(F.size(acc.gaps) - 1, F.lit(0))), lambda g: cut(g.a, g.z))
         return F.array_join(F.concat(gaps, F.array(cut(acc.at, F.length(text).cast("bigint")))), mask)
 
-    joined = joined.withColumn("clean", F.when(F.col("live_spans").isNull(), F.col("text")).otherwise(F.aggregate("live_spans", state, step, finish)))
-    out = {"text": F.col("clean")}
-    if "n_chars" in keep:
-        out["n_chars"] = F.when(F.col("live_spans").isNull(), F.col("n_chars")).otherwise(F.length("clean").cast("long"))
-    rebuilt = joined.select(*[out.get(c, F.col(c)).alias(c) for c in keep])
-    return docs.where(~hit).unionByName(rebuilt)
+    joined = joined.select("doc", "live", F.when(F.col("live").isNull(), text).otherwise(F.aggregate("live", state, step, finish)).alias("clean"))
+    own = {c: F.col(f"doc.`{c}`") for c in docs.columns}
+    new = own | {text_col: F.col("clean")}
+    if size_col in own:
+        new[size_col] = F.when(F.col("live").isNull(), own[size_col]).otherwise(F.length("clean").cast(docs.schema[size_col].dataType))
+    through = scanned.where(~some)
+    return through.select(*[x.alias(c) for c, x in own.items()]).unionByName(joined.select(*[x.alias(c) for c, x in new.items()]))
 
 
 _SQL_ASSIGN, _SQL_ACCESS, _SQL_HEX, _SQL_GENERIC = (p.replace("'", "''") for _, p in KINDS)
 ORACLE = rf"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS owner, source, lang, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {{'none': source IS NULL, 'name': coalesce(source, '')}} AS owner, {{'none': source IS NULL, 'name': coalesce(source, ''), 'no_lang': lang IS NULL, 'lang': coalesce(lang, '')}} AS repo, coalesce(text, '') AS text FROM documents),
 p AS (SELECT * FROM (VALUES (0, 'assign', '{_SQL_ASSIGN}'), (1, 'access', '{_SQL_ACCESS}'), (2, 'hex', '{_SQL_HEX}'), (3, 'generic', '{_SQL_GENERIC}')) v(rank, kind, pat)),
 m AS (
   SELECT rid, 0 AS rank, string_split_regex(text, '{_SQL_ASSIGN}') AS gaps, regexp_extract_all(text, '{_SQL_ASSIGN}') AS hits FROM d
@@ -155,10 +156,10 @@ h AS (
 k AS (SELECT * FROM h WHERE rank <> 0 OR length(value) >= 8),
 c AS (
   SELECT * FROM k WHERE rank < 3 OR NOT EXISTS (SELECT 1 FROM k b WHERE b.rid = k.rid AND b.rank < 3 AND b.start < k.stop AND k.start < b.stop)),
-o AS (SELECT value, count(DISTINCT owner) AS n_owners FROM c JOIN d USING (rid) GROUP BY value),
+o AS (SELECT value, count(DISTINCT owner) <= 2 AND count(DISTINCT repo) <= 4 AS live FROM c JOIN d USING (rid) GROUP BY value),
 s AS (
-  SELECT rid, rank, kind, start, stop, n_owners <= 2 AS live, kind || ':' || start || ':' || stop AS txt
-  FROM c JOIN o USING (value) JOIN p USING (rank) WHERE rank < 3 OR n_owners <= 2),
+  SELECT rid, rank, kind, start, stop, live, kind || ':' || start || ':' || stop AS txt
+  FROM c JOIN o USING (value) JOIN p USING (rank) WHERE rank < 3 OR live),
 a AS (
   SELECT rid, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
     coalesce(string_agg(txt, ',' ORDER BY start, rank) FILTER (rank < 3), '') AS base, string_agg(txt, ',' ORDER BY start, rank) AS spans,
