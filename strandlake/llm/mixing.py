@@ -4,12 +4,15 @@ Each source is shuffled by a seeded hash; a document's virtual finish time in pa
 (e * source_size + words of its source up to and with it) / target. All (document, pass) pairs are put in order of
 finish time and taken until the budget (all words) is used up, so each source has got its target when time is 1.
 
+Truncating the globally sorted queue at the budget needs only the finish time at which the budget is reached, so rows are not moved
+into that order: sums over ranges of finish time give the range, then the row, at which a range sort would be cut, and every pair
+before it is taken. What is taken is the same as after the sort.
+
 No source is ordered in one task: rows are summed by (source, hash prefix), prefix offsets come from those sums, and only
 rows of one (source, prefix) meet in a window. The cut is found by sums over slots of finish time, refined once.
 
 Defined results: null text has size 0 and takes 0; a null source is a source of its own, last in order; repeated rows are
-separate documents; an empty table gives an empty result; other columns pass through unless they carry a result's name,
-which the result replaces.
+separate documents; an empty table gives an empty result; other columns are not read, but for those named in `keep`.
 """
 
 from __future__ import annotations
@@ -60,11 +63,13 @@ def mix_sources(
     weights: tuple[int, ...] = WEIGHTS,
     max_passes: int = MAX_PASSES,
     seed: str = SEED,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Columns doc_id, source, size, source_size, target, passes (times the document is taken), taken (= passes * size)."""
+    """Columns `keep` (orderable; they tell repeated rows apart), doc_id, source, size, source_size, target, passes (times the document is taken), taken (= passes * size)."""
     spark = docs.sparkSession
     mark = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}")))
-    sized = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), mark.alias("mark")))
+    kept = [f"kept_{i}" for i in range(len(keep))]
+    sized = written(docs.select(*[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)], F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), mark.alias("mark")))
     # a handful of rows, one per source
     targets = written(source_targets(sized, weights, max_passes))
     part = F.substring("mark", 1, 3)
@@ -72,12 +77,12 @@ def mix_sources(
     ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("offset", F.coalesce(F.sum("part_size").over(ahead), F.lit(0))).drop("part_size")
     parts = sums.alias("p").join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select(F.col("p.source").alias("p_source"), F.col("part").alias("p_part"), "offset", "source_size", "source_rank", "target", "total")
-    within = Window.partitionBy("source", "part").orderBy("mark", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source", "part").orderBy("mark", "doc_id", "size", *kept).rowsBetween(Window.unboundedPreceding, 0)
     cum = sized.withColumn("part", part).withColumn("within", F.sum("size").over(within))
     placed = written(
         cum.join(parts, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("part") == F.col("p_part")))
         .withColumn("cum", F.col("offset") + F.col("within"))
-        .select("doc_id", "source", "size", "source_size", "source_rank", "target", "total", "cum")
+        .select(*kept, "doc_id", "source", "size", "source_size", "source_rank", "target", "total", "cum")
     )
 
     def finish(e) -> F.Column:
@@ -108,7 +113,7 @@ def mix_sources(
         return F.when((f < F.lit(cut_f)) | ((f == F.lit(cut_f)) & (F.col("source_rank") < cut_rank)), 1).otherwise(0)
 
     times = F.when(F.col("size") > 0, sum((taken_in(e) for e in range(max_passes)), F.lit(0))).otherwise(0)
-    return placed.select("doc_id", "source", "size", "source_size", "target", times.cast("long").alias("passes"), (times * F.col("size")).cast("long").alias("taken"))
+    return placed.select(*[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)], "doc_id", "source", "size", "source_size", "target", times.cast("long").alias("passes"), (times * F.col("size")).cast("long").alias("taken"))
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
