@@ -9,6 +9,9 @@ Of records with equal payloads of MIN_REVISIT bytes or more, the one of the smal
 revisits (digest and HTTP header, no payload). Digests are grouped with map-side aggregation; only (digest, smallest id) meets
 the pages again, in a join that AQE splits where a payload is hot.
 
+The normaliser takes a file as it finds it: one gzip stream, several concatenated members, plain records, zero bytes between or after
+members. A stream that is cut off or damaged gives the whole records before the damage, and says so: status and lost_bytes.
+
 Defined results: null html is an empty payload; a null page_id is never an original where another row has an id, and refers like
 any other; rows that share the smallest page_id are all responses; an empty table gives an empty result; other columns are ignored.
 """
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import lean, table, written
 
 MIN_REVISIT = 100
 ARCHIVE = 4 << 20
@@ -36,7 +39,8 @@ def assign_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     large = F.octet_length("payload") >= MIN_REVISIT
-    firsts = p.where(large).groupBy(F.col("digest").alias("of")).agg(F.min("page_id").alias("first"))
+    # digests that occur once need no partner: only those of repeated payloads come back
+    firsts = p.where(large).groupBy(F.col("digest").alias("of")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     # small payloads get keys of their own: no match, and no heap of rows under one key
     key = F.when(large, F.col("digest")).otherwise(F.concat(F.lit("small:"), F.xxhash64("page_id", "url").cast("string")))
     joined = p.withColumn("key", key).join(firsts, F.col("key") == F.col("of"), "left")
@@ -70,6 +74,7 @@ def headers(data: bytes, at: int = 0) -> tuple[dict[str, str], int]:
 def write_monolithic(records: DataFrame, size: int = ARCHIVE, level: int = LEVEL) -> DataFrame:
     """archive (string), n_records, data: each archive is a single gzip stream over all its records."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -96,33 +101,72 @@ def write_monolithic(records: DataFrame, size: int = ARCHIVE, level: int = LEVEL
     return records.select("page_id", "url", "payload", "digest", "record_type", "refers_to").mapInArrow(run, "archive string, n_records bigint, data binary")
 
 
+def inflated(data: bytes) -> tuple[bytes, bool]:
+    """What a file holds uncompressed, member after member, and whether it was intact. Bytes that begin no gzip member are plain."""
+    if not data.startswith(b"\x1f\x8b"):
+        return data, True
+    out, rest = [], data
+    while rest.startswith(b"\x1f\x8b"):
+        member = zlib.decompressobj(_WINDOW)
+        try:
+            out.append(member.decompress(rest))
+            out.append(member.flush())
+        except zlib.error:
+            return b"".join([*out, _before_damage(rest)]), False
+        if not member.eof:
+            return b"".join(out), False
+        rest = member.unused_data.lstrip(b"\0")
+    return b"".join(out), not rest
+
+
+def _before_damage(data: bytes) -> bytes:
+    """What a damaged member gives before its fault, in steps of a few bytes."""
+    member, out = zlib.decompressobj(_WINDOW), []
+    for at in range(0, len(data), 64):
+        try:
+            out.append(member.decompress(data[at : at + 64]))
+        except zlib.error:
+            break
+    return b"".join(out)
+
+
 def records_in(data: bytes) -> Iterator[tuple[bytes, dict[str, str]]]:
-    """The records of an uncompressed archive, with their header fields."""
+    """The whole records of an uncompressed archive, with their header fields; ends where no further whole record begins."""
     at = 0
-    while at < len(data):
+    while data.startswith(b"WARC/", at) and data.find(b"\r\n\r\n", at) >= 0:
         fields, body = headers(data, at)
-        end = body + int(fields["content-length"]) + 4
+        size = fields.get("content-length", "")
+        end = body + int(size) + 4 if size.isdigit() else len(data) + 1
+        if data[end - 4 : end] != b"\r\n\r\n":
+            return
         yield data[at:end], fields
         at = end
 
 
 def normalise(archives: DataFrame, level: int = LEVEL) -> DataFrame:
-    """archive, data (one gzip member a record), index: array<struct<record_id, kind, digest, offset, length>>."""
+    """archive, data (one gzip member a record), index: array<struct<record_id, kind, digest, offset, length>>, status (whole, or
+    truncated where the input ended early or was damaged), lost_bytes (uncompressed bytes that formed no whole record)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("record_id", pa.string()), ("kind", pa.string()), ("digest", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                members, index, at = [], [], 0
-                for r, fields in records_in(zlib.decompressobj(_WINDOW).decompress(data)):
+                members, index, at, used = [], [], 0, 0
+                plain, intact = inflated(data or b"")
+                for r, fields in records_in(plain):
                     packer = zlib.compressobj(level, zlib.DEFLATED, _WINDOW)
                     member = packer.compress(r) + packer.flush()
-                    index.append({"record_id": fields["warc-record-id"], "kind": fields["warc-type"], "digest": fields["warc-payload-digest"], "offset": at, "length": len(member)})
+                    index.append({"record_id": fields.get("warc-record-id"), "kind": fields.get("warc-type"), "digest": fields.get("warc-payload-digest"), "offset": at, "length": len(member)})
                     members.append(member)
                     at += len(member)
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(members)], pa.binary()), pa.array([index], kind)], ["archive", "data", "index"])
+                    used += len(r)
+                lost = len(plain) - used
+                status = "whole" if intact and not lost else "truncated"
+                columns = [pa.array([name]), pa.array([b"".join(members)], pa.binary()), pa.array([index], kind), pa.array([status]), pa.array([lost], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["archive", "data", "index", "status", "lost_bytes"])
 
-    return archives.select("archive", "data").mapInArrow(run, "archive string, data binary, index array<struct<record_id:string,kind:string,digest:string,offset:bigint,length:bigint>>")
+    return archives.select("archive", "data").mapInArrow(run, "archive string, data binary, index array<struct<record_id:string,kind:string,digest:string,offset:bigint,length:bigint>>, status string, lost_bytes bigint")
 
 
 def _page(urn: str) -> int | None:
@@ -136,6 +180,7 @@ def read_records(normalised: DataFrame, with_payload: bool = False) -> DataFrame
     A response's digest and length are those of the payload read; they must equal the headers, or the read fails.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data, index in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -153,7 +198,7 @@ def read_records(normalised: DataFrame, with_payload: bool = False) -> DataFrame
                     else:
                         payload, refers = None, _page(fields["warc-refers-to"])
                     rows.append((_page(fields["warc-record-id"]), size, digest, fields["warc-type"], refers, payload))
-                columns = list(zip(*rows, strict=True))[: len(names)]
+                columns = [[row[k] for row in rows] for k in range(len(names))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=False)], names)
 
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *(["payload"] if with_payload else [])]
