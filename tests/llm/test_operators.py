@@ -60,6 +60,8 @@ def components(docs):
 
     for i in range(len(docs)):
         for j in range(i):
+            if 5 * min(len(sets[i]), len(sets[j])) < 4 * max(len(sets[i]), len(sets[j])):
+                continue
             both = len(sets[i] & sets[j])
             if both and 100 * both >= 80 * len(sets[i] | sets[j]):
                 group[root(i)] = root(j)
@@ -90,6 +92,31 @@ def test_ngram_join_large_group(spark, tmp_path):
     assert got == components(docs)
 
 
+def test_ngram_join_table(spark):
+    """A whole test table against brute force over candidate pairs that share a shingle."""
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.op1_ngram_join(spark, "/root/testdata/sf0.01").collect()}
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    assert got == {d: (n, c) for d, n, c in components(docs)}
+
+
+def test_ngram_join_counts_by_ranges(spark, folder, monkeypatch):
+    """The same counts whatever the ranges in which a reducer sorts."""
+    rows = []
+    for k in range(5):
+        names = np.unique(np.random.default_rng(k).integers(0, 4000, 900).astype(np.uint64) << np.uint64(40))
+        rows.append((0, ngram_join._TOKENS, k, ngram_join.pack_sorted(names), ngram_join.planes(np.arange(len(names), dtype=np.uint16)), b""))
+    found = []
+    for most in (1 << 20, 300):
+        monkeypatch.setattr(ngram_join, "SORTED", most)
+        out = defaultdict(list)
+        for batch in ngram_join._count(1)(iter([ngram_join.to_batch(rows)])):
+            for _, _, block, a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                out[block] += zip(np.frombuffer(a, np.uint64).tolist(), np.frombuffer(b, np.uint16).tolist(), np.frombuffer(c, np.uint16).tolist(), strict=True)
+        found.append({k: sorted(v) for k, v in out.items()})
+    count = Counter(int(x) for r in rows for x in ngram_join.unpack_sorted(r[3]))
+    assert found[0] == found[1] == {r[2]: [(int(x), i, count[int(x)]) for i, x in enumerate(ngram_join.unpack_sorted(r[3])) if count[int(x)] > 1] for r in rows}
+
+
 def test_signatures_share_one():
     """Of two linked sets at least one signature is shared, whatever the classes."""
     rng = np.random.default_rng(8)
@@ -237,6 +264,25 @@ def test_redact_masks_live_spans(spark, folder):
     assert out[1].text == docs.where("doc_id = 1").first().text and out[4].text is None
 
 
+def test_redact_clashing_names(spark):
+    """Columns called as the operator's own stay as they are; only the text and its size change."""
+    names = ["doc_id", "text", "n_chars", "source", "lang", "owner", "repo", "rid", "kinds", "live", "live_spans", "clean", "doc", "start", "spans"]
+    given = [(1, "key AKIA" + "Q7" * 8, 24, "s", "en", *"abcdefghij"), (2, "plain", 5, "s", "en", *"abcdefghij"), (None, None, None, None, None, *[None] * 10)]
+    docs = spark.createDataFrame(given, ", ".join(f"{n} {'long' if n in ('doc_id', 'n_chars') else 'string'}" for n in names))
+    out = sorted((tuple(r) for r in secrets.redact(docs).collect()), key=key)
+    assert secrets.redact(docs).columns == names
+    assert out == sorted([(1, "key <secret>", 12, *given[0][3:]), *given[1:]], key=key)
+
+
+def test_secret_owners_and_repositories(spark):
+    """A value is a copied example from the third owner on, and from the fifth repository on, also of one owner."""
+    token = lambda i: f"x 7Fh2kLmNoP9qRsTuVwX{i:04d} y"
+    places = {0: [("a", "l1")], 1: [("a", "l1"), ("b", "l1")], 2: [("a", "l1"), ("b", "l1"), ("c", "l1")], 3: [("a", f"l{k}") for k in range(4)], 4: [("a", f"l{k}") for k in range(5)], 5: [("a", "l1")] * 9, 6: [(None, "l1"), ("", "l1"), ("a", None)]}
+    docs = spark.createDataFrame([(100 * i + k, token(i), *p) for i, ps in places.items() for k, p in enumerate(ps)], "doc_id long, text string, source string, lang string")
+    live = {r.doc_id // 100 for r in secrets.scan_secrets(docs).collect() if r.spans}
+    assert live == {0, 1, 3, 5}
+
+
 def test_warc_members(spark, folder):
     archives = warc.write_monolithic(warc.assign_records(spark.read.parquet(f"{folder}/pages.parquet")))
     normal = warc.normalise(archives).collect()
@@ -249,6 +295,36 @@ def test_warc_members(spark, folder):
     assert bytes(next(r.payload for r in bodies if r.page_id == 6)) == ("<é>" * 90).encode()
 
 
+def test_warc_odd_inputs(spark):
+    """Concatenated members, plain files, padding, cut and damaged streams: whole records stay, and what is lost is said."""
+    import gzip
+
+    record = lambda i: warc.record(i, f"u{i}", bytes([65 + i]) * (300 + i), hashlib.sha256(bytes([65 + i]) * (300 + i)).hexdigest(), "response", None)
+    four = [record(i) for i in range(4)]
+    noise = np.random.default_rng(5).integers(0, 256, 60_000, dtype=np.uint8).tobytes()
+    long = warc.record(9, "u9", noise, hashlib.sha256(noise).hexdigest(), "response", None)
+    damaged = bytearray(gzip.compress(four[0] + long))
+    damaged[-30_000:-29_000] = b"\xff" * 1000
+    files = {
+        "one": gzip.compress(b"".join(four)),
+        "members": gzip.compress(four[0]) + gzip.compress(four[1] + four[2]) + b"\0" * 7 + gzip.compress(four[3]) + b"\0" * 5,
+        "plain": b"".join(four),
+        "cut": gzip.compress(b"".join([*four, long]))[:-20_000],
+        "cut_plain": b"".join(four)[:-9],
+        "damaged": bytes(damaged),
+        "junk": b"no archive at all",
+        "empty": b"",
+        "null": None,
+    }
+    df = spark.createDataFrame([(k, bytearray(v) if v is not None else None) for k, v in files.items()], "archive string, data binary")
+    got = {r.archive: r for r in warc.normalise(df).collect()}
+    ids = {k: [int(e.record_id.removeprefix("<urn:page:")[:-1]) for e in r["index"]] for k, r in got.items()}
+    assert ids == {"one": [0, 1, 2, 3], "members": [0, 1, 2, 3], "plain": [0, 1, 2, 3], "cut": [0, 1, 2, 3], "cut_plain": [0, 1, 2], "damaged": [0], "junk": [], "empty": [], "null": []}
+    assert {k for k, r in got.items() if r.status == "whole"} == {"one", "members", "plain", "empty", "null"}
+    assert got["cut_plain"].lost_bytes == len(four[3]) - 9 and got["junk"].lost_bytes == 17 and got["cut"].lost_bytes > 0
+    assert {r.page_id for r in warc.read_records(warc.normalise(df)).collect()} == {0, 1, 2, 3}
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in toxicity.op7_toxicity(spark, d).collect()}
@@ -259,6 +335,72 @@ def test_toxicity_held_out(spark):
     assert not any(b for a, b in held if a == 0)
 
 
+def scalar_features(text):
+    """Distinct features by plain loops: byte codes summed with powers of the base, finished, then pairs and skip-pairs."""
+    m = (1 << 64) - 1
+
+    def finish(h):
+        for _ in range(2):
+            h = ((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & m
+        return h ^ (h >> 32)
+
+    def word(b):
+        total, power = 0, 1
+        for x in b:
+            total, power = (total + int(toxicity._CODES[x]) * power) & m, (power * 0x9E3779B97F4A7C15) & m
+        return finish((total + len(b)) & m)
+
+    h = [word(w) for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode())]
+    pairs = [finish((a * salt + b) & m) for gap, salt in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F)) for a, b in zip(h, h[gap:], strict=False)]
+    return {x >> (64 - toxicity.BITS) for x in h + pairs}
+
+
+def scalar_ftrl(docs, labels):
+    """FTRL-proximal as published, one coordinate at a time."""
+    n_docs = Counter(f for d in docs for f in d)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f):
+        l1 = 0.0 if f is None else toxicity.L1
+        if abs(z[f]) <= l1:
+            return 0.0
+        return -(z[f] - (1 if z[f] > 0 else -1) * l1) / ((toxicity.BETA + n[f] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for d, y in zip(docs, labels, strict=True):
+            seen = [*(f for f in d if n_docs[f] >= toxicity.MIN_DOCS), None]
+            w = {f: weight(f) for f in seen}
+            g = 1 / (1 + np.exp(-max(-35.0, min(35.0, sum(w.values()))))) - y
+            for f in seen:
+                sigma = ((n[f] + g * g) ** 0.5 - n[f] ** 0.5) / toxicity.ALPHA
+                z[f] += g - sigma * w[f]
+                n[f] += g * g
+    return {f: weight(f) for f in z if f is not None and weight(f)}, weight(None)
+
+
+def test_toxicity_against_scalar(spark, folder, rows):
+    """Model and scores of the fixture, by plain loops in the order of the fit."""
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    y = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id is not None and r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 5}
+    order = {r.doc_id: r.o for r in labels.where("doc_id is not null").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("o")).collect()}
+    learnt = sorted((order[r[0]], scalar_features(r[1]), y[r[0]]) for r in rows if r[0] in y)
+    weights, intercept = scalar_ftrl([f for _, f, _ in learnt], [v for _, _, v in learnt])
+    model = toxicity.learn(docs, labels)
+    assert weights and model[0].tolist() == sorted(weights)
+    assert np.allclose(model[1], [weights[f] for f in sorted(weights)]) and np.isclose(model[2], intercept)
+    expected = Counter((r[0], round(1 / (1 + np.exp(-intercept - sum(weights.get(f, 0.0) for f in scalar_features(r[1])))), 9)) for r in rows)
+    assert Counter((r.doc_id, round(r.s, 9)) for r in toxicity.score(docs, model, score_col="s").collect()) == expected
+
+
+def test_toxicity_repeated_ids(spark):
+    """However many rows share a labelled id, one text is learnt from, whatever their order."""
+    base = [(i, f"vile scum {i % 3}" if i % 2 else f"calm river {i % 3}") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    more = base + [(1, f"other text {k}") for k in range(50)]
+    models = [toxicity.learn(spark.createDataFrame(x, "doc_id long, text string"), labels) for x in (more, more[::-1])]
+    assert [m[0].tolist() for m in models][0] == models[1][0].tolist() and np.allclose(models[0][1], models[1][1])
+
+
 def test_toxicity_without_labels(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     model = toxicity.learn(docs, spark.read.parquet(f"{folder}/labels.parquet").where("toxic = 0"))
@@ -279,6 +421,32 @@ def test_rules(spark, folder, rows):
     assert got == sorted(expected, key=key)
 
 
+def test_rules_kept(spark, folder, rows):
+    """`kept` is the learned list, applied by hand to statistics by hand."""
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    wider = labels.unionByName(spark.createDataFrame([(100 + i, 0, 0) for i in range(40)], labels.schema))
+    judged = rules.quality_rules(docs, wider)
+    learned = rules.learn_rules(rules.sample_rows(judged, wider))
+    assert learned
+
+    def by_hand(t):
+        t = t or ""
+        w, at = WORD.findall(t), defaultdict(list)
+        for i in range(len(w) - 2):
+            at[tuple(w[i : i + 3])].append(i)
+        cover = {p + k for v in at.values() if len(v) > 1 for p in v for k in range(3)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        chars = sum(map(len, w))
+        per = lambda a, b: a / max(b, 1)
+        x = (len(w), per(chars, len(w)), per(len(re.findall(r"[#*$%&|<>]", t)), len(w)), per(len(lines) - len(set(lines)), len(lines)), per(len(cover), len(w)), per(len(re.findall("[A-Z]", t)), chars), per(t.count("!"), len(w)), per(len(w), len(lines)))
+        rejected = any(all(x[f] >= c if above else x[f] < c for f, above, c in rule) for rule in learned)
+        return len(w) >= 50 and 100 * len(cover) <= 50 * len(w) and not rejected
+
+    got = Counter((r.doc_id, r.kept) for r in judged.select("doc_id", "kept").collect())
+    assert got == Counter((r[0], by_hand(r[1])) for r in rows)
+    assert {True, False} == {k for _, k in got}
+
+
 def test_rules_learned():
     rng = np.random.default_rng(3)
     data = []

@@ -23,8 +23,13 @@ def test_stages(spark, folder, rows, tmp_path):
             assert not Counter(after) - Counter(before)
             assert all("scum" not in (r[1] or "") or r in after for r in before if r[0] is None)
         elif name == "ngram_join":
-            expected = components([(r[0], r[1]) for r in before])
-            assert Counter(r[0] for r in after) == Counter(d for d, _, c in expected if d is None or d == c)
+            expected, stay, seen = components([(r[0], r[1]) for r in before]), [], set()
+            for (d, n, c), r in zip(expected, before, strict=True):  # ids here repeat in equal rows alone
+                if n == 0 or (d == c and c not in seen):
+                    stay.append(r)
+                    seen |= {c} if n else set()
+            assert Counter(after) == Counter(stay)
+            assert max(Counter(r for r in after if r[1] and r[1].strip()).values()) == 1
         elif name == "secrets":
             assert Counter(r[0] for r in after) == Counter(r[0] for r in before)
             assert all("AKIA" not in (r[1] or "") for r in after)
@@ -37,6 +42,27 @@ def test_stages(spark, folder, rows, tmp_path):
         docs = out
 
 
+def test_rows_without_ids(spark):
+    """Rows that share an id, or have none, are judged one by one; columns called as the operators' own stay."""
+    long = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(None, long, "en", "a", 1, 9.0, 7, 8), (None, long, "en", "a", 1, 9.0, 7, 8), (5, other, "en", "a", 1, 9.0, 7, 8), (5, long + " end", "en", "b", 1, 9.0, 7, 8), (6, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, row long, passes long")
+    kept = [tuple(r) for r in corpus_pipeline.keep_one_of_each_group(spark, docs, None).collect()]
+    assert Counter(kept) == Counter([rows[2], rows[3], rows[4]])
+    mixed = corpus_pipeline.mix(spark, docs, None)
+    assert mixed.columns == docs.columns
+    counts = Counter(tuple(r) for r in mixed.collect())
+    assert set(counts) <= set(rows) and counts[rows[4]] == 0 and counts[rows[0]] <= 6 and counts[rows[2]] <= 3
+
+
+def test_score_column_stays(spark, folder):
+    """A column that has the name of the stage's own score comes through."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("_score", F.lit(9.0)).withColumn("Score_", F.lit(3))
+    out = corpus_pipeline.drop_toxic(spark, docs, folder)
+    assert out.columns == docs.columns and {(r._score, r.score, r.Score_) for r in out.collect()} == {(9.0, 7, 3)}
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids"]
