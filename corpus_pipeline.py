@@ -1,7 +1,8 @@
 """Corpus pipeline: toxicity, near-duplicate join, secrets, source mix, token ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes what each returns to the shared folder and reads it
-again for the next. All but the last return the columns of documents. Rows that share a doc_id count as the same document.
+again for the next. All but the last return the columns of documents. Decisions are taken per row, so repeated rows and rows that
+share a doc_id, or have none, are told apart; rows travel as structs beside the operators' columns, so names cannot clash.
 """
 
 from __future__ import annotations
@@ -10,20 +11,27 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from strandlake.llm import byte_bpe, mixing, ngram_join, secrets, toxicity
-from strandlake.llm.common import table, written
+from strandlake.llm.common import keyed, table, unused, written
+
+
+def _columns(docs):
+    """The columns of documents out of the struct `doc`."""
+    return [F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
 
 
 def drop_toxic(spark, docs, sf_dir):
     """Documents scored 0.5 or more go; null and empty texts stay, and so does everything where no labels are."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, score_col="_score").where("_score < 0.5").select(*docs.columns)
+    name = unused(docs.columns, "score")
+    return toxicity.score(docs, model, score_col=name).where(F.col(name) < 0.5).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark, docs, sf_dir):
-    """Of each component of near copies the document of the smallest doc_id stays; documents without an id stay."""
-    joined = ngram_join.near_components(docs)
-    others = joined.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """Of each component of near copies, equal rows among them, one row stays: that of the smallest doc_id (null last), the first in
+    order of reading where ids are equal. Texts without words belong to no group and stay."""
+    rows = keyed(docs)
+    joined = ngram_join.near_components(rows.select(F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"), "row"), row_col="row")
+    return rows.join(joined.where(~F.col("is_first")).select("row"), "row", "left_anti").select(*_columns(docs))
 
 
 def mask_secrets(spark, docs, sf_dir):
@@ -32,15 +40,16 @@ def mask_secrets(spark, docs, sf_dir):
 
 
 def mix(spark, docs, sf_dir):
-    """Each document comes as many times as the mix takes it, which may be never."""
-    times = mixing.mix_sources(docs).groupBy("doc_id").agg(F.max("passes").cast("int").alias("_times")).where("_times > 0")
-    repeated = docs.join(times, docs["doc_id"].eqNullSafe(times["doc_id"])).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_pass"))
-    return repeated.select(*docs.columns)
+    """Each row comes as many times as the mix takes it, which may be never."""
+    rows = keyed(docs)
+    mixed = mixing.mix_sources(rows.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"), F.col("doc.source").alias("source")), keep=("row",))
+    taken = mixed.where("passes > 0").select("row", F.col("passes").cast("int").alias("passes"))
+    return rows.join(taken, "row").select("doc", F.explode(F.sequence(F.lit(1), F.col("passes"))).alias("pass")).select(*_columns(docs))
 
 
 def token_ids(spark, docs, sf_dir):
     """doc_id, lang, source, n_tokens, ids."""
-    encoded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), offsets_col=None)
     return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
