@@ -58,6 +58,11 @@ def drop_written(spark: SparkSession, since: int = 0) -> int:
     return len(gone)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, upon which Spark deletes shuffle files that no plan can read any more."""
+    spark._jvm.java.lang.System.gc()
+
+
 def unused(columns: list[str], name: str) -> str:
     """A column name that none of `columns` has, in whatever case."""
     taken = {c.lower() for c in columns}

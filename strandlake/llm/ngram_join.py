@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_codes, lean, mix, slices, span_hashes, table, text_bytes, words_of, written
+from .common import byte_codes, free_shuffles, lean, mix, slices, span_hashes, table, text_bytes, words_of, written
 from .graph import components
 from .packed import SCHEMA, by_block, cuts, exchange, from_planes, home, in_batches, n_reducers, pack_sorted, planes, runs, to_batch, unpack_sorted
 
@@ -289,7 +289,7 @@ def _cross_links(loose: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 class _Tile:
-    """Query sets with an inverted index, and the best links found for them."""
+    """Query sets with an inverted index, and which components the links found so far have joined."""
 
     def __init__(self):
         self.nodes, self.roots, self.n, self.single, self.sets, self.index = [], [], [], [], [], None
@@ -300,15 +300,28 @@ class _Tile:
         order = np.argsort(tokens, kind="stable")
         self.known, at = np.unique(tokens[order], return_index=True)
         self.bounds, self.index = np.append(at, len(tokens)), rows[order]
-        self.of = np.array(self.roots, object)
         self.size, self.alone = np.array(self.n), np.array(self.single)
+        self.label: dict[bytes, int] = {}  # of each component
+        self.joined: list[int] = []  # label -> a label it was joined with, or itself
+        self.of = np.array([self.find(r) for r in self.roots])
+
+    def find(self, root: bytes) -> int:
+        at = self.label.setdefault(root, len(self.joined))
+        if at == len(self.joined):
+            self.joined.append(at)
+        while self.joined[at] != at:
+            at = self.joined[at]
+        return at
 
     def links(self, node, root, n, single, shared) -> list[tuple[bytes, bytes]]:
+        """Links of a node to queries; what the tile's links join already, directly or through others, is not tested again, so a tile
+        gives fewer links than it has components."""
         if self.index is None:
             self.close()
+        own = self.find(root)
         # bounds by size and by tokens of a single text, before any set is looked at
         low = np.minimum(self.size - self.alone, n - single)
-        able = (5 * np.minimum(self.size, n) >= 4 * np.maximum(self.size, n)) & (9 * low >= 4 * (self.size + n)) & (self.of != root)
+        able = (5 * np.minimum(self.size, n) >= 4 * np.maximum(self.size, n)) & (9 * low >= 4 * (self.size + n)) & (self.of != own)
         if not able.any():
             return []
         at = np.searchsorted(self.known, shared)
@@ -318,10 +331,12 @@ class _Tile:
         total = int(size.sum())
         flat = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(total) if total else np.zeros(0, np.int64)
         both = np.bincount(self.index[flat], minlength=len(self.nodes))
-        found: dict[bytes, int] = {}
-        for k in np.flatnonzero(able & (9 * both >= 4 * (self.size + n))).tolist():
-            found.setdefault(self.roots[k], k)  # one link to each component is enough
-        return [(self.nodes[k], node) for k in found.values()]
+        hits = np.flatnonzero(able & (9 * both >= 4 * (self.size + n)))
+        labels, place = np.unique(self.of[hits], return_index=True)
+        for x in labels.tolist():
+            self.joined[x] = own
+        self.of[np.isin(self.of, labels)] = own
+        return [(self.nodes[hits[k]], node) for k in place.tolist()]
 
 
 @lean
@@ -360,13 +375,14 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counted = exchange(sent, reducers).mapInArrow(_count(reducers), SCHEMA)
     described = exchange(counted, reducers).mapInArrow(_describe, "doc_id bigint, row bigint, n bigint, node binary, single bigint, shared array<bigint>, sigs array<bigint>")
     described = written(described)
+    free_shuffles(docs.sparkSession)
     sets = written(described.where("sigs is not null").dropDuplicates(["node"]))
     marks = written(sets.select(F.explode("sigs").alias("sig"), "node", "n", "single"))
 
     best = F.min_by(F.struct("node", "n", "single"), F.struct(F.col("single") / F.col("n"), F.col("node")))
     hubs = marks.groupBy("sig").agg(best.alias("hub"), F.count(F.lit(1)).alias("texts")).where("texts > 1").select("sig", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.single").alias("hub_single"))
-    # sort-merge joins, so that AQE splits a signature that many texts have
-    near = written(marks.join(hubs.hint("merge"), "sig"))
+    # what is joined on a signature or a component is a table by then and joined by sorting, so that AQE splits one that many texts have
+    near = written(marks.join(written(hubs).hint("merge"), "sig"))
     first = near.where("hub <> node").where(_possible(F.col("n"), F.col("hub_n"), F.col("single"), F.col("hub_single"))).select(F.col("hub").alias("a"), F.col("node").alias("b"), (F.col("n") + F.col("hub_n")).alias("total")).distinct()
     tested = _verified(first, sets)
     linked = lambda t: t.where("9 * both >= 4 * total").select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -375,7 +391,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     placed = near.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-    loose = placed.join(split.hint("merge"), "sig", "left_semi").where("hub <> node").select("hub", "node", "root", "n", "single").distinct()
+    loose = placed.join(written(split).hint("merge"), "sig", "left_semi").where("hub <> node").select("hub", "node", "root", "n", "single").distinct()
     roots = components(links.unionByName(_cross_links(written(loose), sets)))
 
     member = described.select("doc_id", "row", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -383,7 +399,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
     least = member.where("n > 0").groupBy("root").agg(F.min(rank).alias("least"))
     number = [F.col("row").alias(row_col)] if row_col is not None else []
-    joined = member.where("n > 0").join(least, "root").select(*number, "doc_id", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("is_first"))
+    joined = member.where("n > 0").join(written(least).hint("merge"), "root").select(*number, "doc_id", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("is_first"))
     return joined.unionByName(member.where("n = 0").select(*number, "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("is_first")))
 
 
