@@ -102,6 +102,82 @@ def fnv1a_64(text: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def fnv1a_64_rows(column: pa.Array) -> np.ndarray:
+    """The same for every row of a string column, byte by byte over all rows together; nulls hash as empty."""
+    column = column.fill_null("").cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column.fill_null(b"")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+    h, length = np.full(len(column), 0xCBF29CE484222325, U), np.diff(offsets)
+    for i in range(int(length.max(initial=0))):
+        rows = np.flatnonzero(length > i)
+        h[rows] = (h[rows] ^ raw[offsets[rows] + i]) * U(0x100000001B3)
+    return h
+
+
+def with_fnv1a_64(df: DataFrame, column: str, name: str) -> DataFrame:
+    """All columns and the hash of a string column as BIGINT with the same bits."""
+    rest = [c for c in df.columns if c != name]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fnv1a_64_rows(batch.column(0)).view(np.int64))], [*rest, name])
+
+    given = df.select(F.col(column).alias("_input"), *rest)
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in given.schema.fields[1:])
+    return given.mapInArrow(run, f"{schema}`{name}` bigint")
+
+
+def xxh3_content(contigs: list[str | None]) -> int:
+    """64-bit XXH3 of a genome's content: contigs in upper case, sorted, each followed by a line feed; signed, with the same bits."""
+    import xxhash
+
+    text = "".join(c + "\n" for c in sorted((x or "").upper() for x in contigs))
+    h = xxhash.xxh3_64_intdigest(text.encode())
+    return h - (1 << 64) if h >> 63 else h
+
+
+def half_floats(data: bytes) -> np.ndarray:
+    """Little-endian 16-bit floats as 32-bit ones."""
+    return np.frombuffer(data, "<f2").astype(np.float32)
+
+
+class MersenneTwister64:
+    """The published 64-bit generator of period 2^19937 - 1, for orders that must repeat with a fixed seed."""
+
+    def __init__(self, seed: int):
+        m = (1 << 64) - 1
+        self.state = [seed & m]
+        for i in range(1, 312):
+            x = self.state[-1]
+            self.state.append((6364136223846793005 * (x ^ (x >> 62)) + i) & m)
+        self.at = 312
+
+    def _twist(self) -> None:
+        s = self.state
+        for i in range(312):
+            x = (s[i] & 0xFFFFFFFF80000000) | (s[(i + 1) % 312] & 0x7FFFFFFF)
+            s[i] = s[(i + 156) % 312] ^ (x >> 1) ^ (0xB5026F5AA96619E9 if x & 1 else 0)
+        self.at = 0
+
+    def __call__(self) -> int:
+        if self.at == 312:
+            self._twist()
+        x = self.state[self.at]
+        self.at += 1
+        x ^= (x >> 29) & 0x5555555555555555
+        x ^= (x << 17) & 0x71D67FFFEDA60000
+        x ^= (x << 37) & 0xFFF7EEE000000000
+        return x ^ (x >> 43)
+
+
+def projection_vector(axes: int = 136, seed: int = 0x5EED5EED5EED5EED) -> list[float]:
+    """Fixed direction for ordering profiles: uniform 32-bit floats in [-1, 1)."""
+    draw = MersenneTwister64(seed)
+    unit = [min(np.float32(draw()) / np.float32(2.0**64), np.nextafter(np.float32(1), np.float32(0))) for _ in range(axes)]
+    return [float(np.float32(u * np.float32(2) + np.float32(-1))) for u in unit]
+
+
 def fnv1a_32(text: bytes) -> int:
     h = 0x811C9DC5
     for b in text:
@@ -120,9 +196,12 @@ def canonical_order(k: int) -> np.ndarray:
     return index
 
 
+_ORDER_4 = canonical_order(4)
+
+
 def tnf(seq: bytes) -> np.ndarray | None:
     """136 canonical 4-mer shares, scaled to length 1."""
-    counts = np.bincount(canonical_order(4)[kmers(codes(seq), 4).astype(np.int64)], minlength=136).astype(float)
+    counts = np.bincount(_ORDER_4[kmers(codes(seq), 4).astype(np.int64)], minlength=136).astype(float)
     size = np.sqrt((counts**2).sum())
     return counts / size if size else None
 

@@ -61,3 +61,40 @@ def leakage_excess(c: list[Column], k: list[int]) -> Column:
     expected = F.exp(beta * k[-1])
     low = F.least(*c) < 0.01
     return F.when(~low, F.greatest(expected - c[-1], F.lit(0.0)) / F.greatest(expected, F.lit(0.01)))
+
+
+def leakage_build(containments: list, ks: list[int]) -> F.Column:
+    """The build-time form: the line through the logarithms takes in the largest k, too."""
+    logs = [k * F.ln(c) for c, k in zip(containments, ks, strict=True)]
+    beta = sum(logs[1:], logs[0]) / float(sum(k * k for k in ks))
+    expected = F.exp(beta * float(ks[-1]))
+    excess = F.greatest(expected - containments[-1], F.lit(0.0)) / F.greatest(expected, F.lit(0.01))
+    return F.when(F.least(*containments) >= 0.01, excess)
+
+
+def quantised_prevalence(count, members) -> F.Column:
+    """A byte: 255 times the logarithm of the count to the base of the members; 0 for one, 255 for all."""
+    q = F.floor(255.0 * F.ln(count.cast("double")) / F.ln(members.cast("double")) + 0.5)
+    return F.when((members <= 1) | (count >= members), 255).when(count <= 1, 0).otherwise(F.least(F.greatest(q, F.lit(1)), F.lit(255))).cast("int")
+
+
+def dequantised_prevalence(q, members) -> F.Column:
+    return F.when(members <= 1, 1.0).otherwise(F.pow(members.cast("double"), q / 255.0 - 1.0))
+
+
+def needs_scan(leakage, excess, relative, scan_all: bool = False, leakage_over: float = 0.02, excess_over: float = 0.0, relative_under: float = 0.70) -> tuple[F.Column, F.Column]:
+    """Whether a genome goes to the contig scan, and whether it needs the full one (leakage or completeness, not composition alone)."""
+    by_leakage, by_excess = F.coalesce(leakage > leakage_over, F.lit(False)), F.coalesce(excess > excess_over, F.lit(False))
+    by_completeness = F.coalesce(relative < relative_under, F.lit(False))
+    flagged = F.lit(True) if scan_all else by_leakage | by_excess | by_completeness
+    return flagged, by_leakage | by_completeness
+
+
+def stale(post_decontam, fmh_minority, marker, scored, with_fmh: bool, with_markers: bool) -> F.Column:
+    """Whether a genome must be scored again: one of the four cached signals is missing (0 counts as missing for bytes)."""
+    gone = post_decontam.isNull() | ~F.coalesce(scored, F.lit(False))
+    if with_fmh:
+        gone = gone | (F.coalesce(fmh_minority, F.lit(0)) == 0)
+    if with_markers:
+        gone = gone | (F.coalesce(marker, F.lit(0)) == 0)
+    return gone

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 @dataclass
 class ExtractQuery:
-    """The declarative filter; None leaves a bound out. Thresholds are compared in tenths, truncated, as stored."""
+    """The declarative filter; None leaves a bound out. Thresholds are compared in tenths, truncated, as stored;
+    fingerprints as unsigned 64-bit numbers (columns hold the same bits, signed)."""
 
     min_completeness: float | None = None
     max_contamination: float | None = None
@@ -19,6 +20,9 @@ class ExtractQuery:
     max_contigs: int | None = None
     accessions: DataFrame | None = None
     limit: int | None = None
+    min_fingerprint: int | None = None
+    max_fingerprint: int | None = None
+    include_deleted: bool = False
 
 
 def tenths(c) -> F.Column:
@@ -36,16 +40,29 @@ def extract(catalog: DataFrame, q: ExtractQuery, tombstones: DataFrame | None =
             (q.min_length, lambda v: F.col("genome_length") >= v),
             (q.max_length, lambda v: F.col("genome_length") <= v),
             (q.max_contigs, lambda v: F.col("n_contigs") <= v),
+            (q.min_fingerprint, lambda v: unsigned_order(F.col("fingerprint")) >= v - (1 << 63)),
+            (q.max_fingerprint, lambda v: unsigned_order(F.col("fingerprint")) <= v - (1 << 63)),
         ]
         out = catalog
         for value, cond in bounds:
             if value is not None:
                 out = out.where(cond(value))
-    if tombstones is not None:
+    if tombstones is not None and not q.include_deleted:
         out = live(out, tombstones)
     return out.orderBy("genome_id").limit(q.limit) if q.limit is not None else out
 
 
+def unsigned_order(c) -> F.Column:
+    """A signed number in whose order 64-bit columns stand as unsigned ones."""
+    return c.bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def fingerprint_range(catalog: DataFrame, low: int, high: int, tombstones: DataFrame | None = None) -> DataFrame:
+    """Live rows whose fingerprint lies in [low, high], unsigned, in order of (fingerprint, genome_id)."""
+    found = extract(catalog, ExtractQuery(min_fingerprint=low, max_fingerprint=high), tombstones)
+    return found.orderBy(unsigned_order(F.col("fingerprint")), "genome_id")
+
+
 def live(df: DataFrame, tombstones: DataFrame) -> DataFrame:
     return df.join(tombstones.select("genome_id").distinct(), "genome_id", "left_anti")
 
@@ -87,21 +104,35 @@ def union_parts(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def first_index(parts: DataFrame, key: str = "accession", value: str = "genome_id") -> DataFrame:
+    """The index of merged parts: each key's value in the first part that has it, the least there; all rows stay in the catalogue."""
+    return parts.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct("part_index", value)).alias("first")).select(key, F.col("first.part_index").alias("part_index"), F.col(f"first.{value}").alias(value))
+
+
+def merge_strings(parts: list[DataFrame], column: str) -> DataFrame:
+    """Sorted union of the distinct strings of several parts: the string, its first part, in how many parts it is, in which place of
+    the order of bytes (from 0, by counts of ranges)."""
+    from .taxonomy import dense_ids
+
+    each = union_parts([p.select(column).where(F.col(column).isNotNull()).distinct() for p in parts])
+    held = each.groupBy(column).agg(F.min("part_index").alias("first_part"), F.count(F.lit(1)).alias("n_parts"))
+    return held.join(dense_ids(held, column).select(column, (F.col("taxid") - 1).alias("position")), column)
+
+
+def common_sketches(sketches: DataFrame) -> DataFrame:
+    """Sketches of merged parts (part_index, genome_id, k, m, seed, ...): only those of the k that every part has. Parts whose size or
+    seed differ for such a k make the merge fail."""
+    shape = sketches.groupBy("k").agg(F.countDistinct("part_index").alias("parts"), F.countDistinct("m", "seed").alias("shapes"))
+    total = sketches.agg(F.countDistinct("part_index").alias("all"))  # one row
+    common = shape.crossJoin(F.broadcast(total)).where(F.col("parts") == F.col("all"))
+    odd = [r.k for r in common.where("shapes > 1").select("k").collect()]
+    if odd:
+        raise ValueError(f"parts differ in sketch size or seed for k = {sorted(odd)}")
+    return sketches.join(common.select("k"), "k", "left_semi")
+
+
 def merge_archives(a: DataFrame, b: DataFrame) -> DataFrame:
     """b's ids shift behind a's; of equal accessions the index keeps the first input's."""
     offset = a.agg((F.coalesce(F.max("genome_id"), F.lit(-1)) + 1).alias("_shift"))
     shifted = b.crossJoin(F.broadcast(offset)).withColumn("genome_id", F.col("genome_id") + F.col("_shift")).drop("_shift")  # one row
     return union_parts([a, shifted])
-
-
-def order_stat(values, kind: str) -> F.Column:
-    """Order statistics by index, never interpolated."""
-    v = F.array_sort(values)
-    n = F.size(v)
-    index = {
-        "upper_median": F.floor(n / 2),
-        "p90_ceil": F.ceil(n * 0.9) - 1,
-        "p90_floor": F.least(F.floor(n * 0.9), n - 1),
-        "p20_floor": F.floor(n * 0.2),
-    }[kind]
-    return F.when(n > 0, F.element_at(v, (index + 1).cast("int")))

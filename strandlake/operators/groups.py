@@ -15,15 +15,166 @@ from pyspark.sql import functions as F
 
 
 def majority_vote(members: DataFrame, key: str, order: str, sig: str, bins: int) -> DataFrame:
-    """Strict majority of each signature bin by counts (key, bin, value); null where there is none.
+    """Running majority vote of each signature bin over a key's members in `order`: key, bin, consensus, n.
 
-    A running vote gives the same value wherever a strict majority exists, in any order.
+    A bin's candidate gains a vote from an equal value, loses one to another, and gives way to the next value when it has none: where a
+    strict majority exists the candidate is it, else the last one standing. The result depends on the order, so a key's rows pass
+    through one task in order; the task holds one row of counts, however many members there are.
     """
-    e = members.select(key, F.posexplode(sig).alias("bin", "value"))
-    n = members.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    c = e.groupBy(key, "bin", "value").agg(F.count(F.lit(1)).alias("votes"))
-    top = c.groupBy(key, "bin").agg(F.max_by("value", "votes").alias("value"), F.max("votes").alias("votes"))
-    return top.join(n, key).select(key, "bin", F.when(2 * F.col("votes") > F.col("n"), F.col("value")).alias("consensus"), "votes", "n")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, n, candidate, votes = None, 0, None, None
+
+        def row():
+            return pd.DataFrame({"k": now, "bin": np.arange(bins), "consensus": candidate, "n": n})
+
+        for p in parts:
+            for k, x in zip(p["k"], p["x"], strict=True):
+                if k != now:
+                    if n:
+                        yield row()
+                    now, n, candidate, votes = k, 0, np.zeros(bins, np.int64), np.zeros(bins, np.int64)
+                x = np.asarray(x, np.int64)
+                fresh, same = votes == 0, candidate == x
+                candidate = np.where(fresh, x, candidate)
+                votes += np.where(fresh | same, 1, -1)
+                n += 1
+        if n:
+            yield row()
+
+    given = members.where(F.col(key).isNotNull() & F.col(sig).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(order).alias("o"), F.col(sig).alias("x"))
+    return given.repartition("k").sortWithinPartitions("k", "o").mapInPandas(run, "k string, bin int, consensus long, n long").withColumnRenamed("k", key)
+
+
+#: What the distance of a profile from its own model is expected to be, about the square root of its 136 dimensions (fixed value).
+EXPECTED_DISTANCE = 11.63
+
+
+def shrunk_model(profiles: DataFrame, key: str, vector: str, least: int = 3) -> DataFrame:
+    """key, n, mean, alpha, lower (row by row): the covariance of a key's profiles, shrunk towards its mean variance by the oracle
+    approximating weight, as a Cholesky factor; keys with fewer than `least` profiles have none.
+
+    Partitions send sums and outer products; those add up, whatever the key's size.
+    """
+
+    def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state: dict = {}
+        for p in parts:
+            for k, g in p.groupby("k", sort=False):
+                x = np.stack(g["x"].to_numpy()).astype(float)
+                n, s, o = state.get(k, (0, 0.0, 0.0))
+                state[k] = (n + len(x), s + x.sum(axis=0), o + x.T @ x)
+        yield pd.DataFrame([(k, n, s.tolist(), o.ravel().tolist()) for k, (n, s, o) in state.items()], columns=["k", "n", "s", "o"])
+
+    def solve(g: pd.DataFrame) -> pd.DataFrame:
+        n, s = int(g["n"].sum()), np.sum(np.stack(g["s"].to_numpy()), axis=0)
+        mean = s / n
+        if n < least:
+            return pd.DataFrame([(g["k"].iloc[0], n, mean.tolist(), None, None)], columns=["k", "n", "mean", "alpha", "lower"])
+        p = len(s)
+        cov = (np.sum(np.stack(g["o"].to_numpy()), axis=0).reshape(p, p) - n * np.outer(mean, mean)) / (n - 1)
+        alpha = oracle_weight(np.trace(cov), float((cov**2).sum()), n, p)
+        try:
+            lower = np.linalg.cholesky((1 - alpha) * cov + alpha * np.trace(cov) / p * np.eye(p)).ravel().tolist()
+        except np.linalg.LinAlgError:  # all profiles equal
+            lower = None
+        return pd.DataFrame([(g["k"].iloc[0], n, mean.tolist(), alpha, lower)], columns=["k", "n", "mean", "alpha", "lower"])
+
+    given = profiles.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(vector).cast("array<double>").alias("x"))
+    sums = given.mapInPandas(partial, "k string, n long, s array<double>, o array<double>")
+    return sums.groupBy("k").applyInPandas(solve, "k string, n long, mean array<double>, alpha double, lower array<double>").withColumnRenamed("k", key)
+
+
+def oracle_weight(trace: float, trace_squared: float, n: int, p: int) -> float:
+    """Weight of the identity in oracle approximating shrinkage, from the traces of the covariance and of its square."""
+    below = (n + 1 - 2 / p) * (trace_squared - trace**2 / p)
+    return 1.0 if abs(below) < 1e-12 else float(np.clip(((1 - 2 / p) * trace_squared + trace**2) / below, 0.0, 1.0))
+
+
+def profile_excess(profiles: DataFrame, models: DataFrame, key: str, vector: str) -> DataFrame:
+    """id, excess, excess_build. excess: how far the Mahalanobis distance from the key's model exceeds what is expected, as a share of
+    that; null without a model. excess_build: the distance from the mean, as a share of the mean's length, less one; never below 0."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            out, build = [], []
+            for x, mean, lower in zip(p["x"], p["mean"], p["lower"], strict=True):
+                mean = np.asarray(mean, float)
+                off = np.asarray(x, float) - mean
+                size = float(np.linalg.norm(mean))
+                build.append(max(0.0, float(np.linalg.norm(off)) / size - 1.0) if size > 0 else None)
+                if lower is None:
+                    out.append(None)
+                    continue
+                d = float(np.linalg.norm(np.linalg.solve(np.asarray(lower, float).reshape(len(mean), -1), off)))
+                out.append(max(0.0, (d - EXPECTED_DISTANCE) / EXPECTED_DISTANCE))
+            yield p[["id"]].assign(excess=pd.array(out, "Float64"), excess_build=pd.array(build, "Float64"))
+
+    j = profiles.where(F.col(vector).isNotNull()).join(models.select(key, "mean", "lower"), key)
+    return j.select("id", F.col(vector).cast("array<double>").alias("x"), "mean", "lower").mapInPandas(run, "id long, excess double, excess_build double")
+
+
+def two_gaussians(points: np.ndarray, weights: np.ndarray, rounds: int = 50, tolerance: float = 1e-4, least: int = 10) -> tuple[float, float, bool] | None:
+    """Minority share, gain in the Bayesian information criterion, and whether two diagonal Gaussians explain the weighted points better
+    than one; None for fewer than `least` points. The two start half a deviation either side along the widest axis; a component of less
+    than a twentieth ends the iteration."""
+    total = float(weights.sum())
+    if len(points) < least or total < 1e-12:
+        return None
+
+    def density(mu, var):
+        return -0.5 * (((points - mu) ** 2 / var) + np.log(2 * np.pi * var)).sum(axis=1)
+
+    def moments(w):
+        mu = w @ points
+        return mu, np.maximum(w @ (points - mu) ** 2, 1e-8)
+
+    mu, var = moments(weights / total)
+    one = float(weights @ density(mu, var))
+    step = np.zeros(points.shape[1])
+    step[int(np.argmax(var))] = 0.5 * np.sqrt(var.max())
+    a, b, share, two = (mu + step, var), (mu - step, var), 0.5, -1e30
+    for _ in range(rounds):
+        la, lb = np.log(share) + density(*a), np.log(1 - share) + density(*b)
+        both = np.logaddexp(la, lb)
+        r, now = np.exp(la - both), float(weights @ both)
+        wa = float(weights @ r)
+        if wa / total < 0.05 or 1 - wa / total < 0.05:
+            two = now
+            break
+        a, b, share = moments(weights * r / wa), moments(weights * (1 - r) / (total - wa)), wa / total
+        done, two = now - two < tolerance, now
+        if done:
+            break
+    axes, log_n = points.shape[1], np.log(len(points))
+    gain = (-2 * one + 2 * axes * log_n) - (-2 * two + (4 * axes + 1) * log_n)
+    return (min(share, 1 - share) if gain > 0 else 0.0), gain, gain > 0
+
+
+def self_outlier(signatures: np.ndarray, real: np.ndarray, bp: np.ndarray) -> float | None:
+    """bp share of contigs whose agreement with the running vote of a bin's contigs, over real bins, lies two deviations below the
+    mean; None for fewer than three contigs. signatures, real: contigs by bins, in order."""
+    if len(bp) < 3:
+        return None
+    candidate, votes = np.zeros(signatures.shape[1], signatures.dtype), np.zeros(signatures.shape[1], np.int64)
+    for sig, there in zip(signatures, real, strict=True):
+        fresh = there & (votes == 0)
+        votes += np.where(there, np.where(fresh | (candidate == sig), 1, -1), 0)
+        candidate = np.where(fresh, sig, candidate)
+    agree = ((signatures == candidate) & real).sum(axis=1) / np.maximum(real.sum(axis=1), 1)
+    low = agree < agree.mean() - 2 * agree.std()
+    return float(bp[low].sum() / bp.sum())
+
+
+def reference_minority(signatures: np.ndarray, real: np.ndarray, bp: np.ndarray, models: dict[str, np.ndarray], host: str) -> float | None:
+    """bp share of contigs that agree best, over real bins, with another model than the host's; None for fewer than two models. The
+    first model of the greatest agreement counts."""
+    if len(models) < 2 or not len(bp):
+        return None
+    names = list(models)
+    agree = np.stack([((signatures == models[k]) & real).sum(axis=1) / np.maximum(real.sum(axis=1), 1) for k in names])
+    other = np.array([names[i] != host for i in agree.argmax(axis=0)])
+    return float(bp[other].sum() / bp.sum())
 
 
 def covariance_model(profiles: DataFrame, key: str, vector: str, top: int = 15, least: int = 3) -> DataFrame:

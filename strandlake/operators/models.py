@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Callable, Iterator
 
-from .catalog import order_stat
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def prevalence(members: DataFrame, key: str, theta: float = 0.9) -> DataFrame:
@@ -48,14 +50,18 @@ def duplication_ceiling(copies: DataFrame, core: DataFrame, key: str, times: flo
     return group_statistics(dup, key, "core_dup").select(key, F.col("upper_median").alias("median"), "mad", ceiling.alias("ceiling"))
 
 
-def multiplicity(members: DataFrame, key: str, cap: int = 255) -> DataFrame:
-    """hash -> in how many keys it occurs."""
-    return members.select(key, "hash").distinct().groupBy("hash").agg(F.least(F.count(F.lit(1)), F.lit(cap)).alias("n_keys"))
+def multiplicity(members: DataFrame, *keys: str, cap: int = 255) -> DataFrame:
+    """hash -> in how many entries it occurs, an entry being a value of one of the keys (a genus, a family)."""
+    entries = None
+    for i, key in enumerate(keys):
+        e = members.select(F.lit(i).alias("level"), F.col(key).alias("entry"), "hash").distinct()
+        entries = e if entries is None else entries.unionByName(e)
+    return entries.groupBy("hash").agg(F.least(F.count(F.lit(1)), F.lit(cap)).alias("n_keys"))
 
 
 def idf_tiers(members: DataFrame, key: str) -> DataFrame:
     """hash, tier = floor(log2(distinct keys)), 15 at most."""
-    return multiplicity(members, key, 1 << 30).select("hash", "n_keys", F.least(F.floor(F.log2("n_keys")), F.lit(15)).cast("int").alias("tier"))
+    return multiplicity(members, key, cap=1 << 30).select("hash", "n_keys", F.least(F.floor(F.log2("n_keys")), F.lit(15)).cast("int").alias("tier"))
 
 
 def diagnostic(members: DataFrame, clade: str) -> DataFrame:
@@ -78,12 +84,47 @@ def best_reference(queries: DataFrame, references: DataFrame, key: str) -> DataF
     return best.join(size, "genome_id").select("genome_id", F.col(f"b.{key}").alias("best"), F.col("b.shared").alias("shared"), (F.col("b.shared") / F.col("n")).alias("containment"))
 
 
+def _octile(value) -> F.Column:
+    """A range of values in whose order values stand: eight to each doubling, either side of zero (logarithms are semi-monotonic)."""
+    x = value.cast("double")
+    size = F.floor(F.log2(F.abs(x)) * 8) + 20_000
+    return F.when(x > 0, size).when(x < 0, -size).otherwise(0).cast("int")
+
+
+def ranked_values(df: DataFrame, keys: list[str], value: str, wanted: int, rank: Callable[[F.Column, F.Column], F.Column]) -> DataFrame:
+    """keys, n, value, hits: of each group's values that are not null, those that hold a wanted rank, and which of them. There are
+    `wanted` ranks; the i-th, a function of i and n, counts from 0.
+
+    No group is collected, nor sorted as a whole: counts by value are summed by ranges of value (some thousands in a group), prefix sums
+    of those say which ranges hold a rank, and only the distinct values of such ranges are put in order.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("c")).withColumn("range", _octile(F.col("value")))
+    by = Window.partitionBy(*keys)
+    sums = counts.groupBy(*keys, "range").agg(F.sum("c").alias("m"))
+    sums = sums.withColumn("n", F.sum("m").over(by)).withColumn("before", F.sum("m").over(by.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m"))
+    held = lambda first, count: F.filter(F.sequence(F.lit(0), F.lit(wanted - 1)), lambda i: (rank(i, F.col("n")) >= first) & (rank(i, F.col("n")) < first + count))
+    places = sums.where(F.size(held(F.col("before"), F.col("m"))) > 0).select(*keys, "range", "n", "before")
+    upto = Window.partitionBy(*keys, "range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    inside = counts.join(places, [*keys, "range"]).withColumn("first", F.col("before") + F.sum("c").over(upto) - F.col("c"))
+    return inside.select(*keys, "n", "value", held(F.col("first"), F.col("c")).alias("hits")).where(F.size("hits") > 0)
+
+
+def nth_values(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[F.Column], F.Column]]) -> DataFrame:
+    """keys, n and, for each name, the value of that rank."""
+    found = ranked_values(df, keys, value, len(ranks), lambda i, n: F.element_at(F.array(*[f(n).cast("long") for f in ranks.values()]), i + 1))
+    return found.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(F.array_contains("hits", i), F.col("value"))).alias(k) for i, k in enumerate(ranks)])
+
+
+UPPER_MEDIAN = {"upper_median": lambda n: F.floor(n / 2)}
+
+
 def group_statistics(df: DataFrame, key: str, value: str) -> DataFrame:
     """n, nearest-rank p90 (both index rules), upper median, MAD, p20 of each group."""
-    g = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.collect_list(value).alias("v"))
-    g = g.select(key, "n", "v", *[order_stat(F.col("v"), k).alias(k) for k in ("p90_ceil", "p90_floor", "upper_median", "p20_floor")])
-    deviation = F.transform("v", lambda x: F.abs(x - F.col("upper_median")))
-    return g.withColumn("mad", order_stat(deviation, "upper_median")).drop("v")
+    ranks = {"p90_ceil": lambda n: F.ceil(n * 0.9) - 1, "p90_floor": lambda n: F.least(F.floor(n * 0.9), n - 1), "p20_floor": lambda n: F.floor(n * 0.2)}
+    s = nth_values(df, [key], value, UPPER_MEDIAN | ranks)
+    off = df.where(F.col(value).isNotNull()).select(key, value).join(s.select(key, "upper_median"), key)
+    mad = nth_values(off.select(key, F.abs(F.col(value) - F.col("upper_median")).alias("off")), [key], "off", {"mad": UPPER_MEDIAN["upper_median"]})
+    return s.join(mad.drop("n"), key).select(key, "n", "p90_ceil", "p90_floor", "upper_median", "p20_floor", "mad")
 
 
 def robust_z(df: DataFrame, key: str, value: str, floor: float = 1e-4, least: int = 3) -> DataFrame:
@@ -94,9 +135,8 @@ def robust_z(df: DataFrame, key: str, value: str, floor: float = 1e-4, least: in
 
 def quantile_table(df: DataFrame, key: str, value: str, points: int = 128) -> DataFrame:
     """key -> sorted sample quantiles at round(q / (points - 1) * (n - 1))."""
-    g = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("v"))
-    at = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda q: F.element_at("v", (F.floor(q / F.lit(points - 1.0) * (F.size("v") - 1) + 0.5) + 1).cast("int")))
-    return g.select(key, at.alias("quantiles"))
+    found = ranked_values(df, [key], value, points, lambda i, n: F.floor(i / F.lit(points - 1.0) * (n - 1) + 0.5))
+    return found.groupBy(key).agg(F.transform(F.sort_array(F.flatten(F.collect_list(F.transform("hits", lambda i: F.struct(i.alias("i"), F.col("value").alias("value")))))), lambda x: x.value).alias("quantiles"))
 
 
 def percentile_of(value, quantiles) -> F.Column:
@@ -104,37 +144,47 @@ def percentile_of(value, quantiles) -> F.Column:
     return F.size(F.filter(quantiles, lambda q: q <= value)) / F.size(quantiles)
 
 
-def similar(queries: DataFrame, corpus: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """Exact cosine top-k of every query against all rows, (id, vector) each; ties by id.
+#: Vectors that meet in one product: queries of a block, rows of a chunk.
+BLOCK = 4096
+
+
+def packed_vectors(df: DataFrame, name: str) -> DataFrame:
+    """(id, vector) rows as rows of up to BLOCK: <name>_ids, <name>_x (little-endian 64-bit integers and floats, vectors of length 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                x = np.array(part.column(1).flatten(), float).reshape(part.num_rows, -1)
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                yield pa.RecordBatch.from_arrays([pa.array([np.array(part.column(0), np.int64).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], [f"{name}_ids", f"{name}_x"])
 
-    Queries go out in blocks of `block` rows, so each broadcast is bounded; the best k of each partition are kept before the shuffle.
+    given = df.where("id is not null and vector is not null").select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    return given.mapInArrow(run, f"{name}_ids binary, {name}_x binary")
+
+
+def similar(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """Exact cosine top-k of every query against all rows, (id, vector) each; ties by id; rows without id or vector take no part.
+
+    Blocks of queries and chunks of rows are tables of matrices; each block meets each chunk once, as one product, and gives the best k
+    of its queries there. The driver holds no query; the k of a query are merged by a window whose rank filter Spark applies before the shuffle, too.
     """
-    import numpy as np
-    import pandas as pd
-
-    total = queries.count()
-    blocks = max(1, -(-total // block))
-    out = None
-    placed = queries.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    for b in range(blocks):
-        rows = placed.where(F.col("_b") == b).collect()
-        ids = np.array([r["id"] for r in rows])
-        q = np.array([r["vector"] for r in rows], float).reshape(len(rows), -1)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-        def best(parts, ids=ids, q=q):
-            for p in parts:
-                m = np.stack(p["vector"].to_numpy()).astype(float)
-                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-                s = q @ m.T
-                for i in range(len(ids)):
-                    top = np.lexsort((p["id"].to_numpy(), -s[i]))[:k]
-                    yield pd.DataFrame({"query": ids[i], "id": p["id"].to_numpy()[top], "similarity": s[i][top]})
-
-        part = corpus.select("id", "vector").mapInPandas(best, "query long, id long, similarity double") if len(rows) else None
-        if part is not None:
-            out = part if out is None else out.unionByName(part)
-    if out is None:
-        return corpus.select(F.col("id").alias("query"), "id", F.lit(0.0).alias("similarity")).where("false")
-    kept = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("similarity", 9)).alias("s"), "id", "similarity"))), 1, k)
-    return out.groupBy("query").agg(kept.alias("x")).select("query", F.posexplode("x").alias("rank", "x")).select("query", "rank", "x.id", "x.similarity")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q_ids, q_x, r_ids, r_x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                qi, ri = np.frombuffer(q_ids, np.int64), np.frombuffer(r_ids, np.int64)
+                q, r = np.frombuffer(q_x).reshape(len(qi), -1), np.frombuffer(r_x).reshape(len(ri), -1)
+                order = np.argsort(ri, kind="stable")  # so that a stable sort by similarity leaves ties in order of id
+                ri, r = ri[order], r[order]
+                n = min(k, len(ri))
+                for i in range(0, len(qi), 256):
+                    s = np.round(q[i : i + 256] @ r.T, 9)
+                    top = np.argsort(-s, axis=1, kind="stable")[:, :n]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi[i : i + 256], n)), pa.array(ri[top].ravel()), pa.array(np.take_along_axis(s, top, 1).ravel())], ["query", "id", "similarity"])
+
+    units = packed_vectors(queries, "q").crossJoin(packed_vectors(corpus, "r"))  # matrices: a stated set of queries against all rows
+    found = units.select("q_ids", "q_x", "r_ids", "r_x").mapInArrow(best, "query long, id long, similarity double")
+    first = Window.partitionBy("query").orderBy(F.col("similarity").desc(), "id")
+    kept = found.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k)
+    return kept.select("query", (F.col("place") - 1).alias("rank"), "id", "similarity")

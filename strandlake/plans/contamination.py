@@ -18,7 +18,7 @@ def foreign_score(spark, d):
     m = kmer_sets(spark, d)
     prev = ops.prevalence(m, "genus").select("genus", "hash", F.col("n_present").alias("k"), "prevalence")
     family = m.select("family", "genus", "hash").distinct().groupBy("family", "hash").agg(F.count(F.lit(1)).alias("fk"))
-    many = ops.multiplicity(m, "genus", 1 << 30)
+    many = ops.multiplicity(m, "genus", cap=1 << 30)
     x = m.join(prev, ["genus", "hash"]).join(family, ["family", "hash"]).join(many, "hash")
     host = F.when(F.col("k") >= 2, F.col("prevalence")).otherwise(0.0)
     foreign = (F.col("k") == 1) & F.col("n_keys").between(2, 3) & (F.col("fk") == 1)
@@ -42,11 +42,10 @@ def kmer_copies(spark, d):
     return c.select("genome_id", "family", F.explode("x").alias("x")).select("genome_id", "family", "x.hash", "x.copies")
 
 
-@query(W + COPIES + ", nm AS (SELECT family, count(DISTINCT genome_id) AS n FROM kc GROUP BY family), pc AS (SELECT family, hash, count(*) AS present, count(*) FILTER (copies > 1) AS multi, any_value(n) AS n FROM kc JOIN nm USING (family) GROUP BY family, hash) SELECT family, count(*) AS n_hashes, count(*) FILTER (n >= 10 AND present >= ceil(0.1 * n) AND multi <= floor(0.1 * present)) AS n_single_copy FROM pc GROUP BY family")
+@query(W + COPIES + ", nm AS (SELECT family, count(DISTINCT genome_id) AS n FROM kc GROUP BY family), pc AS (SELECT family, hash, count(*) AS present, count(*) FILTER (copies > 1) AS multi, any_value(n) AS n FROM kc JOIN nm USING (family) GROUP BY family, hash) SELECT family, count(*) AS n_hashes, count(*) FILTER (n >= 10 AND present >= ceil(0.9 * n) AND multi <= floor(0.1 * present)) AS n_single_copy FROM pc GROUP BY family")
 def single_copy_core(spark, d):
-    """Hashes in a tenth of a family's genomes or more, the share of this query's SQL, that are multi-copy in a tenth of those at most;
-    single_copy_ceiling has the core at the operator's own share of nine tenths."""
-    p = ops.single_copy(kmer_copies(spark, d), "family", theta=0.1)
+    """Hashes in nine tenths of a family's genomes or more that are multi-copy in a tenth of those at most."""
+    p = ops.single_copy(kmer_copies(spark, d), "family")
     return p.groupBy("family").agg(F.count(F.lit(1)).alias("n_hashes"), F.count_if("is_core").alias("n_single_copy"))
 
 
@@ -75,12 +74,15 @@ def cco_baseline_adj(spark, d):
     return x.join(s, "l_suppkey").select("l_orderkey", "l_linenumber", F.round(adj, 6).alias("adjusted"))
 
 
-@query("WITH a AS (SELECT l_orderkey, list_sort(list(l_extendedprice)) AS v, count(*) AS n FROM lineitem GROUP BY 1), b AS (SELECT l_orderkey, n, v, v[floor(n / 2)::INT + 1] AS med FROM a), c AS (SELECT l_orderkey, n, med, list_sort(list_transform(v, lambda x: abs(x - med)))[floor(n / 2)::INT + 1] AS mad FROM b) SELECT l_orderkey AS genome_id, round(sum(CASE WHEN (l_extendedprice - med) / (1.4826 * greatest(mad, 0.0001)) * sqrt(greatest(1, l_quantity / 16)) > 3 THEN l_quantity ELSE 0 END) / sum(l_quantity), 6) AS outlier_bp FROM lineitem JOIN c USING (l_orderkey) GROUP BY 1")
-def contig_outlier_z(spark, d):
-    """bp share of contigs that lie more than three length-scaled deviations above their genome's median."""
-    x = v.load(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice")
-    z = ops.robust_z(x, "l_orderkey", "l_extendedprice", least=1).withColumn("z", F.col("z") * F.sqrt(F.greatest(F.lit(1.0), F.col("l_quantity") / 16)))
-    return z.groupBy(F.col("l_orderkey").alias("genome_id")).agg(F.round(F.sum(F.when(F.col("z") > 3, F.col("l_quantity")).otherwise(0)) / F.sum("l_quantity"), 6).alias("outlier_bp"))
+@query("WITH c AS (SELECT l_orderkey, l_quantity, l_extendedprice FROM lineitem WHERE l_quantity >= 5), a AS (SELECT l_orderkey, list_sort(list(l_extendedprice)) AS v, count(*) AS n FROM c GROUP BY 1 HAVING count(*) >= 3), b AS (SELECT l_orderkey, n, v, v[floor(n / 2)::INT + 1] AS med FROM a), m AS (SELECT l_orderkey, med, greatest(1.4826 * list_sort(list_transform(v, lambda x: abs(x - med)))[floor(n / 2)::INT + 1], 0.000001) AS mad FROM b) SELECT l_orderkey AS genome_id, round(sum(CASE WHEN (l_extendedprice - med) / (mad / sqrt(greatest(1, l_quantity / 16))) > 3 THEN l_quantity ELSE 0 END) / sum(l_quantity), 6) AS outlier_bp FROM c JOIN m USING (l_orderkey) GROUP BY 1")
+def contig_outlier_z(spark, d, least_length: float = 5, window: float = 16):
+    """bp share of contigs that lie more than three length-scaled deviations above their genome's median, over contigs of least_length
+    or more; null (no row) where fewer than three contigs are scored. Lengths here are the fixture's, in its own unit."""
+    x = v.load(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice").where(F.col("l_quantity") >= least_length)
+    s = ops.group_statistics(x, "l_orderkey", "l_extendedprice").where("n >= 3").select("l_orderkey", F.col("upper_median").alias("med"), F.greatest(1.4826 * F.col("mad"), F.lit(1e-6)).alias("mad"))
+    z = (F.col("l_extendedprice") - F.col("med")) / (F.col("mad") / F.sqrt(F.greatest(F.lit(1.0), F.col("l_quantity") / window)))
+    share = F.sum(F.when(z > 3, F.col("l_quantity")).otherwise(0)) / F.sum("l_quantity")
+    return x.join(s, "l_orderkey").groupBy(F.col("l_orderkey").alias("genome_id")).agg(F.round(share, 6).alias("outlier_bp"))
 
 
 @query("WITH m AS (SELECT c_custkey, c_nationkey, count(DISTINCT l_partkey) AS present FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2), s AS (SELECT c_nationkey, list_sort(list(present)) AS v, count(*) AS n FROM m GROUP BY 1), a AS (SELECT list_sort(list(present)) AS v, count(*) AS n FROM m) SELECT c_custkey, least(1, round(present / greatest(1, CASE WHEN s.n >= 10 THEN s.v[ceil(0.9 * s.n)::INT] ELSE a.v[ceil(0.9 * a.n)::INT] END), 6)) AS marker FROM m JOIN s USING (c_nationkey), a")
@@ -90,6 +92,6 @@ def marker_p90_calibration(spark, d):
     j = load("customer").select("c_custkey", "c_nationkey").join(load("orders").select("o_orderkey", "o_custkey"), F.col("o_custkey") == F.col("c_custkey")).join(load("lineitem").select("l_orderkey", "l_partkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     m = j.groupBy("c_custkey", "c_nationkey").agg(F.countDistinct("l_partkey").alias("present"))
     s = ops.group_statistics(m, "c_nationkey", "present").select("c_nationkey", F.when(F.col("n") >= 10, F.col("p90_ceil")).alias("own"))
-    a = ops.group_statistics(m.withColumn("all", F.lit(1)), "all", "present").select(F.col("p90_ceil").alias("overall"))
+    a = ops.nth_values(m.withColumn("all", F.lit(1)), ["all"], "present", {"overall": lambda n: F.ceil(0.9 * n) - 1}).select("overall")
     out = m.join(s, "c_nationkey").crossJoin(F.broadcast(a))  # one row
     return out.select("c_custkey", F.least(F.lit(1.0), F.round(F.col("present") / F.greatest(F.lit(1), F.coalesce("own", "overall")), 6)).alias("marker"))

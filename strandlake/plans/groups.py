@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as kx
+from ..operators import check
 from ..operators import groups as ops
 from ..sources import views as v
 from .models import oph_sketch
@@ -25,6 +26,7 @@ def contig_profiles(spark, d, least: int = 20):
 
 @query()
 def genus_consensus_vote(spark, d):
+    """Running vote of each bin over a genus' members in order of id."""
     g = v.genomes(spark, d).select("genome_id", "genus")
     return ops.majority_vote(oph_sketch(spark, d).join(g, "genome_id"), "genus", "genome_id", "sig1", 64)
 
@@ -38,11 +40,59 @@ def cov_model(spark, d):
 
 @query()
 def tnf_excess(spark, d):
-    """Distances of every genome's profile to the model of its genus."""
+    """Excess distance of every genome's profile from its genus, as the check has it and as building has it."""
+    g = kx.doubles(v.genomes(spark, d).select(F.col("genome_id").alias("id"), "genus", "seq"), "seq", kx.tnf, "tnf")
+    return ops.profile_excess(g, ops.shrunk_model(g, "genus", "tnf"), "genus", "tnf")
+
+
+@query()
+def tnf_distances(spark, d):
+    """T2 and SPE of every genome's profile against the leading axes of its genus."""
     g = kx.doubles(v.genomes(spark, d).select(F.col("genome_id").alias("id"), "genus", "seq"), "seq", kx.tnf, "tnf")
     return ops.distances(g, ops.covariance_model(g, "genus", "tnf"), "genus", "tnf")
 
 
+@query()
+def gmm_bic(spark, d):
+    """Two diagonal Gaussians against one over the contigs of each genome, by the two axes of widest spread, weighted by length."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("contig_index")
+        x, bp = np.stack(g["tnf"].to_numpy()), g["bp"].to_numpy(float)
+        x = x[:, np.argsort(-x.var(axis=0), kind="stable")[:2]]
+        share, gain, better = ops.two_gaussians(x, bp) or (None, None, None)
+        return pd.DataFrame({"genome_id": [int(g["genome_id"].iloc[0])], "minority": pd.array([share], "Float64"), "bic_gain": pd.array([gain], "Float64"), "bimodal": pd.array([better], "boolean")})
+
+    return contig_profiles(spark, d).groupBy("genome_id").applyInPandas(run, "genome_id long, minority double, bic_gain double, bimodal boolean")
+
+
+@query()
+def contig_split(spark, d):
+    """Of each genome's contigs, by their sketches: the share that agrees best with another genus of the family, and the share that falls
+    two deviations short of the genome's own running vote. Genera come with the family's consensus, a short list."""
+    bins, k = 32, 8
+    genera = v.genomes(spark, d).select("genome_id", "family", "genus")
+    stored = check.sketches(v.genomes(spark, d), (k,), bins)
+    models = check.consensus_signatures(stored, genera, "genus", bins).select("genus", "consensus").join(genera.select("family", "genus").distinct(), "genus")
+    by_family = models.groupBy("family").agg(F.sort_array(F.collect_list(F.struct("genus", "consensus"))).alias("models"))
+    contigs = v.contigs(spark, d).where(F.length("seq") >= 20).select((F.col("genome_id") * 100_000 + F.col("contig_index")).alias("genome_id"), "seq", F.length("seq").alias("bp"))
+    cut = check.sketches(contigs, (k,), bins).where("n_real > 0").join(contigs.select("genome_id", "bp"), "genome_id")
+    cut = cut.select(F.floor(F.col("genome_id") / 100_000).cast("long").alias("genome_id"), (F.col("genome_id") % 100_000).alias("contig_index"), "bp", "sig", F.element_at("real", 1).alias("real"))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("contig_index")
+        sig, bp = np.stack(g["sig"].to_numpy()), g["bp"].to_numpy(float)
+        real = (g["real"].to_numpy(np.int64)[:, None] >> np.arange(bins)) & 1 == 1
+        known = {m["genus"]: np.asarray(m["consensus"]) for m in g["models"].iloc[0]}
+        host = g["genus"].iloc[0]
+        known = {host: known[host], **known}  # the host comes first: ties are its own
+        found = [ops.reference_minority(sig, real, bp, known, host), ops.self_outlier(sig, real, bp)]
+        return pd.DataFrame({"genome_id": [int(g["genome_id"].iloc[0])], "n_contigs": [len(g)], "reference_minority": pd.array(found[:1], "Float64"), "self_outlier": pd.array(found[1:], "Float64")})
+
+    j = cut.join(genera, "genome_id").join(by_family, "family")
+    return j.groupBy("genome_id").applyInPandas(run, "genome_id long, n_contigs long, reference_minority double, self_outlier double")
+
+
 def _per_genome(kernel, name, most: int | None = None):
     """Applies the kernel to all contigs of a genome, or to its `most` longest where the operator has such a limit."""
 

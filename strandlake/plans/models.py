@@ -57,10 +57,8 @@ def oph_fingerprint(spark, d):
 
 @query(W + ", f AS (SELECT genome_id, contig_index, list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split(contig_acc, ''), lambda c: ascii(c)::UHUGEINT)), lambda h, b: (xor(h::UBIGINT, b::UBIGINT)::UHUGEINT * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) AS h FROM contigs) SELECT genome_id, contig_index, CASE WHEN h >= 9223372036854775808 THEN (h::HUGEINT - 18446744073709551616)::BIGINT ELSE h::BIGINT END AS hash FROM f")
 def fnv_contig_hash(spark, d):
-    import pyarrow as pa
-
     c = v.contigs(spark, d).select("genome_id", "contig_index", "contig_acc")
-    return kx.with_kernel(c, "contig_acc", kx.fnv1a_64, "hash", "bigint", pa.int64()).select("genome_id", "contig_index", "hash")
+    return kx.with_fnv1a_64(c, "contig_acc", "hash").select("genome_id", "contig_index", "hash")
 
 
 @query(W + ", p AS (SELECT genome_id, unnest(range(1, length(seq) - 2)) AS i, seq FROM g WHERE length(seq) >= 4), m AS (SELECT genome_id, least(substr(seq, i, 4), reverse(translate(substr(seq, i, 4), 'ACGT', 'TGCA'))) AS mer FROM p), n AS (SELECT genome_id, mer, count(*) AS n FROM m GROUP BY genome_id, mer), t AS (SELECT genome_id, sqrt(sum(n * n)) AS size FROM n GROUP BY genome_id) SELECT genome_id, mer, round(n / size, 6) AS share FROM n JOIN t USING (genome_id)")
@@ -125,26 +123,18 @@ def prevalence_core(spark, d):
     return p.groupBy("genus").agg(F.max("n_members").alias("n_members"), *[F.count_if(F.col("run") == r).alias(f"n_{r}") for r in ("core", "multi", "singleton")])
 
 
-@query(W + PREV + ", sh AS (SELECT genus, hash FROM runs WHERE n_present >= 2), cs AS (SELECT genus, count(*) AS core_size FROM sh GROUP BY genus), h AS (SELECT genome_id, genus, count(*) AS hits FROM km JOIN sh USING (genus, hash) GROUP BY genome_id, genus) SELECT k.genome_id, k.genus, coalesce(hits, 0) AS hits, core_size, round(coalesce(hits, 0) / core_size, 6) AS coverage FROM (SELECT DISTINCT genome_id, genus FROM km) k JOIN cs USING (genus) LEFT JOIN h USING (genome_id, genus)")
-def core_coverage(spark, d):
-    """Coverage of the hashes that two members or more of the genus share, the rule of this query's SQL; core_run_coverage has the
-    prevalence core."""
-    m = kmer_sets(spark, d)
-    model = ops.prevalence(m, "genus").where("n_present >= 2")
-    return ops.coverage(m, model, "genus").withColumn("coverage", F.round("coverage", 6))
-
-
 @query(W + PREV + ", core AS (SELECT genus, hash FROM runs WHERE run = 'core'), cs AS (SELECT genus, count(*) AS core_size FROM core GROUP BY genus), h AS (SELECT genome_id, genus, count(*) AS hits FROM km JOIN core USING (genus, hash) GROUP BY genome_id, genus) SELECT k.genome_id, k.genus, coalesce(hits, 0) AS hits, coalesce(core_size, 0) AS core_size, CASE WHEN core_size > 0 THEN round(coalesce(hits, 0) / core_size, 6) END AS coverage FROM (SELECT DISTINCT genome_id, genus FROM km) k LEFT JOIN cs USING (genus) LEFT JOIN h USING (genome_id, genus)")
-def core_run_coverage(spark, d, theta: float = 0.9):
+def core_coverage(spark, d, theta: float = 0.9):
     """Coverage of the genus's prevalence core (hashes in ceil(theta * n) of its n members or more); null where that core is empty."""
     m = kmer_sets(spark, d)
     model = ops.prevalence(m, "genus", theta).where("run = 'core'")
     return ops.coverage(m, model, "genus", "left").withColumn("coverage", F.round("coverage", 6))
 
 
-@query(W + MERS + ", n AS (SELECT hash, count(DISTINCT genus) AS k FROM km GROUP BY hash) SELECT least(k, 255)::BIGINT AS n_keys, count(*) AS n_hashes FROM n GROUP BY 1")
+@query(W + MERS + ", n AS (SELECT hash, count(DISTINCT genus) + count(DISTINCT family) AS k FROM km GROUP BY hash) SELECT least(k, 255)::BIGINT AS n_keys, count(*) AS n_hashes FROM n GROUP BY 1")
 def global_multiplicity(spark, d):
-    return ops.multiplicity(kmer_sets(spark, d), "genus").groupBy("n_keys").agg(F.count(F.lit(1)).alias("n_hashes"))
+    """How many entries, of genera and of families, hold each hash."""
+    return ops.multiplicity(kmer_sets(spark, d), "genus", "family").groupBy("n_keys").agg(F.count(F.lit(1)).alias("n_hashes"))
 
 
 @query(W + MERS + ", n AS (SELECT hash, count(DISTINCT genus) AS k FROM km GROUP BY hash), t AS (SELECT least(floor(log2(k)), 15)::INT AS tier FROM n) SELECT tier, count(*) AS n_hashes, round(1 - tier / log2((SELECT count(DISTINCT genus) FROM km)), 6) AS weight FROM t GROUP BY tier")

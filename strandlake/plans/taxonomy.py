@@ -32,17 +32,46 @@ def rank_extract(spark, d):
     return v.genomes(spark, d).select("genome_id", fx.rank_token(t, "g").alias("genus_token"), fx.rank_token(t, "s").alias("species_token"), fx.rank_token(t, "o").alias("order_token"))
 
 
-@query("WITH x AS (SELECT doc_id AS genome_id, 'd__X;f__' || lang || CASE WHEN source IN ('src0', 'src1') THEN '' ELSE ';g__' || CASE WHEN source = 'src2' THEN '' ELSE source END END AS taxonomy FROM documents) SELECT genome_id, CASE WHEN length(regexp_extract(taxonomy, '(?:^|;)(g__[^;]*)', 1)) > 3 THEN regexp_extract(taxonomy, '(?:^|;)(g__[^;]*)', 1) ELSE regexp_extract(taxonomy, '(?:^|;)(f__[^;]*)', 1) END AS bucket FROM x")
+# lineages with missing and bare ranks, of the ten-rank form, and none at all, by id
+ODD = "odd AS (SELECT doc_id AS genome_id, CASE doc_id % 3 WHEN 0 THEN 'RS_GCF_' || doc_id || '.1' WHEN 1 THEN 'GCA_' || doc_id || '.2.b' ELSE 'DOC_' || doc_id || '.7' END AS acc, CASE doc_id % 8 WHEN 0 THEN 'd__X;p__P;f__' || lang || ';g__' || source || ';s__' || source || ' sp' WHEN 1 THEN 'd__X;c__;f__' || lang || ';g__' || source WHEN 2 THEN 'd__X;f__' || lang || ';g__;s__' WHEN 3 THEN 'd__X;l__L;k__K;p__;f__' || lang || ';s__x' WHEN 4 THEN '' WHEN 5 THEN 'd__X;c__' || source WHEN 6 THEN 'd__X;f__;s__' || lang ELSE 'g__' || source || ';d__X' END AS tax FROM documents)"
+
+
+def odd_lineages(spark, d):
+    """genome_id, acc, tax."""
+    i, f, g = F.col("doc_id"), F.concat(F.lit(";f__"), "lang"), F.concat(F.lit(";g__"), "source")
+    acc = F.when(i % 3 == 0, F.concat(F.lit("RS_GCF_"), i, F.lit(".1"))).when(i % 3 == 1, F.concat(F.lit("GCA_"), i, F.lit(".2.b"))).otherwise(F.concat(F.lit("DOC_"), i, F.lit(".7")))
+    forms = [
+        F.concat(F.lit("d__X;p__P"), f, g, F.lit(";s__"), "source", F.lit(" sp")), F.concat(F.lit("d__X;c__"), f, g), F.concat(F.lit("d__X"), f, F.lit(";g__;s__")),
+        F.concat(F.lit("d__X;l__L;k__K;p__"), f, F.lit(";s__x")), F.lit(""), F.concat(F.lit("d__X;c__"), "source"), F.concat(F.lit("d__X;f__;s__"), "lang"), F.concat(F.lit("g__"), "source", F.lit(";d__X")),
+    ]
+    return v.load(spark, d, "documents").select(i.alias("genome_id"), acc.alias("acc"), F.element_at(F.array(*forms), (i % 8 + 1).cast("int")).alias("tax"))
+
+
+def _bucket_sql(bare: str) -> str:
+    """The first rank of g, f, o, c whose prefix is in the string, and the string from there to the next semicolon."""
+    hit = lambda p: f"strpos(tax, '{p}__') > 0 THEN string_split(substr(tax, strpos(tax, '{p}__')), ';')[1]"
+    return f"CASE {' '.join('WHEN ' + hit(p) for p in 'gfoc')} ELSE '' END AS t{bare}"
+
+
+@query("WITH " + ODD + f", x AS (SELECT genome_id, {_bucket_sql('')} FROM odd) SELECT genome_id, CASE WHEN length(t) > 3 THEN t ELSE '__unclassified__' END AS bucket, CASE WHEN t <> '' THEN t ELSE '__unclassified__' END AS repack_bucket FROM x")
 def taxon_bucket(spark, d):
-    """Genus bucket with fallback: two sources have no genus, one a bare prefix."""
-    genus = F.when(F.col("source").isin("src0", "src1"), "").otherwise(F.concat(F.lit(";g__"), F.when(F.col("source") == "src2", "").otherwise(F.col("source"))))
-    x = v.load(spark, d, "documents").select(F.col("doc_id").alias("genome_id"), F.concat(F.lit("d__X;f__"), "lang", genus).alias("taxonomy"))
-    return x.select("genome_id", fx.taxon_bucket(F.col("taxonomy")).alias("bucket"))
+    """Genus bucket with fallback, as appending has it and as re-sharding has it."""
+    t = F.col("tax")
+    return odd_lineages(spark, d).select("genome_id", fx.taxon_bucket(t).alias("bucket"), fx.taxon_bucket(t, keep_bare=True).alias("repack_bucket"))
+
+
+_TOKEN = "coalesce(list_filter(t, lambda x: x[1:3] = '{r}__')[1][4:], '')"
 
 
-@query(W + ", r AS (SELECT genome_id, substr(regexp_extract(taxonomy, '(?:^|;)(d__[^;]*)', 1), 4) AS d, substr(family, 4) AS f, substr(genus, 4) AS g, substr(regexp_extract(taxonomy, '(?:^|;)(s__[^;]*)', 1), 4) AS s FROM g) SELECT genome_id, 'd__' || d || ';l__' || d || ';k__' || d || ';p__' || d || ';c__' || d || ';o__' || d || ';f__' || f || ';g__' || g || ';s__' || s || ';S__' || s AS taxonomy FROM r")
+@query(
+    "WITH " + ODD + ", s AS (SELECT *, string_split(tax, ';') AS t, regexp_replace(acc, '^(RS|GB)_', '') AS a FROM odd), n0 AS (SELECT genome_id, tax, CASE WHEN a[1:4] IN ('GCF_', 'GCA_') THEN regexp_replace(a, '[.][^.]*$', '') ELSE a END AS stem, "
+    + ", ".join(f"{_TOKEN.format(r=r)} AS {n}" for n, r in zip(("d0", "l0", "k0", "p0", "c0", "o0", "f0", "g0", "s0"), "dlkpcofgs", strict=True))
+    + " FROM s)"
+    + "".join(f", n{i} AS (SELECT *, CASE WHEN {r}0 = '' THEN {up} ELSE {r}0 END AS {r}1 FROM n{i - 1})" for i, (r, up) in enumerate(zip("lkpcofg", ("d0", "l1", "k1", "p1", "c1", "o1", "f1"), strict=True), 1))
+    + ", e AS (SELECT *, CASE WHEN s0 = '' THEN stem ELSE s0 END AS s1 FROM n7) SELECT genome_id, CASE WHEN tax LIKE 'l\\_\\_%' ESCAPE '\\' OR contains(tax, ';l__') THEN tax ELSE 'd__' || d0 || ';l__' || l1 || ';k__' || k1 || ';p__' || p1 || ';c__' || c1 || ';o__' || o1 || ';f__' || f1 || ';g__' || g1 || ';s__' || s1 || ';S__' || s1 END AS taxonomy FROM e"
+)
 def tax_normalize_10rank(spark, d):
-    return v.genomes(spark, d).select("genome_id", fx.ten_ranks(F.col("taxonomy")).alias("taxonomy"))
+    return odd_lineages(spark, d).select("genome_id", fx.ten_ranks(F.col("tax"), F.col("acc")).alias("taxonomy"))
 
 
 @query(W + PATHS + " SELECT * FROM n")

@@ -64,8 +64,8 @@ def test_coverage_of_the_prevalence_core(spark, tmp_path):
     shared, extra = piece(60), piece(60)
     rows = [(i, shared + (extra if i < 2 else ""), "en", "a", 0) for i in range(12)] + [(20 + i, piece(40), "en", "b", 0) for i in range(2)]
     d = documents(spark, tmp_path, rows)
-    same(spark, d, QUERIES["core_run_coverage"], ORACLES["core_run_coverage"])
-    got = {r.genome_id: r for r in QUERIES["core_run_coverage"](spark, d).collect()}
+    same(spark, d, QUERIES["core_coverage"], ORACLES["core_coverage"])
+    got = {r.genome_id: r for r in QUERIES["core_coverage"](spark, d).collect()}
     assert all(got[i].core_size == 49 and got[i].coverage == 1.0 for i in range(12))  # what two members share is no part of the core
     assert got[20].core_size == 0 and got[20].coverage is None
     old = {r.genome_id: r.coverage for r in QUERIES["core_coverage"](spark, d).collect()}
