@@ -73,8 +73,8 @@ def leakage_build(containments: list, ks: list[int]) -> F.Column:
 
 
 def quantised_prevalence(count, members) -> F.Column:
-    """A byte: 255 times the logarithm of the count to the base of the members; 0 for one, 255 for all."""
-    q = F.floor(255.0 * F.ln(count.cast("double")) / F.ln(members.cast("double")) + 0.5)
+    """A byte: 255 times the logarithm of the count to the base of the members, halves up; 0 for one, 255 for all."""
+    q = F.floor(255.0 * F.ln(count.cast("double")) / F.ln(members.cast("double")) + 0.5 + 1e-9)
     return F.when((members <= 1) | (count >= members), 255).when(count <= 1, 0).otherwise(F.least(F.greatest(q, F.lit(1)), F.lit(255))).cast("int")
 
 

@@ -139,3 +139,24 @@ def pass_a(catalog: DataFrame, stored: DataFrame, profiles: DataFrame, bins: int
         "genome_id", "tier", "level", relative.alias("completeness"), leakage.alias("leakage"), F.when(spread & (F.col("median") > 0), c0 / F.col("median")).alias("accessory_ratio"),
         F.when(spread, (c0 - F.col("median")) / F.col("mad")).alias("accessory_z"), F.col("excess").alias("tnf_excess"),
     )
+
+
+def column_information(alignment: DataFrame, genus: str, order: str) -> DataFrame:
+    """col (from 0), n_observed, information of (genus, order, seq): one less the entropy of reduced residues as a share of its greatest,
+    over one representative a genus (the first in order), so that dense genera weigh no more; gaps and other letters are left out."""
+    one = alignment.groupBy(genus).agg(F.min_by("seq", order).alias("seq"))
+    letters = one.select(F.posexplode(F.split("seq", "")).alias("col", "x")).where("x <> ''")
+    reduced = F.coalesce(*[F.when(F.col("x").isin(*group), F.lit(i)) for i, group in enumerate(kx.DAYHOFF_6)])
+    n = letters.select("col", reduced.alias("cls")).where("cls is not null").groupBy("col", "cls").agg(F.count(F.lit(1)).alias("n"))
+    total = n.groupBy("col").agg(F.sum("n").alias("n_observed"), F.sum(F.col("n") * F.ln("n")).alias("s"))
+    entropy = F.ln("n_observed") - F.col("s") / F.col("n_observed")
+    return total.select("col", "n_observed", F.greatest((F.lit(np.log(6.0)) - entropy) / float(np.log(6.0)), F.lit(0.0)).alias("information"))
+
+
+def weakest_link(starts: DataFrame, information: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Rows of (..., cols: the alignment columns of a residue k-mer) whose least informative column reaches the threshold; columns that no
+    representative observes inform of nothing."""
+    known = information.select("col", "information")
+    numbered = starts.withColumn("_row", F.monotonically_increasing_id())
+    least = numbered.select("_row", F.explode("cols").alias("col")).join(known, "col", "left").groupBy("_row").agg(F.min(F.coalesce("information", F.lit(0.0))).alias("least"), F.count(F.lit(1)).alias("n"))
+    return numbered.join(least.where((F.col("least") >= threshold) & (F.col("n") == k)).select("_row"), "_row", "left_semi").drop("_row")

@@ -5,13 +5,42 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import live, newest
 
 
+def params_hash(params: dict) -> str:
+    return hashlib.sha256(json.dumps(params, sort_keys=True).encode()).hexdigest()
+
+
+def visit_shards(df: DataFrame, shard: str, visit: Callable[[object, Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """visit(shard value, its rows in batches) for every shard, shard by shard within a task: rows of a shard come together and in
+    batches, so none is held whole; tasks run side by side. Null shards are one shard."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, group in groupby((g for p in parts for g in split(p)), key=lambda x: x[0]):
+            yield from visit(key, (rows for _, rows in group))
+
+    def split(p: pd.DataFrame) -> Iterator[tuple[object, pd.DataFrame]]:
+        marks = p[shard].astype(object).where(p[shard].notna(), None)
+        for _, rows in p.groupby((marks != marks.shift()).where(~(marks.isna() & marks.shift().isna()), False).cumsum(), sort=False):
+            yield marks.loc[rows.index[0]], rows
+
+    return df.repartition(shard).sortWithinPartitions(shard).mapInPandas(run, schema)
+
+
+def completed(headers: DataFrame, rows: DataFrame, key: str = "taxon") -> DataFrame:
+    """Rows of the taxa whose last header says COMPLETE: what a writer that died left half done is not read. headers: key, stage, at."""
+    last = headers.groupBy(key).agg(F.max_by("stage", "at").alias("_stage")).where("_stage = 'COMPLETE'")
+    return rows.join(last.select(key), key, "left_semi")
+
+
 class Dataset:
     """Tables under root: one folder per table and generation, and `_manifest`, whose rows make generations visible."""
 
@@ -27,11 +56,18 @@ class Dataset:
         return d
 
     def _commit(self, generation: int, tables: dict[str, tuple[DataFrame, str]], params: dict) -> None:
+        """Write the tables, then the manifest rows that make them visible. A generation that another writer has claimed fails: the claim
+        is a folder that the file system creates for one of them only."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_claims/{generation}")
+        fs = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        fs.mkdirs(path.getParent())
+        if not fs.createNewFile(path):
+            raise RuntimeError(f"generation {generation} of {self.root} is claimed by another writer")
         rows = []
         for name, (df, kind) in tables.items():
             path = f"{name}/g{generation}-{uuid.uuid4().hex[:8]}"
             df.withColumn("generation", F.lit(generation)).write.parquet(f"{self.root}/{path}")
-            rows.append((generation, name, path, kind, self.spark.read.parquet(f"{self.root}/{path}").count(), hashlib.sha256(json.dumps(params, sort_keys=True).encode()).hexdigest()))
+            rows.append((generation, name, path, kind, self.spark.read.parquet(f"{self.root}/{path}").count(), params_hash(params)))
         self.spark.createDataFrame(rows, self.MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.root}/_manifest")
 
     def manifest(self) -> DataFrame:
@@ -59,6 +95,15 @@ class Dataset:
         """Deletions are tombstones alone; rows stay where they are."""
         self._commit(self.generation() + 1, {"tombstones": (ids.select("genome_id").distinct(), "tombstone")}, {})
 
+    def rebuild(self, root: str, tables: dict[str, Callable[[DataFrame], DataFrame]], source: str, params: dict) -> Dataset:
+        """A new archive from this one's live rows of `source`: each table is made again from them, unless the parameters are those this
+        archive was made with; then it is taken over as it is."""
+        made = {r.params for r in self.manifest().where("kind = 'data' and generation = 1").select("params").distinct().collect()}
+        same = made == {params_hash(params)}
+        base = self.live(source).drop("generation")
+        out = {source: base} | {t: self.live(t).drop("generation") if same else make(base) for t, make in tables.items()}
+        return Dataset.create(self.spark, root, out, params)
+
     def subset(self, root: str, keep: DataFrame, tables: list[str]) -> Dataset:
         """Same ids, kept rows only."""
         return Dataset.create(self.spark, root, {t: self.live(t).drop("generation").join(keep.select("genome_id").distinct(), "genome_id", "left_semi") for t in tables})

@@ -148,7 +148,7 @@ def two_gaussians(points: np.ndarray, weights: np.ndarray, rounds: int = 50, tol
             break
     axes, log_n = points.shape[1], np.log(len(points))
     gain = (-2 * one + 2 * axes * log_n) - (-2 * two + (4 * axes + 1) * log_n)
-    return (min(share, 1 - share) if gain > 0 else 0.0), gain, gain > 0
+    return (min(share, 1 - share) if gain > 0 else 0.0), float(gain), bool(gain > 0)
 
 
 def self_outlier(signatures: np.ndarray, real: np.ndarray, bp: np.ndarray) -> float | None:
@@ -322,7 +322,8 @@ def calibrate(df: DataFrame, x: str, y: str, features: list[str], ridge: float =
     out = df.withColumn("estimate", F.least(F.greatest(iso + linear, F.lit(0.0)), F.lit(1.0)))
     off = F.col("estimate") - real(y)
     report = out.where(real(x).isNotNull() & real(y).isNotNull() & ~F.isnan(real(x)) & ~F.isnan(real(y))).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(off * off)).alias("rmse")).first()
-    return out, {"n": report["n"], "rmse": report["rmse"], "weights": w.tolist()}
+    fit = {"isotonic_x": kx.tolist(), "isotonic_y": ky.tolist(), "ols_weights": w.tolist(), "feature_names": [*features, "1"]}
+    return out, fit | {"n": report["n"], "rmse": report["rmse"], "weights": w.tolist(), "training_rmse": report["rmse"], "n_samples": report["n"]}
 
 
 def greedy_clusters(vectors: np.ndarray, threshold: float = 0.97) -> np.ndarray:

@@ -79,14 +79,26 @@ def staleness(view: dict, archive: dict) -> str:
     return "StaleTombstones" if archive["n_live"] < view["n_live"] else "Mismatch"
 
 
-def decontaminate(genomes: DataFrame, score: Callable[[DataFrame], DataFrame], keep: Callable[[DataFrame], DataFrame], most_rounds: int = 10) -> tuple[DataFrame, int]:
-    """Score, drop, repeat until nothing is dropped. Each round is checkpointed; only counts come to the driver."""
+def decontaminate(genomes: DataFrame, score: Callable[[DataFrame], DataFrame], keep: Callable[[DataFrame], DataFrame], most_rounds: int = 5) -> tuple[DataFrame, int, bool]:
+    """Score, drop, repeat until nothing is dropped: what is left, rounds done, and whether it settled (False: the last of most_rounds
+    still dropped some, so another call may go on from there). Each round is checkpointed; only counts come to the driver."""
     left = genomes.select("genome_id").checkpoint()
     n = left.count()
     for done in range(1, most_rounds + 1):
         good = keep(score(genomes.join(left, "genome_id", "left_semi"))).select("genome_id").checkpoint()
         now = good.count()
         if now == n:
-            return good, done
+            return good, done, True
         left, n = good, now
-    return left, most_rounds
+    return left, most_rounds, False
+
+
+def clean_members(scores: DataFrame, group: str = "genus", z_over: float = 5.0, gap_over: float = 0.02, outlier_over: float = 0.015) -> DataFrame:
+    """The rule of the loop: a genome goes if its leakage lies z_over robust deviations and gap_over above its group's median, or if its
+    contig outlier share exceeds outlier_over. scores: genome_id, group, leakage, contig_outlier (null: no evidence)."""
+    from .models import group_statistics
+
+    s = group_statistics(scores, group, "leakage").select(group, F.col("upper_median").alias("_median"), F.greatest(1.4826 * F.col("mad"), F.lit(1e-6)).alias("_mad"))
+    gap = F.col("leakage") - F.col("_median")
+    bad = F.coalesce((gap / F.col("_mad") > z_over) & (gap > gap_over), F.lit(False)) | F.coalesce(F.col("contig_outlier") > outlier_over, F.lit(False))
+    return scores.join(s, group, "left").where(~bad).select(*scores.columns)

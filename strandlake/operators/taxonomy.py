@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.kernels import with_fnv1a_64
+
 MAX_DEPTH = 40
 
 
@@ -61,15 +65,46 @@ def patch(lineages: DataFrame, changes: DataFrame) -> DataFrame:
     return lineages.join(p, "accession", "left").withColumn("taxonomy", F.coalesce("_new", "taxonomy")).drop("_new")
 
 
-def dense_ids(nodes: DataFrame, key: str = "path") -> DataFrame:
-    """1..N in order of the key: counts of range partitions give the offsets, so no single task sorts all nodes."""
-    spread = nodes.select(key).distinct().repartitionByRange(F.col(key)).sortWithinPartitions(key)
+def positions(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """All columns and the place of each row, from 1, in the order of columns that tell rows apart: counts of range partitions give the
+    offsets, so no single task sorts all rows."""
+    spread = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
     spread = spread.withColumn("_mono", F.monotonically_increasing_id())
     part, within = F.shiftright("_mono", 33), F.col("_mono").bitwiseAND((1 << 33) - 1)
-    placed = spread.select(key, part.alias("_part"), within.alias("_within"))
+    placed = spread.withColumn("_part", part).withColumn("_within", within).drop("_mono")
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row a partition
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return placed.join(F.broadcast(offsets), "_part").select(key, (F.col("_before") + F.col("_within") + 1).alias("taxid"))
+    return placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_within") + 1).drop("_part", "_within", "_before")
+
+
+def dense_ids(nodes: DataFrame, key: str = "path") -> DataFrame:
+    """1..N in order of the key."""
+    return positions(nodes.select(key).distinct(), [key], "taxid")
+
+
+def concept_ids(paths: DataFrame, hashed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """path, concept_id: the path's 64-bit hash with the upper bit set. Of paths with one hash the first in order keeps it and the others
+    move on by one until each has its own; hashes meet so rarely that a round more is the exception."""
+    hashed = hashed or (lambda df: with_fnv1a_64(df, "path", "h"))
+    top = F.lit(-(1 << 63))
+    own = lambda c: F.when(c.bitwiseOR(top) == top, top.bitwiseOR(F.lit(1))).otherwise(c.bitwiseOR(top))
+    ids = hashed(paths.select("path").distinct()).select("path", own(F.col("h")).alias("concept_id"), F.lit(0).alias("moved"))
+    while ids.groupBy("concept_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        first = Window.partitionBy("concept_id").orderBy(F.col("moved"), "path")
+        late = F.row_number().over(first) > 1
+        ids = ids.withColumn("late", late).select("path", F.when(F.col("late"), own(F.col("concept_id") + 1)).otherwise(F.col("concept_id")).alias("concept_id"), F.when(F.col("late"), F.col("moved") + 1).otherwise(F.col("moved")).alias("moved"))
+    return ids.select("path", "concept_id")
+
+
+def resolve_collisions(files: DataFrame, order: str) -> DataFrame:
+    """All columns of (accession, content, order), resolved and action: the first content of an accession keeps it, the n-th distinct
+    one gets ~dup and n, equal content is dropped but for its first file; null content is kept under the accession."""
+    first = files.where("content is not null").groupBy("accession", "content").agg(F.min(order).alias("_first"))
+    numbered = first.withColumn("_n", F.row_number().over(Window.partitionBy("accession").orderBy("_first")))
+    j = files.join(numbered, ["accession", "content"], "left")
+    resolved = F.when(F.col("_n") > 1, F.concat(F.col("accession"), F.lit("~dup"), F.col("_n"))).otherwise(F.col("accession"))
+    action = F.when(F.col("content").isNull(), "keep-unhashed").when(F.col(order) == F.col("_first"), "keep").otherwise("drop-exact-duplicate")
+    return j.withColumn("resolved", resolved).withColumn("action", action).drop("_first", "_n")
 
 
 def balanced_parts(sizes: list[tuple[str, int]], n: int) -> dict[str, int]:

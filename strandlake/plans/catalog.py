@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import catalog as ops
+from ..operators.taxonomy import positions
 from ..sources import views as v
 from .registry import query
 
@@ -124,9 +125,10 @@ def archive_stats(spark, d):
 
 @query(W + "SELECT genome_id, genus, row_number() OVER (PARTITION BY genus ORDER BY genome_length, genome_id)::INT AS position FROM cat")
 def repack_order(spark, d):
-    """Order within each taxon's shard after re-sharding."""
-    w = Window.partitionBy("genus").orderBy("genome_length", "genome_id")
-    return v.catalog(spark, d).select("genome_id", "genus", F.row_number().over(w).alias("position"))
+    """Order within each taxon's shard after re-sharding: places in the order of all rows, less those before the taxon."""
+    placed = positions(v.catalog(spark, d).select("genome_id", "genus", "genome_length"), ["genus", "genome_length", "genome_id"], "at")
+    before = placed.groupBy("genus").agg((F.min("at") - 1).alias("before"))
+    return placed.join(before, "genus").select("genome_id", "genus", (F.col("at") - F.col("before")).cast("int").alias("position"))
 
 
 @query(W + "SELECT genome_id, contig_index, length(seq)::BIGINT AS contig_length, coalesce(sum(length(seq)) OVER (PARTITION BY genome_id ORDER BY contig_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS contig_offset FROM contigs")

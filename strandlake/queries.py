@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import catalog, contamination, groups, models, taxonomy
+from .plans import catalog, check, contamination, groups, models, taxonomy
 from .plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "catalog", "contamination", "flagship", "groups", "models", "taxonomy"]
+__all__ = ["ORACLES", "QUERIES", "catalog", "check", "contamination", "flagship", "groups", "models", "taxonomy"]
 
 
 def flagship(spark, sf_dir):

@@ -41,7 +41,7 @@ def test_quality_and_taxonomy_files(spark, tmp_path):
 
 def test_scalar_functions(spark):
     df = spark.createDataFrame([("d__B;p__P;g__;s__S x", "RS_GCF_000001.2", "g.fna.gz", "mt")], "t string, a string, n string, k string")
-    r = df.select(fx.rank_token(F.col("t"), "g").alias("g"), fx.taxon_bucket(F.col("t")).alias("b"), fx.accession_stem(F.col("a")).alias("a"), fx.strip_extensions(F.col("n")).alias("n"), fx.genome_type(F.col("k")).alias("k"), fx.ten_ranks(F.col("t")).alias("ten")).first()
+    r = df.select(fx.rank_token(F.col("t"), "g").alias("g"), fx.taxon_bucket(F.col("t")).alias("b"), fx.accession_stem(F.col("a")).alias("a"), fx.strip_extensions(F.col("n")).alias("n"), fx.genome_type(F.col("k")).alias("k"), fx.ten_ranks(F.col("t"), F.col("a")).alias("ten")).first()
     assert (r.g, r.b, r.a, r.n, r.k) == (None, "__unclassified__", "GCF_000001", "g", "mitochondrion")
     assert r.ten == "d__B;l__B;k__B;p__P;c__P;o__P;f__P;g__P;s__S x;S__S x"
     s = spark.createDataFrame([("ACGTACGT", 2, 3), ("ACGT", 4, 2), ("ACGT", 2, 9), ("ACGT", 1, 0)], "s string, a int, n int")
@@ -98,8 +98,10 @@ def test_decontaminate_settles(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     g = spark.createDataFrame([(i, float(i)) for i in range(10)], "genome_id long, x double")
     score = lambda df: df.crossJoin(df.agg(F.avg("x").alias("m"))).withColumn("z", F.abs(F.col("x") - F.col("m")))
-    left, rounds = quality.decontaminate(g, score, lambda s: s.where("z <= 3"))
-    assert left.count() == 6 and rounds == 2
+    left, rounds, settled = quality.decontaminate(g, score, lambda s: s.where("z <= 3"))
+    assert left.count() == 6 and rounds == 2 and settled
+    left, rounds, settled = quality.decontaminate(g, score, lambda s: s.where("z <= 3"), most_rounds=1)
+    assert left.count() == 6 and rounds == 1 and not settled
 
 
 def test_streamed_log(spark, tmp_path):
@@ -127,4 +129,4 @@ def test_group_numerics(spark):
     cov = np.cov(v.T, bias=True)
     assert np.allclose(m.eigenvalues, np.linalg.eigvalsh((1 - shrink) * cov + shrink * np.trace(cov) / 4 * np.eye(4))[::-1])
     votes = spark.createDataFrame([("g", 1, [5, 7]), ("g", 2, [5, 8]), ("g", 3, [6, 9])], "genus string, genome_id int, sig array<int>")
-    assert [r.consensus for r in groups.majority_vote(votes, "genus", "genome_id", "sig", 2).orderBy("bin").collect()] == [5, None]
+    assert [r.consensus for r in groups.majority_vote(votes, "genus", "genome_id", "sig", 2).orderBy("bin").collect()] == [5, 9]  # without a majority the last candidate stands
