@@ -4,7 +4,8 @@ Companded samples are expanded by lookup tables; ADPCM blocks of a whole slice o
 for each nibble position; PCM is resampled by Catmull-Rom interpolation to the target rate and stored as a column.
 
 The stored form of PCM is lossless (`pack_pcm`, `unpack_pcm`): samples that interpolation gives back exactly are left out, and where
-256 values or fewer occur, as after companding, samples are bytes that point into a list of them.
+256 values or fewer occur, samples are bytes that point into a sorted list of them: the levels of a companding law if they hold
+all values, so that like rows stay alike and compress together, else the row's own.
 
 Defined results: null or empty payloads are stored padded like any other; bytes that are no such WAV give null PCM and a feature
 that starts with "error"; repeated rows are separate; an empty table gives an empty result; other columns pass through unless
@@ -171,6 +172,10 @@ def store_payloads(docs: DataFrame, text_col: str = "text", media_col: str = "me
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            raw, offsets = text_bytes(batch.column(0))
+            form = [zlib.crc32(padded(raw[a:b].tobytes())) % len(FORMATS) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            # rows of one format lie together, so what they are decoded to compresses better where it is stored
+            batch = batch.take(pa.array(np.argsort(form, kind="stable")))
             raw, offsets = text_bytes(batch.column(0))
             for i, j in slices(offsets, SLICE):
                 media = []
@@ -186,25 +191,32 @@ def store_payloads(docs: DataFrame, text_col: str = "text", media_col: str = "me
     return given.mapInArrow(run, f"{schema}n_bytes bigint, `{media_col}` binary")
 
 
+#: Sorted levels of each companding law, by the flag that says samples point into them.
+LEVELS = {4: np.unique(EXPANDED[MULAW]), 8: np.unique(EXPANDED[ALAW])}
+
+
 def pack_pcm(pcm: np.ndarray) -> bytes:
-    """16-bit samples without loss: flags (1: every second sample is left out; 2: values are listed), number of values, values, samples."""
+    """16-bit samples without loss: flags (1: every second sample is left out; 2: bytes that point into listed values; 4, 8: into a
+    law's levels), number of listed values, those values, samples."""
     flags, kept = 0, pcm
     if len(pcm) >= 2 and len(pcm) % 2 == 0 and np.array_equal(resample(pcm[0::2], 1, 2), pcm):
         flags, kept = 1, pcm[0::2]
+    kept = np.ascontiguousarray(kept, np.int16)
     seen = np.zeros(1 << 16, bool)
-    seen[kept.view(np.uint16) if kept.flags.c_contiguous else kept.astype(np.uint16)] = True
-    values = np.flatnonzero(seen).astype("<u2")
+    seen[kept.view(np.uint16)] = True
+    values = np.sort(np.flatnonzero(seen).astype(np.uint16).view(np.int16))
     if len(values) > 256:
         return struct.pack("<BH", flags, 0) + kept.astype("<i2").tobytes()
-    place = np.zeros(1 << 16, np.uint8)
-    place[values] = np.arange(len(values))
-    return struct.pack("<BH", flags | 2, len(values)) + values.tobytes() + place[kept.astype(np.uint16)].tobytes()
+    for law, levels in LEVELS.items():
+        if np.isin(values, levels).all():
+            return struct.pack("<BH", flags | law, 0) + np.searchsorted(levels, kept).astype(np.uint8).tobytes()
+    return struct.pack("<BH", flags | 2, len(values)) + values.astype("<i2").tobytes() + np.searchsorted(values, kept).astype(np.uint8).tobytes()
 
 
 def unpack_pcm(stored: bytes) -> np.ndarray:
     flags, n = struct.unpack_from("<BH", stored)
-    if flags & 2:
-        values = np.frombuffer(stored, "<u2", n, 3).astype(np.uint16).view(np.int16)
+    if flags & 14:
+        values = LEVELS[flags & 12] if flags & 12 else np.frombuffer(stored, "<i2", n, 3).astype(np.int16)
         at = np.frombuffer(stored, np.uint8, offset=3 + 2 * n)
         kept = values[at] if len(at) else np.zeros(0, np.int16)
     else:
