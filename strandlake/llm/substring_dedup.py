@@ -7,13 +7,13 @@ tells which occur elsewhere. A symbol that occurs once rules out every window th
 would hold an equal symbol; runs of windows that nothing rules out are candidates, and only their 96-bit hashes are compared
 exactly: the earliest occurrence of each (smaller id, earlier start) stays, words under the others are removed.
 
-Text is not kept between passes: blocks of whole documents are cut alike in each pass over the input, and what reducers find returns
-to a block as one bit a name. Names that a block holds many times travel once, so a passage of a third of all documents
-is one name a block.
+The input is read once and cut into blocks of whole documents, which are written to the shared folder; every pass reads those, so
+whatever order the input's rows come in, and whichever executor is lost, a block is the same in all passes. What reducers find returns
+to a block as one bit a name. Names that a block holds many times travel once, so a passage of a third of all documents is one
+name a block.
 
 Defined results: null, empty or blank texts have no words; null ids come last; rows that share an id count as one document after
-another; an empty table gives an empty result; other columns are ignored. Input rows must come in the same order in
-each pass (files do). Ids are integers.
+another, in the order in which the input was read; an empty table gives an empty result; other columns are ignored. Ids are integers.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, byte_codes, mix, powers, slices, span_hashes, table, text_bytes, words_of
-from .packed import SCHEMA, by_block, cuts, exchange, from_planes, home, n_reducers, pack_sorted, planes, runs, to_batch, unpack_sorted
+from .common import BASE, byte_codes, free_shuffles, lean, mix, powers, slices, span_hashes, table, text_bytes, words_of, written
+from .packed import SCHEMA, by_block, cuts, exchange, from_planes, home, in_batches, n_reducers, pack_sorted, planes, runs, to_batch, unpack_sorted
 
 WINDOW = 20
 ROUNDS = 3
@@ -78,7 +78,7 @@ class Block:
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block]]:
-    """Blocks of a partition of (doc_id, text); the cut depends on the rows alone, not on how they are batched."""
+    """Blocks of a partition of (doc_id, text)."""
     part, made = TaskContext.get().partitionId(), 0
     ids, null, raws, sizes, held = [], [], [], [], 0
 
@@ -167,23 +167,27 @@ def _split_bits(rows: list[tuple], kind: int, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _send_names(reducers: int):
+def _send_text(reducers: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, b in blocks(batches):
-            starts, ends, first = b.words()
-            names = np.unique(recompress(b.hashes(starts, ends, _CODES), first)[0])
-            at = cuts(names, reducers)
-            rows = [(p, _NAMES, block, pack_sorted(names[at[p] : at[p + 1]]), b"", b"") for p in np.flatnonzero(np.diff(at)).tolist()]
-            if rows:
-                yield to_batch(rows)
+            yield to_batch([(home(block, reducers), _TEXT, block, *b.packed())])
 
     return run
 
 
-def _send_text(reducers: int):
+def _send_names(reducers: int):
+    """The distinct names of each written block."""
+
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, b in blocks(batches):
-            yield to_batch([(home(block, reducers), _TEXT, block, *b.packed())])
+        for batch in batches:
+            for _, _, block, *packed in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                b = Block.unpacked(*packed)
+                starts, ends, first = b.words()
+                names = np.unique(recompress(b.hashes(starts, ends, _CODES), first)[0])
+                at = cuts(names, reducers)
+                yield from in_batches((p, _NAMES, block, pack_sorted(names[at[p] : at[p + 1]]), b"", b"") for p in np.flatnonzero(np.diff(at)).tolist())
 
     return run
 
@@ -191,6 +195,7 @@ def _send_text(reducers: int):
 def _mark_names(reducers: int):
     """For each block, a bit for each of its names: whether another block has it."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, source = [], []
         for batch in batches:
@@ -239,6 +244,7 @@ def window_hashes(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _send_windows(reducers: int):
     """Candidate windows of each block, the first of each kind; what the block itself knows goes along to its home."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in by_block(batches):
             (b,) = [Block.unpacked(*r[1:]) for r in rows if r[0] == _TEXT]
@@ -269,6 +275,7 @@ def _send_windows(reducers: int):
 def _mark_windows(reducers: int):
     """For each block, a bit for each window it sent: whether the window starts earlier elsewhere; and the reducer's cut."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two, ids, source = [], [], [], []
         for batch in batches:
@@ -297,6 +304,7 @@ def _mark_windows(reducers: int):
 
 
 def _finish(with_text: bool):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_block(batches):
             (b,) = [Block.unpacked(*r[1:]) for r in rows if r[0] == _TEXT]
@@ -332,9 +340,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_words, n_removed, kept_sha256[, kept] of every document."""
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     r = n_reducers(given)
-    text = given.mapInArrow(_send_text(r), SCHEMA)
-    names = exchange(given.mapInArrow(_send_names(r), SCHEMA), r).mapInArrow(_mark_names(r), SCHEMA)
-    windows = exchange(text.unionByName(names), r).mapInArrow(_send_windows(r), SCHEMA)
+    text = written(given.mapInArrow(_send_text(r), SCHEMA))
+    names = exchange(text.mapInArrow(_send_names(r), SCHEMA), r).mapInArrow(_mark_names(r), SCHEMA)
+    windows = written(exchange(text.unionByName(names), r).mapInArrow(_send_windows(r), SCHEMA))
+    free_shuffles(docs.sparkSession)
     later = exchange(windows, r).mapInArrow(_mark_windows(r), SCHEMA)
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept string" if with_text else "")
     return exchange(text.unionByName(later), r).mapInArrow(_finish(with_text), schema)
