@@ -37,15 +37,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _WRITTEN: list[str] = []
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, level: int = 3) -> DataFrame:
     """Write a table to the shared folder and read it again: lineage ends there, and lost executors cost no recomputation.
     level: of zstd, for tables that are mostly large binary values."""
-    path = f"{shared_dir(df.sparkSession)}/strandlake-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/strandlake-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")  # once the table is there, nothing reads the shuffle files of its query again
+    try:
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     _WRITTEN.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_written(spark: SparkSession, since: int = 0) -> int:
@@ -58,11 +65,6 @@ def drop_written(spark: SparkSession, since: int = 0) -> int:
     return len(gone)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Have the driver collect its garbage, upon which Spark deletes shuffle files that no plan can read any more."""
-    spark._jvm.java.lang.System.gc()
-
-
 def unused(columns: list[str], name: str) -> str:
     """A column name that none of `columns` has, in whatever case."""
     taken = {c.lower() for c in columns}

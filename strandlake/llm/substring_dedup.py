@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, byte_codes, free_shuffles, lean, mix, powers, slices, span_hashes, table, text_bytes, words_of, written
+from .common import BASE, byte_codes, lean, mix, powers, slices, span_hashes, table, text_bytes, words_of, written
 from .packed import SCHEMA, by_block, cuts, exchange, from_planes, home, in_batches, n_reducers, pack_sorted, planes, runs, to_batch, unpack_sorted
 
 WINDOW = 20
@@ -343,7 +343,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = written(given.mapInArrow(_send_text(r), SCHEMA))
     names = exchange(text.mapInArrow(_send_names(r), SCHEMA), r).mapInArrow(_mark_names(r), SCHEMA)
     windows = written(exchange(text.unionByName(names), r).mapInArrow(_send_windows(r), SCHEMA))
-    free_shuffles(docs.sparkSession)
     later = exchange(windows, r).mapInArrow(_mark_windows(r), SCHEMA)
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept string" if with_text else "")
     return exchange(text.unionByName(later), r).mapInArrow(_finish(with_text), schema)
