@@ -21,6 +21,65 @@ def tree_nodes(lineages: DataFrame, column: str = "taxonomy") -> DataFrame:
     return t.select(path.alias("path"), parent.alias("parent_path"), F.substring("token", 1, 1).alias("rank"), F.substring("token", 4, 1 << 20).alias("name"), "depth").distinct()
 
 
+#: Ranks from the top, by prefix; the second and third are filled only where some lineage has one of them (fixed values).
+RANKS = "dlkpcofgs"
+
+
+def _fnv1a_32(text: F.Column) -> F.Column:
+    """FNV-1a of the UTF-8 bytes, 32 bits, as eight hexadecimal digits."""
+    digits = F.hex(F.encode(text, "UTF-8"))
+    byte = lambda i: F.conv(F.substr(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("long")
+    places = F.when(F.length(digits) > 0, F.sequence(F.lit(0), (F.length(digits) / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    h = F.aggregate(places, F.lit(2166136261).cast("long"), lambda h, i: (h.bitwiseXOR(byte(i)) * 16777619).bitwiseAND(0xFFFFFFFF))
+    return F.lower(F.lpad(F.hex(h), 8, "0"))
+
+
+def filled_lineages(entries: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """(accession, lineage) -> accession, nodes: its path from the top as structs of path, parent_path, rank, name, synthetic and
+    per_accession, down to a species.
+
+    Tokens without a known rank or without a name are left out. Each rank below the last named token gets a synthetic node, all of
+    them direct extensions of that token's path and each the parent of the next: [unclassified X], and for the species [X sp. accession],
+    of that accession alone, or [X sp. group and a hash] where `groups` (accession, representative; one row an accession) has the
+    accession. Null lineages are as empty ones, whose X is empty.
+    """
+    parts = F.filter(F.split(F.coalesce("lineage", F.lit("")), ";"), lambda t: t.rlike(f"^[{RANKS}]__"))
+    e = entries.select("accession", parts.alias("parts"))
+    full = e.agg(F.coalesce(F.max(F.exists("parts", lambda t: t.rlike("^[lk]__"))), F.lit(False)).alias("full"))  # one row
+    e = e.withColumn("named", F.filter("parts", lambda t: F.length(t) > 3)).crossJoin(F.broadcast(full))
+    name = F.lit(None).cast("string")
+    if groups is not None:
+        e = e.join(groups.select("accession", "representative"), "accession", "left")
+        name = F.when(F.col("representative").isNotNull(), F.concat(F.lit(" sp. group"), _fnv1a_32(F.col("representative"))))
+    last = F.try_element_at("named", F.lit(-1))
+    anchor, upto = F.coalesce(F.substring(last, 4, 1 << 20), F.lit("")), F.array_join("named", ";")
+    deepest = F.coalesce(F.instr(F.lit(RANKS), F.substring(last, 1, 1)), F.lit(1))
+    species = F.concat(F.lit("s__["), anchor, F.coalesce(name, F.concat(F.lit(" sp. "), F.col("accession"))), F.lit("]"))
+    e = e.withColumn("upto", upto).withColumn("anchor", anchor).withColumn("species", species)
+    places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(r).alias("r")) for i, r in enumerate(RANKS, 1)])
+    missing = F.filter(places, lambda p: (p.i > deepest) & (F.col("full") | ~p.r.isin("l", "k")))
+    e = e.withColumn("missing", F.transform(missing, lambda p: F.struct(p.r.alias("rank"), F.when(p.r == "s", F.col("species")).otherwise(F.concat(p.r, F.lit("__[unclassified "), F.col("anchor"), F.lit("]"))).alias("name"))))
+
+    def node(path, parent, rank, name, synthetic, alone):
+        return F.struct(path.alias("path"), parent.alias("parent_path"), rank.alias("rank"), name.alias("name"), synthetic.alias("synthetic"), alone.alias("per_accession"))
+
+    no, head = F.lit(False), lambda n: F.array_join(F.slice("named", F.lit(1), n), ";")
+    own = F.transform("named", lambda t, i: node(head(i + 1), F.when(i > 0, head(i)).otherwise("root"), F.substring(t, 1, 1), F.substring(t, 4, 1 << 20), no, no))
+    below = lambda m: F.concat(F.col("upto"), F.lit(";"), m)
+    above = lambda i: F.when(i > 0, below(F.get("missing", i - 1)["name"])).when(F.col("upto") != "", F.col("upto")).otherwise("root")
+    made = F.transform("missing", lambda m, i: node(below(m["name"]), above(i), m["rank"], m["name"], m["rank"] != "s", m["rank"] == "s"))
+    return e.select("accession", F.concat(own, made).alias("nodes"))
+
+
+def filled_tree(lineages: DataFrame) -> DataFrame:
+    """Distinct nodes of filled_lineages, and the root. Where a named token has the path of a synthetic node, the named one stands."""
+    n = lineages.select(F.explode("nodes").alias("n")).select("n.*")
+    kept = F.min(F.struct("synthetic", "per_accession", "parent_path", "rank", "name"))
+    nodes = n.groupBy("path").agg(kept.alias("k")).select("path", "k.parent_path", "k.rank", "k.name", "k.synthetic", "k.per_accession")
+    root = lineages.sparkSession.range(1).select(*[F.lit(x).alias(c) for c, x in (("path", "root"), ("parent_path", "root"), ("rank", "no rank"), ("name", "root"), ("synthetic", False), ("per_accession", False))])
+    return nodes.unionByName(root)
+
+
 def closure(edges: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     """(node, parent) -> (node, ancestor, steps), the node itself at 0 steps; by a recursive common table expression."""
     spark = edges.sparkSession

@@ -74,6 +74,28 @@ def tax_normalize_10rank(spark, d):
     return odd_lineages(spark, d).select("genome_id", fx.ten_ranks(F.col("tax"), F.col("acc")).alias("taxonomy"))
 
 
+FILLED = (
+    "WITH " + ODD + ", e AS (SELECT acc, list_filter(string_split(tax, ';'), lambda x: regexp_matches(x, '^[dlkpcofgs]__')) AS tk FROM odd), w AS (SELECT bool_or(len(list_filter(tk, lambda x: x[1] IN ('l', 'k'))) > 0) AS whole FROM e), "
+    "n AS (SELECT acc, whole, list_filter(tk, lambda x: length(x) > 3) AS nm FROM e, w), a AS (SELECT acc, whole, nm, array_to_string(nm, ';') AS upto, coalesce(nm[-1][4:], '') AS anchor, coalesce(strpos('dlkpcofgs', nm[-1][1]), 1) AS deep FROM n), "
+    "own AS (SELECT acc, i - 100 AS o, array_to_string(nm[1:i], ';') AS path, CASE WHEN i > 1 THEN array_to_string(nm[1:i-1], ';') ELSE 'root' END AS parent_path, nm[i][1] AS rank, nm[i][4:] AS name, false AS synthetic, false AS per_accession FROM (SELECT acc, nm, unnest(range(1, len(nm) + 1)) AS i FROM a)), "
+    "b AS (SELECT acc, upto, p, 'dlkpcofgs'[p] AS rank, CASE WHEN p = 9 THEN 's__[' || anchor || ' sp. ' || acc || ']' ELSE 'dlkpcofgs'[p] || '__[unclassified ' || anchor || ']' END AS name FROM (SELECT *, unnest(range(1, 10)) AS p FROM a) WHERE p > deep AND (whole OR p NOT IN (2, 3))), "
+    "made AS (SELECT acc, p AS o, upto || ';' || name AS path, coalesce(upto || ';' || lag(name) OVER (PARTITION BY acc ORDER BY p), CASE WHEN upto = '' THEN 'root' ELSE upto END) AS parent_path, rank, name, p <> 9 AS synthetic, p = 9 AS per_accession FROM b), al AS (SELECT * FROM own UNION ALL SELECT * FROM made)"
+)
+
+
+@query(FILLED + " SELECT DISTINCT path, parent_path, rank, name, synthetic, per_accession FROM al UNION ALL SELECT 'root', 'root', 'no rank', 'root', false, false")
+def tax_tree_filled(spark, d):
+    """Nodes of the tree with synthetic ranks down to the species."""
+    return ops.filled_tree(ops.filled_lineages(odd_lineages(spark, d).select(F.col("acc").alias("accession"), F.col("tax").alias("lineage"))))
+
+
+@query(FILLED + " SELECT acc AS accession, arg_max(path, o) AS path FROM al GROUP BY acc")
+def tax_accession_leaves(spark, d):
+    """The node that each accession hangs on."""
+    filled = ops.filled_lineages(odd_lineages(spark, d).select(F.col("acc").alias("accession"), F.col("tax").alias("lineage")))
+    return filled.select("accession", F.element_at("nodes", -1)["path"].alias("path"))
+
+
 @query(W + PATHS + " SELECT * FROM n")
 def tax_tree_nodes(spark, d):
     return ops.tree_nodes(v.genomes(spark, d))

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake.operators import groups, models
+from strandlake.functions.kernels import fnv1a_32
+from strandlake.operators import groups, models, taxonomy
 from strandlake.queries import ORACLES, QUERIES
 
 from .oracle import same
@@ -97,3 +98,24 @@ def test_calibrate_equals_one_pass(spark):
     _, report = groups.calibrate(df, "x", "y", ["f"])
     assert report["weights"] == pytest.approx(w.tolist())
     assert report["rmse"] == pytest.approx(np.sqrt(np.mean((np.clip(base + a @ w, 0, 1) - y) ** 2)))
+
+
+def test_synthetic_ranks(spark):
+    rows = [("a1", "d__B;g__X;s__X y"), ("a2", "d__B;g__X"), ("a3", "d__B;g__X;s__"), ("a4", None), ("a5", "x__;junk;g__G;d__B"), ("é6", "d__B;g__X")]
+    entries = spark.createDataFrame(rows, "accession string, lineage string")
+    groups = spark.createDataFrame([("a3", "a3"), ("é6", "é6")], "accession string, representative string")
+    filled = taxonomy.filled_lineages(entries, groups)
+    leaf = {r.accession: r.nodes[-1].path for r in filled.collect()}
+    assert leaf["a1"] == "d__B;g__X;s__X y" and leaf["a2"] == "d__B;g__X;s__[X sp. a2]" and leaf["a4"] == ";s__[ sp. a4]"
+    assert leaf["a3"] == f"d__B;g__X;s__[X sp. group{fnv1a_32(b'a3'):08x}]" and leaf["é6"].endswith(f"group{fnv1a_32('é6'.encode()):08x}]")
+    nodes = {r.path: r for r in taxonomy.filled_tree(filled).collect()}
+    odd = nodes["g__G;d__B;p__[unclassified B]"]
+    assert odd.parent_path == "g__G;d__B" and odd.synthetic and "g__G;d__B;k__[unclassified B]" not in nodes
+    assert nodes[";p__[unclassified ]"].parent_path == "root" and nodes["root"].parent_path == "root"
+    assert nodes["d__B;g__X;s__[X sp. a2]"].per_accession and not nodes["d__B;g__X"].synthetic
+    whole = taxonomy.filled_tree(taxonomy.filled_lineages(entries.union(spark.createDataFrame([("a7", "d__B;k__")], entries.schema))))
+    chain = {r.path: r.parent_path for r in whole.collect()}
+    assert chain["d__B;k__[unclassified B]"] == "d__B;l__[unclassified B]" and chain["d__B;l__[unclassified B]"] == "d__B"
+    clash = spark.createDataFrame([("b1", "d__B"), ("b2", "d__B;p__[unclassified B]")], entries.schema)
+    assert taxonomy.filled_tree(taxonomy.filled_lineages(clash)).groupBy("path").count().where("count > 1").count() == 0
+    assert taxonomy.filled_tree(taxonomy.filled_lineages(entries.limit(0))).count() == 1
