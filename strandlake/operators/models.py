@@ -50,6 +50,32 @@ def duplication_ceiling(copies: DataFrame, core: DataFrame, key: str, times: flo
     return group_statistics(dup, key, "core_dup").select(key, F.col("upper_median").alias("median"), "mad", ceiling.alias("ceiling"))
 
 
+def marker_redundancy(members: DataFrame, pool: DataFrame, marker: str) -> DataFrame:
+    """genome_id, redundancy: the mean, over the markers of which a genome has hashes, of the share of the marker's pool that it has.
+    members (genome_id, hash) and pool (marker, hash) are sets; a hash of several markers counts for none of them. Genomes without
+    a hit have no row."""
+    own = pool.where(F.col("hash").isNotNull()).groupBy("hash").agg(F.min(marker).alias(marker), F.max(marker).alias("_hi")).where(F.col(marker) == F.col("_hi")).drop("_hi")
+    size = own.groupBy(marker).agg(F.count(F.lit(1)).alias("n_pool"))
+    hits = members.select("genome_id", "hash").join(own, "hash").groupBy("genome_id", marker).agg(F.count(F.lit(1)).alias("hits"))
+    return hits.join(size, marker).groupBy("genome_id").agg(F.avg(F.col("hits") / F.col("n_pool")).alias("redundancy"))
+
+
+def redundancy_calibration(values: DataFrame, genus: str, family: str, value: str, least: int = 10) -> DataFrame:
+    """(genus, family, value) -> genus, n, borrowed, median, mad: the upper median and median absolute deviation of a genus' values, or
+    those of its family where it has fewer than `least` and the family is known (the least family of a genus counts).
+
+    The deviation is at least a hundredth of the median and 0.0001; n stops at 32767 (the width of its field). Rows without genus or
+    value are left out.
+    """
+    x = values.where(F.col(genus).isNotNull() & F.col(value).isNotNull()).select(F.col(genus).alias("_g"), F.col(family).alias("_f"), F.col(value).alias("_x"))
+    home = x.groupBy("_g").agg(F.min("_f").alias("_f"))
+    own = group_statistics(x, "_g", "_x").select("_g", "n", F.col("upper_median").alias("m"), "mad")
+    all_of = group_statistics(x.select("_g", "_x").join(home.where("_f is not null"), "_g"), "_f", "_x").select("_f", F.col("upper_median").alias("fm"), F.col("mad").alias("fmad"))
+    j = own.join(home, "_g").join(all_of, "_f", "left").withColumn("borrowed", (F.col("n") < least) & F.col("fm").isNotNull())
+    median, mad = F.when(F.col("borrowed"), F.col("fm")).otherwise(F.col("m")), F.when(F.col("borrowed"), F.col("fmad")).otherwise(F.col("mad"))
+    return j.select(F.col("_g").alias(genus), F.least("n", F.lit(32767)).alias("n"), "borrowed", median.alias("median"), F.greatest(mad, 0.01 * median, F.lit(1e-4)).alias("mad"))
+
+
 def multiplicity(members: DataFrame, *keys: str, cap: int = 255) -> DataFrame:
     """hash -> in how many entries it occurs, an entry being a value of one of the keys (a genus, a family)."""
     entries = None

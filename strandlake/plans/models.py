@@ -182,19 +182,40 @@ def sketch_jaccard(spark, d):
     return j.select("a", "b", "shared", F.round(c("shared") / (c("na") + c("nb") - c("shared")), 6).alias("jaccard"), F.round(100 * F.pow(c("shared") / c("na"), F.lit(1.0 / K)), 4).alias("ani"))
 
 
-@query(W + ", mk AS (SELECT item_id, text FROM benchmark), mp AS (SELECT DISTINCT item_id, substr(s, i, 12) AS hash FROM (SELECT item_id, s, unnest(range(1, length(s) - 10)) AS i FROM (SELECT item_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS s FROM mk) WHERE length(s) >= 12)), uq AS (SELECT hash, min(item_id) AS item_id FROM mp GROUP BY hash HAVING count(DISTINCT item_id) = 1), gm AS (SELECT DISTINCT genome_id, substr(seq, i, 12) AS hash FROM (SELECT genome_id, seq, unnest(range(1, length(seq) - 10)) AS i FROM g WHERE length(seq) >= 12)), h AS (SELECT genome_id, item_id, count(*) AS hits FROM gm JOIN uq USING (hash) GROUP BY 1, 2) SELECT genome_id, count(*) FILTER (hits >= 5) AS n_present, count(*) AS n_touched FROM h GROUP BY genome_id")
-def marker_presence(spark, d):
-    """Benchmark passages as markers: hashes of one marker only; present with five hits or more."""
+MARKERS = ", mk AS (SELECT item_id, text FROM benchmark), mp AS (SELECT DISTINCT item_id, substr(s, i, 12) AS hash FROM (SELECT item_id, s, unnest(range(1, length(s) - 10)) AS i FROM (SELECT item_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS s FROM mk) WHERE length(s) >= 12)), uq AS (SELECT hash, min(item_id) AS item_id FROM mp GROUP BY hash HAVING count(DISTINCT item_id) = 1), gm AS (SELECT DISTINCT genome_id, substr(seq, i, 12) AS hash FROM (SELECT genome_id, seq, unnest(range(1, length(seq) - 10)) AS i FROM g WHERE length(seq) >= 12)), h AS (SELECT genome_id, item_id, count(*) AS hits FROM gm JOIN uq USING (hash) GROUP BY 1, 2)"
+
+
+def marker_kmers(spark, d):
+    """The 12-mers of benchmark passages (item_id, hash) and of genomes (genome_id, hash)."""
     import numpy as np
 
     kmers = lambda df: kx.longs(df, "seq", lambda s: np.unique(kx.kmers(kx.codes(s), K)), "h")
     m = kmers(v.load(spark, d, "benchmark").select("item_id", v.acgt(F.col("text")).alias("seq"))).select("item_id", F.explode("h").alias("hash"))
-    pool = ops.diagnostic(m, "item_id")
-    g = kmers(v.genomes(spark, d).select("genome_id", "seq")).select("genome_id", F.explode("h").alias("hash"))
-    hits = g.join(pool, "hash").groupBy("genome_id", "item_id").agg(F.count(F.lit(1)).alias("hits"))
+    return m, kmers(v.genomes(spark, d).select("genome_id", "seq")).select("genome_id", F.explode("h").alias("hash"))
+
+
+@query(W + MARKERS + " SELECT genome_id, count(*) FILTER (hits >= 5) AS n_present, count(*) AS n_touched FROM h GROUP BY genome_id")
+def marker_presence(spark, d):
+    """Benchmark passages as markers: hashes of one marker only; present with five hits or more."""
+    m, g = marker_kmers(spark, d)
+    hits = g.join(ops.diagnostic(m, "item_id"), "hash").groupBy("genome_id", "item_id").agg(F.count(F.lit(1)).alias("hits"))
     return hits.groupBy("genome_id").agg(F.count_if(F.col("hits") >= 5).alias("n_present"), F.count(F.lit(1)).alias("n_touched"))
 
 
+REDUNDANCY = MARKERS + ", pz AS (SELECT item_id, count(*) AS n_pool FROM uq GROUP BY item_id), rv AS (SELECT genome_id, avg(hits / n_pool) AS x FROM h JOIN pz USING (item_id) GROUP BY genome_id), rg AS (SELECT genus, family, round(x, 9) AS x FROM rv JOIN g USING (genome_id))"
+MIDDLE = "list_sort(list(x)) AS v, count(*) AS n"
+SPREAD = "v[floor(n / 2)::INT + 1] AS m, list_sort(list_transform(v, lambda y: abs(y - v[floor(n / 2)::INT + 1])))[floor(n / 2)::INT + 1] AS mad"
+
+
+@query(W + REDUNDANCY + f", gs AS (SELECT genus, family, n, {SPREAD} FROM (SELECT genus, min(family) AS family, {MIDDLE} FROM rg GROUP BY genus)), fs AS (SELECT family, {SPREAD} FROM (SELECT family, {MIDDLE} FROM rg GROUP BY family)), c AS (SELECT genus, n, n < 10 AS borrowed, CASE WHEN n < 10 THEN fs.m ELSE gs.m END AS m, CASE WHEN n < 10 THEN fs.mad ELSE gs.mad END AS d FROM gs JOIN fs USING (family)) SELECT genus, least(n, 32767) AS n, borrowed, round(m, 6) AS median, round(greatest(d, 0.01 * m, 0.0001), 6) AS mad FROM c")
+def redundancy_calibration(spark, d):
+    """How much of the markers' pools genomes of each genus have, with the family's figures for genera of fewer than ten."""
+    m, g = marker_kmers(spark, d)
+    values = ops.marker_redundancy(g, m, "item_id").select("genome_id", F.round("redundancy", 9).alias("x"))
+    named = values.join(v.genomes(spark, d).select("genome_id", "genus", "family"), "genome_id")
+    return ops.redundancy_calibration(named, "genus", "family", "x").select("genus", "n", "borrowed", F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"))
+
+
 ORDERED = "list_sort(list(genome_length)) AS v, count(*) AS n"
 
 

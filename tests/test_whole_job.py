@@ -119,3 +119,23 @@ def test_synthetic_ranks(spark):
     clash = spark.createDataFrame([("b1", "d__B"), ("b2", "d__B;p__[unclassified B]")], entries.schema)
     assert taxonomy.filled_tree(taxonomy.filled_lineages(clash)).groupBy("path").count().where("count > 1").count() == 0
     assert taxonomy.filled_tree(taxonomy.filled_lineages(entries.limit(0))).count() == 1
+
+
+def test_redundancy_calibration(spark):
+    pool = spark.createDataFrame([("m1", 1), ("m1", 2), ("m1", 9), ("m2", 3), ("m2", 9)], "marker string, hash long")
+    members = spark.createDataFrame([(1, 1), (1, 3), (1, 9), (2, 1), (2, 2), (3, 9)], "genome_id long, hash long")
+    assert {r.genome_id: r.redundancy for r in models.marker_redundancy(members, pool, "marker").collect()} == {1: 0.75, 2: 1.0}
+
+    rng = random.Random(8)
+    rows = [("big", "f", rng.random()) for _ in range(25)] + [("few", "f", rng.random()) for _ in range(4)] + [("lone", None, 0.5), ("flat", "h", 0.0), ("few", "f", None), (None, "f", 0.9)]
+    got = {r.genus: r for r in models.redundancy_calibration(spark.createDataFrame(rows, "genus string, family string, x double"), "genus", "family", "x").collect()}
+
+    def spread(names):
+        v = sorted(x for g, _, x in rows if g in names and x is not None)
+        m = v[len(v) // 2]
+        return m, max(sorted(abs(x - m) for x in v)[len(v) // 2], 0.01 * m, 1e-4)
+
+    assert set(got) == {"big", "few", "lone", "flat"}
+    for genus, names, n, borrowed in (("big", {"big"}, 25, False), ("few", {"big", "few"}, 4, True), ("lone", {"lone"}, 1, False), ("flat", {"flat"}, 1, True)):
+        r = got[genus]
+        assert (r.n, r.borrowed) == (n, borrowed) and (r.median, r.mad) == pytest.approx(spread(names))
