@@ -210,6 +210,94 @@ def covariance_model(profiles: DataFrame, key: str, vector: str, top: int = 15,
     return out.where(F.col("n") >= least).withColumnRenamed("k", key)
 
 
+def _weighted_sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(k, w, x) -> for each k: rows, weights, weighted sums and outer products of this partition."""
+    state: dict = {}
+    for p in parts:
+        for k, g in p.groupby("k", sort=False):
+            x, w = np.stack(g["x"].to_numpy()).astype(float), g["w"].to_numpy(float)
+            rows, weight, s, o = state.get(k, (0, 0.0, 0.0, 0.0))
+            state[k] = (rows + len(x), weight + w.sum(), s + w @ x, o + (x * w[:, None]).T @ x)
+    yield pd.DataFrame([(k, n, w, s.tolist(), o.ravel().tolist()) for k, (n, w, s, o) in state.items()], columns=["k", "n", "w", "s", "o"])
+
+
+def _shrunk(g: pd.DataFrame) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Rows, independent units (the sum of weights), weighted mean, and covariance shrunk by the number of units."""
+    units = round(float(g["w"].sum()))
+    mean = np.sum(np.stack(g["s"].to_numpy()), axis=0) / units
+    d = len(mean)
+    cov = np.sum(np.stack(g["o"].to_numpy()), axis=0).reshape(d, d) / units - np.outer(mean, mean)
+    alpha = min(1.0, (d + 2) / ((units - 1) * (d + 2) + 2))
+    return int(g["n"].sum()), units, mean, (1 - alpha) * cov + alpha * np.trace(cov) / d * np.eye(d)
+
+
+#: Contigs that meet a copy of their taxon's model at once, about.
+MODEL_CHUNK = 4096
+
+
+def balanced_model(contigs: DataFrame, key: str, genome: str, vector: str, rho: str, bp: str, top: int = 15, least: int = 20, points: int = 128) -> DataFrame:
+    """key, n_genomes, n_contigs, valid, mean, eigenvalues, eigenvectors, residual, rho_mean, rho_precision and quantiles of the distances
+    of the key's own contigs: t2_quantiles (square root within the leading axes), spe_quantiles (squares outside), rho_quantiles.
+
+    Every genome weighs the same, however many contigs it has: a contig's profile counts one over its genome's contigs, dinucleotide
+    odds are averaged by length within a genome first, and shrinkage counts genomes. Keys of fewer than `least` genomes are not valid
+    and have nulls; contigs without key, profile or odds are left out, null lengths weigh nothing.
+
+    Covariances come from sums that add up; distances meet the model in chunks of a key's contigs, and quantiles are ranks by ranges
+    of value, so no key is held by a task.
+    """
+    from .models import quantile_table
+
+    named = contigs.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & F.col(rho).isNotNull())
+    given = named.select(F.col(key).cast("string").alias("k"), F.col(genome).alias("g"), F.col(vector).cast("array<double>").alias("x"), F.col(rho).cast("array<double>").alias("r"), F.coalesce(F.col(bp).cast("double"), F.lit(0.0)).alias("bp"))
+    odds = F.array(*[F.coalesce(F.try_divide(F.sum(F.col("r")[i] * F.col("bp")), F.sum("bp")), F.lit(0.0)) for i in range(16)])
+    per_genome = given.groupBy("k", "g").agg((1 / F.count(F.lit(1))).alias("w"), odds.alias("r"))
+    sums = "k string, n long, w double, s array<double>, o array<double>"
+    weights = per_genome.select(F.col("k").alias("wk"), F.col("g").alias("wg"), "w")
+    weighted = given.select("k", "g", "x").join(weights, (F.col("k") == F.col("wk")) & F.col("g").eqNullSafe(F.col("wg"))).select("k", "w", "x")
+
+    def solve(p: pd.DataFrame) -> pd.DataFrame:
+        k, (n, units, mean, cov) = p["k"].iloc[0], _shrunk(p)
+        if units < least:
+            return pd.DataFrame([(k, units, n, False, None, None, None, None)], columns=["k", "n_genomes", "n_contigs", "valid", "mean", "eigenvalues", "eigenvectors", "residual"])
+        w, v = np.linalg.eigh(cov)
+        w, v = w[::-1], v[:, ::-1]
+        rest = float(w[top:].mean()) if len(w) > top else 0.0
+        return pd.DataFrame([(k, units, n, True, mean.tolist(), w[:top].tolist(), v[:, :top].T.tolist(), rest)], columns=["k", "n_genomes", "n_contigs", "valid", "mean", "eigenvalues", "eigenvectors", "residual"])
+
+    def solve_rho(p: pd.DataFrame) -> pd.DataFrame:
+        _, units, mean, cov = _shrunk(p)
+        none = units < least or np.trace(cov) <= 0
+        return pd.DataFrame([(p["k"].iloc[0], None if units < least else mean.tolist(), None if none else np.linalg.inv(cov).ravel().tolist())], columns=["k", "rho_mean", "rho_precision"])
+
+    shape = "k string, n_genomes long, n_contigs long, valid boolean, mean array<double>, eigenvalues array<double>, eigenvectors array<array<double>>, residual double"
+    model = weighted.mapInPandas(_weighted_sums, sums).groupBy("k").applyInPandas(solve, shape)
+    odd = per_genome.select("k", F.lit(1.0).alias("w"), F.col("r").alias("x")).mapInPandas(_weighted_sums, sums).groupBy("k").applyInPandas(solve_rho, "k string, rho_mean array<double>, rho_precision array<double>")
+    model = model.join(odd, "k")
+
+    def far(of, rows: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        names = ["k", "t2", "spe", "rho"]
+        if rows.empty or m.empty:
+            return pd.DataFrame(columns=names)
+        m = m.iloc[0]
+        off, w, v = np.stack(rows["x"].to_numpy()) - np.asarray(m["mean"]), np.asarray(m["eigenvalues"]), np.stack(m["eigenvectors"])
+        y = off @ v.T
+        used = w >= 1e-9
+        t2, spe = np.sqrt((y[:, used] ** 2 / w[used]).sum(axis=1)), np.maximum((off**2).sum(axis=1) - (y**2).sum(axis=1), 0)
+        z = np.stack(rows["r"].to_numpy()) - np.asarray(m["rho_mean"])
+        by = None if m["rho_precision"] is None else np.sqrt(np.maximum(((z @ np.asarray(m["rho_precision"]).reshape(16, 16)) * z).sum(axis=1), 0))
+        return pd.DataFrame({"k": rows["k"].to_numpy(), "t2": t2, "spe": spe, "rho": pd.array([None] * len(rows) if by is None else by, "Float64")}, columns=names)
+
+    chunks = F.ceil(F.col("n_contigs") / MODEL_CHUNK).cast("int")
+    valid = model.where("valid")
+    spread = given.join(valid.select("k", chunks.alias("chunks")), "k").select("k", F.pmod(F.xxhash64("g", "x"), F.col("chunks")).cast("int").alias("c"), "x", "r")
+    copies = valid.select("k", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("c"), "mean", "eigenvalues", "eigenvectors", "rho_mean", "rho_precision")
+    dist = spread.groupBy("k", "c").cogroup(copies.groupBy("k", "c")).applyInPandas(far, "k string, t2 double, spe double, rho double")
+    for name in ("t2", "spe", "rho"):
+        model = model.join(quantile_table(dist, "k", name, points).withColumnRenamed("quantiles", f"{name}_quantiles"), "k", "left")
+    return model.withColumnRenamed("k", key)
+
+
 def distances(profiles: DataFrame, models: DataFrame, key: str, vector: str) -> DataFrame:
     """t2 (within the leading eigenvectors) and spe (outside them) of each profile against its taxon's model."""
 

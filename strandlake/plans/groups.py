@@ -38,6 +38,16 @@ def cov_model(spark, d):
     return ops.covariance_model(g, "genus", "tnf").select("genus", "n", F.slice("eigenvalues", 1, 3).alias("leading"), "residual")
 
 
+@query()
+def balanced_cov_model(spark, d, least: int = 20):
+    """Covariance of each genus in which genomes weigh the same, with the quantiles of its own contigs' distances."""
+    c = v.contigs(spark, d).where(F.length("seq") >= 20).withColumn("bp", F.length("seq").cast("long")).withColumn("_s", F.col("seq"))
+    c = kx.doubles(kx.doubles(c, "_s", kx.tnf, "tnf"), "seq", kx.rho, "rho").join(v.genomes(spark, d).select("genome_id", "genus"), "genome_id")
+    m = ops.balanced_model(c, "genus", "genome_id", "tnf", "rho", "bp", least=least)
+    middle = [F.round(F.element_at(f"{x}_quantiles", 64), 6).alias(f"{x}_middle") for x in ("t2", "spe", "rho")]
+    return m.select("genus", "n_genomes", "n_contigs", "valid", F.transform(F.slice("eigenvalues", 1, 3), lambda x: F.round(x, 9)).alias("leading"), *middle)
+
+
 @query()
 def tnf_excess(spark, d):
     """Excess distance of every genome's profile from its genus, as the check has it and as building has it."""

@@ -139,3 +139,39 @@ def test_redundancy_calibration(spark):
     for genus, names, n, borrowed in (("big", {"big"}, 25, False), ("few", {"big", "few"}, 4, True), ("lone", {"lone"}, 1, False), ("flat", {"flat"}, 1, True)):
         r = got[genus]
         assert (r.n, r.borrowed) == (n, borrowed) and (r.median, r.mad) == pytest.approx(spread(names))
+
+
+def test_balanced_model(spark):
+    rng = np.random.default_rng(3)
+    rows, d, least, top = [], 6, 4, 2
+    for k, n in (("a", 7), ("few", 3)):
+        rows += [(k, g, rng.random(d).tolist(), (1 + rng.random(16) / 9).tolist(), int(rng.integers(50, 900))) for g in range(n) for _ in range(1 + 5 * g)]
+    schema = "k string, g long, x array<double>, r array<double>, bp long"
+    df = spark.createDataFrame([*rows, ("a", 1, None, [1.0] * 16, 9), (None, 1, [0.0] * d, [1.0] * 16, 9)], schema)
+    got = {r.k: r for r in groups.balanced_model(df, "k", "g", "x", "r", "bp", top=top, least=least, points=5).collect()}
+    assert set(got) == {"a", "few"} and not got["few"].valid and got["few"].mean is None and got["few"].t2_quantiles is None
+    mine = [r for r in rows if r[0] == "a"]
+    genomes = sorted({r[1] for r in mine})
+    of = {g: np.array([r[2] for r in mine if r[1] == g]) for g in genomes}
+    mean = np.mean([x.mean(axis=0) for x in of.values()], axis=0)
+    cov = np.mean([np.mean([np.outer(y - mean, y - mean) for y in x], axis=0) for x in of.values()], axis=0)
+
+    def shrunk(c, n):
+        p = len(c)
+        alpha = (p + 2) / ((n - 1) * (p + 2) + 2)
+        return (1 - alpha) * c + alpha * np.trace(c) / p * np.eye(p)
+
+    w, v = np.linalg.eigh(shrunk(cov, len(genomes)))
+    w, v = w[::-1], v[:, ::-1]
+    r = got["a"]
+    assert (r.n_genomes, r.n_contigs, r.valid) == (7, len(mine), True)
+    assert r.mean == pytest.approx(mean) and r.eigenvalues == pytest.approx(w[:top]) and r.residual == pytest.approx(w[top:].mean())
+    odds = np.array([np.average([x[3] for x in mine if x[1] == g], axis=0, weights=[x[4] for x in mine if x[1] == g]) for g in genomes])
+    precision = np.linalg.inv(shrunk(np.cov(odds.T, bias=True), len(genomes)))
+    assert r.rho_mean == pytest.approx(odds.mean(axis=0)) and r.rho_precision == pytest.approx(precision.ravel(), rel=1e-6)
+    off = np.array([x[2] for x in mine]) - mean
+    y, z = off @ v[:, :top], np.array([x[3] for x in mine]) - odds.mean(axis=0)
+    expected = {"t2": np.sqrt((y**2 / w[:top]).sum(axis=1)), "spe": (off**2).sum(axis=1) - (y**2).sum(axis=1), "rho": np.sqrt(((z @ precision) * z).sum(axis=1))}
+    for name, x in expected.items():
+        x = np.sort(x)
+        assert r[f"{name}_quantiles"] == pytest.approx([x[int(q / 4 * (len(x) - 1) + 0.5)] for q in range(5)], rel=1e-6)
