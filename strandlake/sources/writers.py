@@ -30,17 +30,25 @@ def write_fasta_files(df: DataFrame, path: str, accession: str = "accession", na
     text.repartition("accession").sortWithinPartitions("accession", "_o").select("accession", "value").write.partitionBy("accession").text(path)
 
 
+#: Names of ranks in nodes.dmp by prefix; life, kingdom and whatever else have no rank there (fixed values).
+DUMP_RANKS = {"d": "superkingdom", "p": "phylum", "c": "class", "o": "order", "f": "family", "g": "genus", "s": "species"}
+
+
 def write_taxdump(nodes: DataFrame, path: str, accessions: DataFrame | None = None, merged: DataFrame | None = None, deleted: DataFrame | None = None) -> None:
-    """nodes (taxid, parent_taxid, rank, name) as nodes.dmp and names.dmp; accessions (accession, taxid) as acc2taxid.dmp; merged (old, new)
-    and deleted (taxid) as merged.dmp and delnodes.dmp, which are empty where they are not given."""
+    """nodes (taxid, parent_taxid, rank, name) as nodes.dmp (13 fields; a parent of null or 0 is the node itself, a rank is a prefix or a name)
+    and names.dmp; accessions (accession, taxid) as acc2taxid.dmp, with a header in each part; merged (old, new) and deleted (taxid) as
+    merged.dmp and delnodes.dmp, which are empty where they are not given."""
     end, sep = F.lit("\t|"), "\t|\t"
     line = lambda df, *cols: df.select(F.concat(F.concat_ws(sep, *cols), end).alias("value"))
     none = nodes.select("taxid", F.col("taxid").alias("old"), F.col("taxid").alias("new")).where("false")
-    line(nodes, "taxid", "parent_taxid", "rank").write.text(f"{path}/nodes.dmp")
+    full = {"domain": "superkingdom"} | {n: n for n in DUMP_RANKS.values()} | DUMP_RANKS
+    rank = F.coalesce(F.create_map(*[F.lit(x) for kv in full.items() for x in kv])[F.coalesce("rank", F.lit(""))], F.lit("no rank"))
+    parent = F.when(F.coalesce("parent_taxid", F.lit(0)) == 0, F.col("taxid")).otherwise(F.col("parent_taxid"))
+    line(nodes, "taxid", parent, rank, *[F.lit(x) for x in ("", "0", "0", "1", "0", "0", "0", "0", "0", "")]).write.text(f"{path}/nodes.dmp")
     line(nodes, "taxid", "name", F.lit(""), F.lit("scientific name")).write.text(f"{path}/names.dmp")
     if accessions is not None:
-        stem = F.regexp_replace("accession", r"\.[0-9]+$", "")
-        accessions.select(F.concat_ws("\t", stem, "accession", "taxid", F.lit("0")).alias("value")).write.text(f"{path}/acc2taxid.dmp")
+        a = accessions.select("accession", F.col("accession").alias("accession.version"), "taxid", F.lit(0).alias("gi"))
+        a.write.csv(f"{path}/acc2taxid.dmp", sep="\t", header=True, quote="")
     line(none if merged is None else merged, "old", "new").write.text(f"{path}/merged.dmp")
     line(none if deleted is None else deleted, "taxid").write.text(f"{path}/delnodes.dmp")
 

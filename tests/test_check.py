@@ -283,7 +283,10 @@ def test_files_out(spark, tmp_path):
     accessions = spark.createDataFrame([("GCF_1.2", 2), ("B", 1)], "accession string, taxid long")
     writers.write_taxdump(nodes, f"{tmp_path}/dump", accessions, deleted=spark.createDataFrame([(9,)], "taxid long"))
     lines = lambda name: sorted(r.value for r in spark.read.text(f"{tmp_path}/{name}").collect())
-    assert lines("dump/acc2taxid.dmp") == ["B\tB\t1\t0", "GCF_1\tGCF_1.2\t2\t0"] and lines("dump/delnodes.dmp") == ["9\t|"] and lines("dump/merged.dmp") == []
+    header = "accession\taccession.version\ttaxid\tgi"
+    assert [x for x in lines("dump/acc2taxid.dmp") if x != header] == ["B\tB\t1\t0", "GCF_1.2\tGCF_1.2\t2\t0"] and header in lines("dump/acc2taxid.dmp")
+    assert all(x.count("\t|") == 13 for x in lines("dump/nodes.dmp"))
+    assert lines("dump/delnodes.dmp") == ["9\t|"] and lines("dump/merged.dmp") == []
     writers.write_columnar_taxonomy(nodes, accessions, f"{tmp_path}/col")
     rows = spark.read.parquet(f"{tmp_path}/col/acc2taxid").collect()
     assert {(r.accession, r.taxid, r.acc_hash) for r in rows} == {("GCF_1.2", 2, kx.fnv1a_64(b"GCF_1.2")), ("B", 1, kx.fnv1a_64(b"B"))}
