@@ -81,16 +81,26 @@ def filled_tree(lineages: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """(node, parent) -> (node, ancestor, steps), the node itself at 0 steps; by a recursive common table expression."""
-    spark = edges.sparkSession
-    return spark.sql(
-        f"""WITH RECURSIVE up(node, ancestor, steps) AS (
-          SELECT node, node, 0 FROM {{e}}
-          UNION ALL
-          SELECT up.node, e.parent, up.steps + 1 FROM up JOIN {{e}} e ON up.ancestor = e.node WHERE e.parent IS NOT NULL AND up.steps < {depth})
-        SELECT * FROM up""",
-        e=edges.select("node", "parent"),
-    )
+    """(node, parent) -> (node, ancestor, steps), the node itself at 0 steps; a row for each path, of at most `depth` steps.
+
+    Nodes that are parents climb first, a join a step until none gets further; each such step is kept by Spark. All nodes join these
+    climbs once, on their parents. (A recursive common table expression would stop at spark.sql.cteRecursionRowLimit rows.)
+    """
+    c = F.col
+    up = edges.where("parent IS NOT NULL").select(c("node").alias("_n"), c("parent").alias("_p"))
+    every = edges.select("node", c("node").alias("ancestor"), F.lit(0).alias("steps"))
+    climb = up.select(c("_p").alias("via")).distinct().select("via", c("via").alias("ancestor"), F.lit(1).alias("steps")).persist()
+    inner = up.join(climb.select(c("via").alias("_n")), "_n", "left_semi").persist()
+    climbs = None
+    for step in range(1, depth + 1):
+        if climb.isEmpty():
+            break
+        climbs = climb if climbs is None else climbs.unionByName(climb)
+        climb = climb.join(inner, c("ancestor") == c("_n")).select("via", c("_p").alias("ancestor"), F.lit(step + 1).alias("steps")).persist()
+    if climbs is None:
+        return every
+    first = edges.select("node").join(up, c("node") == c("_n")).select("node", c("_p").alias("via"))  # rows of one node each climb by all of them
+    return every.unionByName(first.join(climbs, "via").select("node", "ancestor", "steps"))
 
 
 def lowest_common(closed: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -175,3 +175,21 @@ def test_balanced_model(spark):
     for name, x in expected.items():
         x = np.sort(x)
         assert r[f"{name}_quantiles"] == pytest.approx([x[int(q / 4 * (len(x) - 1) + 0.5)] for q in range(5)], rel=1e-6)
+
+
+def test_closure_has_no_row_limit(spark):
+    rng = random.Random(3)
+    rows = [("r", None), ("lost", "nowhere"), ("twice", "r"), ("twice", "r"), ("two", "r"), ("two", "lost"), ("under", "two"), ("under2", "twice"), ("a", "b"), ("b", "a")]
+    rows += [(f"n{i}", f"n{rng.randrange(i)}" if i else "r") for i in range(60)]
+    level, want, depth = [(n, n, 0) for n, _ in rows], [], 9
+    for step in range(depth + 1):
+        want += level
+        level = [(n, p, step + 1) for n, a, _ in level for m, p in rows if a == m and p is not None]
+    limit = "spark.sql.cteRecursionRowLimit"
+    spark.conf.set(limit, 50)  # as 1 000 000 for a tree of some hundred thousand nodes
+    try:
+        got = taxonomy.closure(spark.createDataFrame(rows, "node string, parent string"), depth)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+        assert sorted(tuple(r) for r in taxonomy.closure(spark.createDataFrame([("r", None)], "node string, parent string")).collect()) == [("r", "r", 0)]
+    finally:
+        spark.conf.unset(limit)
