@@ -193,3 +193,18 @@ def test_closure_has_no_row_limit(spark):
         assert sorted(tuple(r) for r in taxonomy.closure(spark.createDataFrame([("r", None)], "node string, parent string")).collect()) == [("r", "r", 0)]
     finally:
         spark.conf.unset(limit)
+
+
+def test_common_ancestors_have_no_row_limit(spark, tmp_path):
+    at = lambda df, name: df.write.parquet(f"{tmp_path}/{name}.parquet")
+    at(spark.range(5).selectExpr("cast(id as int) r_regionkey"), "region")
+    at(spark.range(25).selectExpr("cast(id as int) n_nationkey", "cast(id % 5 as int) n_regionkey"), "nation")
+    at(spark.range(300).selectExpr("id c_custkey", "cast(id * 7 % 25 as int) c_nationkey"), "customer")
+    at(spark.range(900).selectExpr("id o_orderkey", "id % 300 o_custkey"), "orders")
+    limit = "spark.sql.cteRecursionRowLimit"
+    spark.conf.set(limit, 500)
+    try:
+        for name in ("tax_ancestor", "tax_lca"):
+            same(spark, str(tmp_path), QUERIES[name], ORACLES[name])
+    finally:
+        spark.conf.unset(limit)
