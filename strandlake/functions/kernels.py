@@ -323,6 +323,38 @@ def longs(df: DataFrame, column: str, kernel: Callable[[bytes], np.ndarray], nam
     return with_kernel(df, column, lambda s: as_long(kernel(s)), name, "array<bigint>", pa.list_(pa.int64()))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct integers, in order; by sorting, which is many times faster than the hash table of np.unique on millions."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
+def distinct_kmers(texts: pa.Array, k: int, letters: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Distinct canonical k-mers (k up to 12) of runs of rows, of at most `letters` letters or one row: first row, rows, and for each
+    k-mer its row in the run and its code, in order of both. Nulls have none."""
+    texts = texts.fill_null("").cast(pa.large_binary())
+    if not len(texts):
+        return
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + letters, side="right")) - 1)
+        c = _CODE[raw[offsets[first] : offsets[last]]].astype(np.uint32)
+        row = np.repeat(np.arange(last - first), np.diff(offsets[first : last + 1])).astype(U)
+        n = max(0, len(c) - k + 1)
+        forward, reverse, good = np.zeros(n, np.uint32), np.zeros(n, np.uint32), row[:n] == row[len(row) - n :]
+        for i in range(k):
+            part = c[i : i + n]
+            good &= part < 4
+            forward = (forward << np.uint32(2)) | (part & np.uint32(3))
+            reverse |= (np.uint32(3) - (part & np.uint32(3))) << np.uint32(2 * i)
+        key = distinct((row[:n][good] << U(2 * k)) | np.minimum(forward, reverse)[good])
+        yield first, last - first, (key >> U(2 * k)).astype(np.int64), (key & U((1 << 2 * k) - 1)).astype(np.int64)
+        first = last
+
+
 def doubles(df: DataFrame, column: str, kernel: Callable[[bytes], np.ndarray | None], name: str) -> DataFrame:
     return with_kernel(df, column, lambda s: None if (v := kernel(s)) is None else v.tolist(), name, "array<double>", pa.list_(pa.float64()))
 

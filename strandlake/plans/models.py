@@ -162,12 +162,8 @@ def clade_votes(spark, d):
 @query(W + MERS + ", sz AS (SELECT genome_id, count(*) AS n FROM km GROUP BY genome_id), rf AS (SELECT DISTINCT genus AS ref, hash FROM km), hs AS (SELECT genome_id, ref, count(*) AS shared FROM km JOIN rf USING (hash) WHERE ref <> genus GROUP BY genome_id, ref) SELECT genome_id, arg_min(ref, (-shared, ref)) AS best, max(shared) AS shared, round(max(shared) / any_value(n), 6) AS containment FROM hs JOIN sz USING (genome_id) GROUP BY genome_id")
 def containment_argmax(spark, d):
     """The foreign genus that contains most of a genome's k-mers."""
-    m = kmer_sets(spark, d)
-    refs = m.select(F.col("genus").alias("ref"), "hash").distinct()
-    size = m.groupBy("genome_id").agg(F.count(F.lit(1)).alias("n"))
-    hits = m.join(refs, "hash").where("ref <> genus").groupBy("genome_id", "ref").agg(F.count(F.lit(1)).alias("shared"))
-    best = hits.groupBy("genome_id").agg(F.min_by("ref", F.struct(-F.col("shared"), F.col("ref"))).alias("best"), F.max("shared").alias("shared"))
-    return best.join(size, "genome_id").select("genome_id", "best", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("containment"))
+    best = ops.foreign_containment(v.genomes(spark, d).select("genome_id", "genus", "seq"), "genus", K)
+    return best.select("genome_id", "best", "shared", F.round(F.col("shared") / F.col("n"), 6).alias("containment"))
 
 
 @query(W + MERS + ", pr AS (SELECT a.genome_id AS a, b.genome_id AS b FROM g a JOIN g b ON a.genus = b.genus AND a.genome_id < b.genome_id), sz AS (SELECT genome_id, count(*) AS n FROM km GROUP BY genome_id), sh AS (SELECT x.genome_id AS a, y.genome_id AS b, count(*) AS sh_n FROM km x JOIN km y ON x.hash = y.hash AND x.genus = y.genus AND x.genome_id < y.genome_id GROUP BY 1, 2) SELECT a, b, sh_n AS shared, round(sh_n / (p.n + q.n - sh_n), 6) AS jaccard, round(100 * (sh_n / p.n) ** (1.0 / 12), 4) AS ani FROM sh JOIN sz p ON p.genome_id = a JOIN sz q ON q.genome_id = b")

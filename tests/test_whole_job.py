@@ -208,3 +208,28 @@ def test_common_ancestors_have_no_row_limit(spark, tmp_path):
             same(spark, str(tmp_path), QUERIES[name], ORACLES[name])
     finally:
         spark.conf.unset(limit)
+
+
+def test_foreign_containment_of_many_keys(spark):
+    rng = random.Random(12)
+    piece = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    pool = [piece(40) for _ in range(30)]
+    rows = [(i, f"g{i % 150:03}", "".join(rng.choices(pool, k=3))) for i in range(320)]
+    rows += [(1000, "long", "".join(pool) * 2 + "A" * 3000), (1001, "gone", "A" * 3000), (1002, None, pool[0]), (1003, "none", None), (1004, "short", "ACGT"), (1005, "alone", piece(30)), (1006, "ünder", piece(3000)), (1007, "zz", rows[0][2])]
+    rows += [(1009, "copy", "".join(pool[5:9]))]
+    mers = {}
+    for i, _, s in rows:
+        forward = {(s or "")[j : j + 5] for j in range(len(s or "") - 4)}
+        mers[i] = {min(m, m.translate(str.maketrans("ACGT", "TGCA"))[::-1]) for m in forward}
+    for k in (5, 12):
+        if k == 12:
+            mers = {i: {min(m, m.translate(str.maketrans("ACGT", "TGCA"))[::-1]) for m in {(s or "")[j : j + 12] for j in range(len(s or "") - 11)}} for i, _, s in rows}
+        of, want = {}, []
+        for i, g, _ in rows:
+            if g is not None:
+                of.setdefault(g, set()).update(mers[i])
+        for i, g, _ in rows:
+            if g is not None and (hits := [(-len(mers[i] & of[r]), r) for r in of if r != g and mers[i] & of[r]]):
+                want.append((i, min(hits)[1], -min(hits)[0], len(mers[i])))
+        got = models.foreign_containment(spark.createDataFrame(rows, "genome_id long, genus string, seq string").repartition(3), "genus", k)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
