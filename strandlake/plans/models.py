@@ -168,13 +168,8 @@ def containment_argmax(spark, d):
 
 @query(W + MERS + ", pr AS (SELECT a.genome_id AS a, b.genome_id AS b FROM g a JOIN g b ON a.genus = b.genus AND a.genome_id < b.genome_id), sz AS (SELECT genome_id, count(*) AS n FROM km GROUP BY genome_id), sh AS (SELECT x.genome_id AS a, y.genome_id AS b, count(*) AS sh_n FROM km x JOIN km y ON x.hash = y.hash AND x.genus = y.genus AND x.genome_id < y.genome_id GROUP BY 1, 2) SELECT a, b, sh_n AS shared, round(sh_n / (p.n + q.n - sh_n), 6) AS jaccard, round(100 * (sh_n / p.n) ** (1.0 / 12), 4) AS ani FROM sh JOIN sz p ON p.genome_id = a JOIN sz q ON q.genome_id = b")
 def sketch_jaccard(spark, d):
-    """Jaccard and ANI of genomes of one genus that share k-mers: an equi-join on (genus, hash), no pairs without a shared one."""
-    m = kmer_sets(spark, d).select("genome_id", "genus", "hash")
-    n = m.groupBy("genome_id").agg(F.count(F.lit(1)).alias("n"))
-    x, y = m.alias("x"), m.alias("y")
-    c = F.col
-    both = x.join(y, (c("x.hash") == c("y.hash")) & (c("x.genus") == c("y.genus")) & (c("x.genome_id") < c("y.genome_id"))).groupBy(c("x.genome_id").alias("a"), c("y.genome_id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    j = both.join(n.select(c("genome_id").alias("a"), c("n").alias("na")), "a").join(n.select(c("genome_id").alias("b"), c("n").alias("nb")), "b")
+    """Jaccard and ANI of genomes of one genus that share k-mers: blocks of a genus meet in tiles, no pairs without a shared one."""
+    j, c = ops.shared_kmers(v.genomes(spark, d).select("genome_id", "genus", "seq"), "genus", K), F.col
     return j.select("a", "b", "shared", F.round(c("shared") / (c("na") + c("nb") - c("shared")), 6).alias("jaccard"), F.round(100 * F.pow(c("shared") / c("na"), F.lit(1.0 / K)), 4).alias("ani"))
 
 

@@ -233,3 +233,27 @@ def test_foreign_containment_of_many_keys(spark):
                 want.append((i, min(hits)[1], -min(hits)[0], len(mers[i])))
         got = models.foreign_containment(spark.createDataFrame(rows, "genome_id long, genus string, seq string").repartition(3), "genus", k)
         assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_shared_counts_of_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    draw = lambda n, most: [np.unique(rng.integers(0, most, rng.integers(0, 60))).astype(np.uint32) for _ in range(n)]
+    for most in (30, 4000):  # codes that many share, and few
+        x, y = draw(150, most), draw(90, most)
+        monkeypatch.setattr(models, "AT_ONCE", 1000)
+        got = models.shared_counts(np.array([len(s) for s in x]), np.concatenate(x), np.array([len(s) for s in y]), np.concatenate(y))
+        assert got.tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in y] for a in x]
+
+
+def test_shared_kmers_across_blocks(spark):
+    rng = random.Random(9)
+    pool = ["".join(rng.choice("ACGT") for _ in range(9)) for _ in range(40)]
+    rows = [(i * 7 % 1201, "g" if i % 9 else "h", "".join(rng.choices(pool, k=2))) for i in range(1201)]
+    rows += [(2000, None, pool[0]), (2001, "g", None), (2002, "h", "AC")]
+    mers = {i: {min(m, m.translate(str.maketrans("ACGT", "TGCA"))[::-1]) for m in {(s or "")[j : j + 8] for j in range(len(s or "") - 7)}} for i, _, s in rows}
+    of = {}
+    for i, g, _ in rows:
+        of.setdefault(g, []).append(i)
+    want = {(a, b, n, len(mers[a]), len(mers[b])) for g in "gh" for a in of[g] for b in of[g] if a < b and (n := len(mers[a] & mers[b]))}
+    got = [tuple(r) for r in models.shared_kmers(spark.createDataFrame(rows, "genome_id long, genus string, seq string").repartition(3), "genus", 8).collect()]
+    assert len(got) == len(want) and set(got) == want
