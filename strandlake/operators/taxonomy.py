@@ -104,11 +104,18 @@ def closure(edges: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
 
 
 def lowest_common(closed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b) -> (a, b, lca): the shared ancestor nearest to a."""
-    x, y = closed.alias("x"), closed.alias("y")
+    """(a, b) -> (a, b, lca): the shared ancestor nearest to a.
+
+    The distinct b and their ancestors are kept by Spark first, so that their sizes are known: where they are few they go to the climbs
+    of the a, which then are not shuffled by ancestor (few ancestors would mean few tasks); where they are many, both sides are shuffled.
+    """
     c = F.col
-    up = pairs.join(x, c("a") == c("x.node")).select("a", "b", c("ancestor").alias("u"), c("steps").alias("s"))
-    both = up.join(y, (c("b") == c("y.node")) & (c("u") == c("y.ancestor")))
+    ends = pairs.select(c("b").alias("node")).distinct().persist()
+    ends.count()
+    above = closed.join(ends, "node", "left_semi").select(c("node").alias("_b"), c("ancestor").alias("_u")).distinct().persist()
+    above.count()
+    up = pairs.join(closed, c("a") == c("node")).select("a", "b", c("ancestor").alias("u"), c("steps").alias("s"))
+    both = up.join(above, (c("b") == c("_b")) & (c("u") == c("_u")))
     return both.groupBy("a", "b").agg(F.min_by("u", "s").alias("lca"))
 
 

@@ -1,6 +1,7 @@
 """Operators over all of their rows: no cut that is not the operator's own."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -210,6 +211,32 @@ def test_common_ancestors_have_no_row_limit(spark, tmp_path):
         spark.conf.unset(limit)
 
 
+def test_climbs_to_few_ancestors_are_not_shuffled_by_them(spark):
+    rng = random.Random(8)
+    rows = [("r", None), ("q", None), ("twice", "r"), ("twice", "r"), ("lost", "nowhere")] + [(f"n{i}", f"n{rng.randrange(i)}" if i else "r") for i in range(80)] + [("under", "q")]
+    parent = dict(rows)
+    names = [*parent, "unknown"]
+    pairs = [(a, rng.choice(names)) for a in names for _ in range(4)] + [("n5", "n5"), ("n7", "n7"), ("n7", "n7")]
+
+    def climb(x):
+        while x is not None and x in [*parent, "nowhere"]:
+            yield x
+            x = parent.get(x)
+
+    want = sorted({(a, b, u) for a, b in pairs if a in parent and b in parent and (u := next((x for x in climb(a) if x in set(climb(b))), None))})
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    for most in ("256k", "-1"):
+        spark.conf.set(key, most)
+        try:
+            closed = taxonomy.closure(spark.createDataFrame(rows, "node string, parent string"))
+            df = taxonomy.lowest_common(closed, spark.createDataFrame(pairs, "a string, b string"))
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert sorted(tuple(r) for r in df.collect()) == want
+            assert bool(re.search(r"hashpartitioning\((b#\d+, u#|u#)", plan)) == (most == "-1")
+        finally:
+            spark.conf.unset(key)
+
+
 def test_foreign_containment_of_many_keys(spark):
     rng = random.Random(12)
     piece = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
